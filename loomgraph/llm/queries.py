@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontam, jaccard, katz, quality, repetition, sentpiece, toxicity
+from loomgraph.llm import decontam, jaccard, katz, quality, repetition, sentpiece, suffixes, toxicity
 from loomgraph.llm.common import crc_mod, table
 
 MODEL = "piece_bpe_32k.model"
@@ -50,12 +50,16 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicate(table(spark, sf_dir, "documents")).drop("kept", "spans")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op3_quality_classifier, op4_sentencepiece, op5_toxicity, op6_jaccard_join, op7_lm_scoring, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_decontamination, op3_quality_classifier, op4_sentencepiece, op5_toxicity, op6_jaccard_join, op7_lm_scoring, op8_suffix_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
