@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontam, jaccard, katz, quality, repetition, sentpiece, suffixes, toxicity
+from loomgraph.llm import chat, decontam, jaccard, katz, licenses, quality, repetition, sentpiece, suffixes, toxicity
 from loomgraph.llm.common import crc_mod, table
 
 MODEL = "piece_bpe_32k.model"
@@ -22,6 +22,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = chat.render(table(spark, sf_dir, "conversations"))
+    return parts.select("conv_id", "part", "n_turns", "copies", F.char_length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def _scored(scored: DataFrame, mod: int, rest: int) -> DataFrame:
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), mod) == rest).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
@@ -54,13 +59,29 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicate(table(spark, sf_dir, "documents")).drop("kept", "spans")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op3_quality_classifier, op4_sentencepiece, op5_toxicity, op6_jaccard_join, op7_lm_scoring, op8_suffix_dedup, op10_quality_rules)}
+    import corpus_pipeline  # noqa: F401  # it lies beside the package, and goes with this subpackage
+
+    ops = (
+        op1_decontamination, op2_chat_formatting, op3_quality_classifier, op4_sentencepiece, op5_toxicity,
+        op6_jaccard_join, op7_lm_scoring, op8_suffix_dedup, op9_license_scan, op10_quality_rules, pipeline,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_formatting": chat.SQL}
