@@ -34,7 +34,7 @@ def columns(ids: pa.Array, arrays: dict[str, np.ndarray | pa.Array], schema: pa.
     return pa.RecordBatch.from_arrays(made, schema=schema)
 
 
-def map_runs(df: DataFrame, id_col: str, text_col: str, fn: Callable[[tb.Run], dict], fields: list[tuple[str, T.DataType]], max_bytes: int = 1 << 22) -> DataFrame:
+def map_runs(df: DataFrame, id_col: str, text_col: str, fn: Callable[[tb.Run], dict], fields: list[tuple[str, T.DataType]], max_bytes: int = 1 << 21) -> DataFrame:
     """Apply fn to runs of texts; it gives a column for each of fields, a row for each document.
 
     The id column keeps its name and type and comes first.

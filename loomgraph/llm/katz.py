@@ -232,7 +232,7 @@ def pairs(b: Block, rank: np.ndarray, start: int, buckets: int) -> tuple[np.ndar
     return ph[order], pw[order], many[order], np.searchsorted(bucket[order], np.arange(buckets + 1)), of, w, h
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 5, rest: int = 1, block_bytes: int = 16 << 20, train: Column | None = None) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 5, rest: int = 1, block_bytes: int = 8 << 20, train: Column | None = None) -> DataFrame:
     """Scores of every row; learns from the rows whose id's crc32 modulo ``mod`` isn't ``rest``, or for which train holds."""
     spark = docs.sparkSession
     held = crc_mod(F.col(id_col), mod) == rest

@@ -42,8 +42,10 @@ from loomgraph.llm.common import two, written
 from loomgraph.llm.katz import pack, unpack
 from loomgraph.llm.sais import permuted_lcp, suffix_array
 
-GRAM = 32
+GRAM = 24
 STRETCH = 16
+#: bytes of text looked at at once; a longer text is looked at whole
+RUN = 1 << 20
 MANY = 256
 ANCHORS, GONE, STRETCHES, ASK = range(4)
 #: id and text say which text it is (text by its hash); GONE: bytes from a to b; ASK: strings from a to b, whose anchor is back after a
@@ -148,6 +150,7 @@ class Sender:
         own, first, many, shard, whole = stretches(run, a, b, p, group, self.size)
         n = many + self.size - 1
         self.rows.append((ids[own], texts[own], first - base[own], many, shard, whole, cut_bytes(run, first, many, self.size), n))
+        run.rest()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.rows:
@@ -175,17 +178,11 @@ class Sender:
 def first_pass(size: int, buckets: int, block_bytes: int, most: int) -> Callable:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(FLAT)
-        sender, held, runs = Sender(schema, buckets, size), 0, []
+        sender, held, runs, found = Sender(schema, buckets, size), 0, [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            found = [(*anchors(run, size), ids, texts, run) for run, ids, texts in runs]
-            a, b, p, doc = (np.concatenate([f[i] for f in found]) for i in range(4))
+            a, b, p, ids, texts, base, key, whole = (np.concatenate(x) for x in zip(*found))
             where = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-            ids = np.concatenate([f[4][f[3]] for f in found])
-            texts = np.concatenate([f[5][f[3]] for f in found])
-            base = np.concatenate([f[6].offs[f[3]] for f in found])
-            key = np.concatenate([f[6].span_hash(f[2], f[2] + GRAM, False) for f in found])
-            whole = np.concatenate([f[6].span_hash(f[0], f[1] + size, False) + (f[2] - f[0]).astype(tb.U64) * tb.STEPS[8] for f in found])
             keep, later = settle((key, whole), ids, a - base)
             yield batch(schema, len(later), kind=GONE, bucket=((a - base)[later] % buckets).astype(np.int32), id=ids[later], text=texts[later], a=(a - base)[later], b=(b - base)[later] + size)
             # hot anchors: too many regions in this block alone
@@ -195,7 +192,7 @@ def first_pass(size: int, buckets: int, block_bytes: int, most: int) -> Callable
             hot = np.repeat(many > most, many)
             for i in np.unique(where[keep[hot]]).tolist():
                 mine = keep[hot][where[keep[hot]] == i]
-                sender.add(found[i][6], a[mine], b[mine], p[mine], np.ones(len(mine), np.int64), ids[mine], texts[mine], base[mine])
+                sender.add(runs[i], a[mine], b[mine], p[mine], np.ones(len(mine), np.int64), ids[mine], texts[mine], base[mine])
             yield from sender.flush()
             flags = key[keep[head[many > most]]] if len(head) else key[:0]
             rest = keep[~hot]
@@ -215,12 +212,16 @@ def first_pass(size: int, buckets: int, block_bytes: int, most: int) -> Callable
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             texts = b.column(1).to_numpy(zero_copy_only=False)
-            for run in tb.runs(b.column(2)):
-                runs.append((run, ids[run.first : run.first + run.n], texts[run.first : run.first + run.n]))
+            for run in tb.runs(b.column(2), RUN):
+                lo, hi, p, doc = anchors(run, size)
+                key = run.span_hash(p, p + GRAM, False) >> tb.U64(16)  # unequal anchors with equal keys only cost a comparison
+                whole = run.span_hash(lo, hi + size, False) + (p - lo).astype(tb.U64) * tb.STEPS[8]
+                found.append((lo, hi, p, ids[run.first + doc], texts[run.first + doc], run.offs[doc], key, whole))
+                runs.append(run.rest())
                 held += len(run.data)
                 if held >= block_bytes:
                     yield from flush()
-                    runs, held = [], 0
+                    runs, found, held = [], [], 0
         if runs:
             yield from flush()
 
@@ -267,7 +268,7 @@ def cut_out(size: int, buckets: int, block_bytes: int) -> Callable:
             offs, flat = lists.offsets.to_numpy(), lists.values
             a, last, back, group = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
             ids, texts = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for run in tb.runs(unzipped(b.column(2))):
+            for run in tb.runs(unzipped(b.column(2)), RUN):
                 i, j = offs[run.first], offs[run.first + run.n]
                 row = np.repeat(np.arange(run.n), np.diff(offs[run.first : run.first + run.n + 1]))
                 base = run.offs[row]
@@ -343,7 +344,7 @@ def unzipped(column: pa.Array) -> pa.Array:
     return pa.array([b"" if x is None else d.decompress(x) for x in column.to_pylist()], pa.large_binary())
 
 
-def spans(docs: DataFrame, id_col: str, text_col: str, size: int = 100, block_bytes: int = 16 << 20, most: int = MANY) -> tuple[DataFrame, DataFrame]:
+def spans(docs: DataFrame, id_col: str, text_col: str, size: int = 100, block_bytes: int = 8 << 20, most: int = MANY) -> tuple[DataFrame, DataFrame]:
     """Texts as id, text (their hash), body (compressed), a row for each row; and for those that lose bytes id, text, gone (a, b)."""
     if size <= GRAM:
         raise ValueError(f"strings must have over {GRAM} bytes")

@@ -87,6 +87,11 @@ class Run:
             self._sums[lower] = sums
         return self._sums[lower]
 
+    def rest(self) -> Run:
+        """The run without the prefix hashes that it has made."""
+        self._sums.clear()
+        return self
+
     def span_hash(self, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
         """64-bit hash of each byte span; the hash of an empty span is that of no bytes."""
         sums = self.prefix(lower)
@@ -170,7 +175,7 @@ def inside(offs: np.ndarray, k: int, n: int) -> np.ndarray:
     return good
 
 
-def runs(texts: pa.Array | pa.ChunkedArray, max_bytes: int = 1 << 22) -> Iterator[Run]:
+def runs(texts: pa.Array | pa.ChunkedArray, max_bytes: int = 1 << 21) -> Iterator[Run]:
     """Cut a string column into runs; ``first`` is the row of a run's first document."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
