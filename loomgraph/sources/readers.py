@@ -25,7 +25,7 @@ def jsonl(spark: SparkSession, path: str, text_field: str | None = None, strict:
 
 def json_array(spark: SparkSession, path: str, text: Callable[[Column], Column] | str = "text") -> DataFrame:
     """One row for each element of each file's array, or for its object."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("filename"), F.trim("value").alias("value"))
+    rows = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("filename"), F.trim("value").alias("value"))
     many = F.when(F.col("value").startswith("["), F.from_json("value", "array<string>")).otherwise(F.array("value"))
     rows = rows.select("filename", F.explode(many).alias("document"))
     return rows.select("filename", (text(F.col("document")) if callable(text) else F.get_json_object("document", f"$.{text}")).alias("text"), "document")
@@ -63,7 +63,7 @@ def json_tree(spark: SparkSession, path: str, levels_back: int = 0) -> DataFrame
         for df in it:
             yield pd.DataFrame({"file_path": df.file_path, "text": ["\n".join(walk(json.loads(v), [])) for v in df.value]})
 
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file_path"), "value").mapInPandas(flatten, "file_path string, text string")
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), "value").mapInPandas(flatten, "file_path string, text string")
 
 
 def records(df: DataFrame, content: list[str], metadata: list[str] = ()) -> DataFrame:
@@ -74,7 +74,7 @@ def records(df: DataFrame, content: list[str], metadata: list[str] = ()) -> Data
 
 def directory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Whole text files below a folder; local or any Hadoop file system."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
     return rows.select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text"))
 
 

@@ -38,7 +38,7 @@ def version_batch(store: ParquetStore, key: str, name: str = "version") -> Calla
     def run(batch: DataFrame, _: int) -> None:
         new = batch.dropDuplicates([key, "valid_from"])
         try:
-            old = store.read(batch.sparkSession, name).join(new.select(key, "valid_from"), [key, "valid_from"], "left_anti")
+            old = store.read(batch.sparkSession, name).join(new.select(key, "valid_from"), [key, "valid_from"], "left_anti").drop("version_id")
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
