@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +33,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomgraph.llm import textbuf as tb
 from loomgraph.llm.common import two, written
+from loomgraph.llm.katz import pack, unpack
 
 _OTHER = tb.U64(0xA24BAED4963EE407)
+#: a prefix may be twice as long as the usual one and so much more
+LONGER = 64
+#: documents in a cell of the verification; ids that may be broadcast (8 MB)
+CELL = 128
+FEW = 1_000_000
+SKETCH, PREFIXES, COUNTED = range(3)
 #: levels that a document may choose: document frequencies up to 2, 4, 8 ... and any
 LEVELS = [*range(1, 41), 99]
 
@@ -57,93 +65,165 @@ def least_common(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """n, a 128-bit key of the set, and the longest prefix that may be used."""
+def flat(key: T.DataType) -> T.StructType:
+    long = T.LongType()
+    return T.StructType([
+        T.StructField("kind", T.IntegerType()), T.StructField("block", long), T.StructField("bucket", T.IntegerType()), T.StructField("id", key),
+        T.StructField("n", long), T.StructField("k1", long), T.StructField("k2", long), T.StructField("blob", T.BinaryType()),
+    ])
+
+
+def cols(s: pa.Schema, rows: int, /, **given) -> pa.RecordBatch:
+    made = []
+    for f in s:
+        x = given.get(f.name)
+        made.append(pa.nulls(rows, f.type) if x is None else x.cast(f.type) if isinstance(x, pa.Array) else pa.array(np.full(rows, x) if np.isscalar(x) else x, f.type))
+    return pa.RecordBatch.from_arrays(made, schema=s)
+
+
+def sketched(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, buckets: int, block_bytes: int) -> DataFrame:
+    """SKETCH: id, n and the 128-bit key of each row's set. Of the sets of a block of texts, each once, PREFIXES: the
+    longest prefix that may be used. COUNTED: the distinct prefix shingles of a block, by bucket."""
     small = two(docs, id_col, text_col)
-    out = T.StructType([T.StructField("id", small.schema["id"].dataType), *(T.StructField(c, T.LongType()) for c in ("n", "k1", "k2")), T.StructField("tokens", T.ArrayType(T.LongType()))])
+    made = flat(small.schema["id"].dataType)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = to_arrow_schema(out)
+        s, block, held = to_arrow_schema(made), TaskContext.get().partitionId() << 32, 0
+        seen: dict[tuple[int, int, int], np.ndarray] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if not seen:
+                return
+            n, k1, k2 = (np.array(x, np.int64) for x in zip(*seen))
+            lists = list(seen.values())
+            yield cols(s, 1, kind=PREFIXES, block=block, blob=[pack(n, k1.view(tb.U64), k2.view(tb.U64), [len(x) for x in lists], np.concatenate([np.diff(x, prepend=tb.U64(0)) for x in lists]))])
+            token, many = np.unique(np.concatenate(lists), return_counts=True)
+            bucket = (token % tb.U64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            at = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            asked = [(k, pack(np.diff(token[order[a:b]], prepend=tb.U64(0)), many[order[a:b]])) for k, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
+            yield cols(s, len(asked), kind=COUNTED, block=block, bucket=[k for k, _ in asked], blob=[x for _, x in asked])
+
         for b in batches:
             for run in tb.runs(b.column(1)):
                 sets = list(shingles(run, size))
-                n = np.array([len(s) for s in sets], np.int64)
-                k1 = np.array([s.sum(dtype=tb.U64) for s in sets], tb.U64).view(np.int64)
-                k2 = np.array([tb.mix(s ^ _OTHER).sum(dtype=tb.U64) for s in sets], tb.U64).view(np.int64)
-                base = np.array([len(s) - least_common(len(s), percent) + 1 for s in sets], np.int64)
-                longest = np.minimum(n, 2 * base + 8)
-                flat = np.concatenate([s[:k] for s, k in zip(sets, longest)]).view(np.int64) if len(sets) else np.zeros(0, np.int64)
-                offs = np.concatenate([[0], np.cumsum(longest)])
-                lists = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(flat))
-                cols = [b.column(0).slice(run.first, run.n), pa.array(n), pa.array(k1), pa.array(k2), lists]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema)], schema=schema)
+                n = np.array([len(x) for x in sets], np.int64)
+                k1 = np.array([x.sum(dtype=tb.U64) for x in sets], tb.U64).view(np.int64)
+                k2 = np.array([tb.mix(x ^ _OTHER).sum(dtype=tb.U64) for x in sets], tb.U64).view(np.int64)
+                yield cols(s, run.n, kind=SKETCH, block=block, id=b.column(0).slice(run.first, run.n), n=n, k1=k1, k2=k2)
+                for key, x in zip(zip(n.tolist(), k1.tolist(), k2.tolist()), sets):
+                    if len(x) and key not in seen:
+                        seen[key] = x[: longest(len(x), percent)] >> tb.U64(16)
+                held += len(run.data)
+                if held >= block_bytes:
+                    yield from flush()
+                    seen, held = {}, 0
+                    block += 1
+        yield from flush()
 
-    return small.mapInArrow(apply, out)
+    return small.mapInArrow(apply, made)
+
+
+def longest(n: int, percent: int) -> int:
+    return min(n, 2 * (n - least_common(n, percent) + 1) + LONGER)
 
 
 def choose(n: int, pos: np.ndarray, df: np.ndarray, percent: int) -> tuple[int, int, int]:
     """Level, prefix length and need with the least estimated cost; pos, df: the shingles that others have too."""
     common = least_common(n, percent)
-    base = n - common + 1
-    longest = min(n, 2 * base + 8)
-    rare = np.ceil(np.log2(np.maximum(df, 2))).astype(np.int64)
-    best = None
+    base, most = n - common + 1, longest(n, percent)
+    rare = rarity(df)
+    best = (np.inf, LEVELS[-1], base, 1)
     for level in LEVELS:
-        # places of the shingles left aside; a prefix of base + l - 1 with fewer than l - need + 1 of them will do
+        # places of the shingles left aside; a prefix of base + l - 1 of which at most l - need are left aside will do
         aside = np.sort(pos[rare > level])
-        for need in (1, 2, 3):
+        for need in (1, 2, 4, 8, 16, 32):
             l = need  # noqa: E741
-            while True:
+            while base + l - 1 <= most and l <= common:
                 h = int(np.searchsorted(aside, base + l - 1))
                 if l - h >= need:
                     break
                 l = h + need  # noqa: E741
-                if l > common or base + l - 1 > longest:
-                    break
-            if l > common or base + l - 1 > longest or l - h < need:
-                continue
-            met = df[(rare <= level) & (pos < base + l - 1)].sum()
-            cost = met + 40.0 * met / need**2
-            if best is None or cost < best[0]:
+            else:
+                break
+            met = float(df[(rare <= level) & (pos < base + l - 1)].sum())
+            # the pairs that meet, and those to verify: fewer, the more often they have to meet
+            cost = met + 8.0 * met / need
+            if cost < best[0]:
                 best = (cost, level, base + l - 1, need)
         if not len(aside):
             break
     return best[1:]
 
 
-def emitted(grouped: DataFrame, percent: int) -> DataFrame:
-    """Each document's shingles within its prefix, natural or secondary."""
-    key = grouped.schema["rep"].dataType
-    out = T.StructType([T.StructField("rep", key), T.StructField("n", T.LongType()), T.StructField("need", T.IntegerType()), T.StructField("token", T.LongType()), T.StructField("natural", T.BooleanType())])
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = to_arrow_schema(out)
-        for b in batches:
-            reps, sizes, lists = b.column(0), b.column(1).to_numpy(), b.column(2)
-            offs, flat = lists.offsets.to_numpy(), lists.values
-            pos, token, df = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            keep, need, natural, owner = [], [], [], []
-            for i in range(b.num_rows):
-                a, c = offs[i], offs[i + 1]
-                level, length, least = choose(int(sizes[i]), pos[a:c], df[a:c], percent)
-                at = a + np.flatnonzero(pos[a:c] < length)
-                keep.append(at)
-                owner.append(np.full(len(at), i))
-                need.append(np.full(len(at), least))
-                natural.append(np.ceil(np.log2(np.maximum(df[at], 2))) <= level)
-            at, own = np.concatenate(keep), np.concatenate(owner)
-            cols = [reps.take(pa.array(own)), pa.array(sizes[own]), pa.array(np.concatenate(need), pa.int32()), pa.array(token[at]), pa.array(np.concatenate(natural))]
-            yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(cols, schema)], schema=schema)
-
-    return grouped.mapInArrow(apply, out)
-
-
-def candidates(classes: DataFrame, percent: int) -> DataFrame:
+def rarity(df: np.ndarray) -> np.ndarray:
+    return np.ceil(np.log2(np.maximum(df, 2))).astype(np.int64)
+
+
+def emitted(stored: DataFrame, classes: DataFrame, key: T.DataType, percent: int) -> DataFrame:
+    """Each representative's shingles within its prefix that others have too, natural or secondary."""
+    made = stored.schema
+    long = T.LongType()
+    out = T.StructType([T.StructField("rep", key), T.StructField("n", long), T.StructField("need", long), T.StructField("token", long), T.StructField("df", long), T.StructField("natural", T.BooleanType())])
+
+    def count(t: pa.Table) -> pa.Table:
+        s = to_arrow_schema(made)
+        got = [unpack(x) for x in t["blob"].to_pylist()]
+        tokens = [np.cumsum(g[0], dtype=np.uint64) for g in got]
+        token, place = np.unique(np.concatenate(tokens), return_inverse=True)
+        total = np.bincount(place, np.concatenate([g[1] for g in got]).astype(float), len(token)).astype(np.int64)
+        ends = np.cumsum([len(x) for x in tokens])
+        blobs = [pack(total[place[a:b]]) for a, b in zip([0, *ends], ends)]
+        return pa.Table.from_batches([cols(s, len(blobs), kind=COUNTED, block=t["block"].combine_chunks(), bucket=t["bucket"].combine_chunks(), blob=blobs)], schema=s)
+
+    def emit(t: pa.Table) -> pa.Table:
+        s = to_arrow_schema(out)
+        kind = t["kind"].to_numpy()
+        blobs = t["blob"].to_pylist()
+        reps = t["id"].filter(pa.array(kind == SKETCH)).combine_chunks()
+        if not len(reps):
+            return s.empty_table()
+        k1, k2 = (t[c].filter(pa.array(kind == SKETCH)).to_numpy() for c in ("k1", "k2"))
+        mine = {k: i for i, k in enumerate(zip(k1.tolist(), k2.tolist()))}
+        n, a1, a2, size, step = unpack(blobs[int(np.flatnonzero(kind == PREFIXES)[0])])
+        n, size = n.astype(np.int64), size.astype(np.int64)
+        edge = np.concatenate([[0], np.cumsum(size)])
+        sums = np.cumsum(step, dtype=np.uint64)
+        before = np.where(edge[:-1] > 0, sums[edge[:-1] - 1], tb.U64(0)).astype(tb.U64)
+        token = sums - np.repeat(before, size)
+        distinct = np.unique(token)
+        counts = sorted((b, i) for b, i in zip(t["bucket"].to_pylist(), np.arange(len(kind))) if kind[i] == COUNTED)
+        buckets = (distinct % tb.U64(BUCKETS)).astype(np.int64)
+        df = np.empty(len(distinct), np.int64)
+        df[np.argsort(buckets, kind="stable")] = np.concatenate([unpack(blobs[i])[0] for _, i in counts]).astype(np.int64)
+        df = df[np.searchsorted(distinct, token)]
+        keep = [[] for _ in range(6)]
+        for i, k in enumerate(zip(a1.view(np.int64).tolist(), a2.view(np.int64).tolist())):
+            if (r := mine.get(k)) is None:
+                continue
+            d = df[edge[i] : edge[i + 1]]
+            pos = np.flatnonzero(d > 1)
+            if not len(pos):
+                continue
+            d = d[pos]
+            level, length, need = choose(int(n[i]), pos, d, percent)
+            on = pos < length
+            at, d = pos[on] + edge[i], d[on]
+            for x, y in zip(keep, (np.full(len(at), r), np.full(len(at), n[i]), np.full(len(at), need), token[at].view(np.int64), d, rarity(d) <= level)):
+                x.append(y)
+        if not keep[0]:
+            return s.empty_table()
+        own, *rest = (np.concatenate(x) for x in keep)
+        return pa.Table.from_arrays([reps.take(pa.array(own)).cast(s.field(0).type), *(pa.array(x, f.type) for x, f in zip(rest, list(s)[1:]))], schema=s)
+
+    BUCKETS = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = stored.where(F.col("kind") == COUNTED).groupBy("bucket").applyInArrow(count, made)
+    here = classes.where("rep is not null").select(F.lit(SKETCH).alias("kind"), F.col("home").alias("block"), F.lit(None).cast("int").alias("bucket"), F.col("rep").alias("id"), "n", "k1", "k2", F.lit(None).cast("binary").alias("blob"))
+    return stored.where(F.col("kind") == PREFIXES).unionByName(counted).unionByName(here).groupBy("block").applyInArrow(emit, out)
+
+
+def candidates(met: DataFrame, percent: int) -> DataFrame:
     """Pairs of class representatives that meet often enough; a superset of the links between classes."""
-    tokens = classes.select("rep", "n", F.posexplode("tokens").alias("pos", "token"))
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    mine = tokens.join(often, "token").groupBy("rep", "n").agg(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), "token", "df")).alias("met"))
-    met = written(emitted(mine.select("rep", "n", "met"), percent), "prefixes")
     a = met.where("natural").select("token", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("need").alias("px"))
     side = lambda d: d.select("token", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("need").alias("py"))
     near = F.expr(f"least(nx, ny) * 100 >= greatest(nx, ny) * {percent}")
@@ -156,25 +236,56 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
     return both.unionByName(one).groupBy("x", "y", "nx", "ny").agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("need")).where("shared >= need").select("x", "y", "nx", "ny")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets are similar enough."""
-    ids = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
-    texts = two(docs, id_col, text_col).join(ids, "id", "left_semi")
-    out = T.StructType([T.StructField("id", texts.schema["id"].dataType), T.StructField("s", T.ArrayType(T.LongType()))])
+def verified(pairs: DataFrame, met: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """The pairs whose whole sets are similar enough.
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = to_arrow_schema(out)
+    Documents lie in cells by their most frequent natural shingle, CELL of them in one at most on average, so the many
+    pairs of a large group need each set once for each two cells, not once a pair.
+    """
+    spark = docs.sparkSession
+    ids = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
+    hub = met.groupBy(F.col("rep").alias("id")).agg(F.max(F.struct(F.col("natural"), "df", "token")).alias("hub")).join(ids, "id", "left_semi").select("id", F.col("hub.token").alias("hub"))
+    many = hub.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("long").alias("cells"))
+    cell = written(hub.join(many, "hub").select("id", F.xxhash64("hub", F.pmod(F.xxhash64("id"), F.col("cells"))).alias("cell")), "cells")
+    at = lambda c: cell.select(F.col("id").alias(c), F.col("cell").alias(f"c{c}"))
+    shelves = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pairs.count() // 4000)
+    placed = pairs.join(at("x"), "x").join(at("y"), "y").withColumn("shelf", F.pmod(F.xxhash64("cx", "cy"), F.lit(shelves)))
+    placed = written(placed.select("shelf", "x", "y", "nx", "ny"), "placed")
+    wanted = placed.select("shelf", F.col("x").alias("id")).unionByName(placed.select("shelf", F.col("y").alias("id"))).distinct()
+    texts = two(docs, id_col, text_col)
+    key = texts.schema["id"].dataType
+    few = ids.limit(FEW + 1).count() <= FEW
+    texts = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")  # FEW ids at most are broadcast
+    packed = T.StructType([T.StructField("id", key), T.StructField("blob", T.BinaryType())])
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = to_arrow_schema(packed)
         for b in batches:
             for run in tb.runs(b.column(1)):
-                sets = [pa.array(s.view(np.int64)) for s in shingles(run, size)]
-                offs = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32())
-                lists = pa.ListArray.from_arrays(offs, pa.concat_arrays(sets))
-                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip([b.column(0).slice(run.first, run.n), lists], schema)], schema=schema)
-
-    sets = texts.select("id", "text").mapInArrow(apply, out).dropDuplicates(["id"])
-    x, y = sets.select(F.col("id").alias("x"), F.col("s").alias("sx")), sets.select(F.col("id").alias("y"), F.col("s").alias("sy"))
-    both = F.size(F.array_intersect("sx", "sy"))
-    return pairs.join(x, "x").join(y, "y").where(both * 100 >= (F.col("nx") + F.col("ny") - both) * percent).select("x", "y")
+                yield cols(s, run.n, id=b.column(0).slice(run.first, run.n), blob=[pack(np.diff(x, prepend=tb.U64(0))) for x in shingles(run, size)])
+
+    sets = texts.select("id", "text").mapInArrow(sets_of, packed).dropDuplicates(["id"])
+    one = wanted.join(sets, "id").select("shelf", F.col("id").alias("x"), F.lit(None).cast(key).alias("y"), "blob")
+    rows = one.unionByName(placed.select("shelf", "x", "y", F.lit(None).cast("binary").alias("blob")))
+    out = T.StructType([T.StructField("x", key), T.StructField("y", key)])
+
+    def check(t: pa.Table) -> pa.Table:
+        s = to_arrow_schema(out)
+        xs, ys, blobs = (t[c].to_pylist() for c in ("x", "y", "blob"))
+        got = {x: np.cumsum(unpack(b)[0], dtype=np.uint64) for x, b in zip(xs, blobs) if b is not None}
+        keep = []
+        for x, y in sorted((x, y) for x, y, b in zip(xs, ys, blobs) if b is None):
+            p, q = got[x], got[y]
+            if len(p) > len(q):
+                p, q = q, p
+            i = np.searchsorted(q, p)
+            i[i == len(q)] = 0
+            both = int((q[i] == p).sum()) if len(q) else 0
+            if both * 100 >= (len(p) + len(q) - both) * percent:
+                keep.append((x, y))
+        return pa.Table.from_arrays([pa.array([k[i] for k in keep], f.type) for i, f in enumerate(s)], schema=s)
+
+    return rows.groupBy("shelf").applyInArrow(check, out)
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -197,23 +308,21 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
-def classes_of(known: DataFrame) -> DataFrame:
-    return known.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens"))
-
-
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 90) -> DataFrame:
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 90, block_bytes: int = 8 << 20) -> DataFrame:
     """For each row: n_shingles, class_id (least id with an equal set), n_similar, component_id."""
-    known = written(sketches(docs, id_col, text_col, size, percent), "sketches")
-    classes = written(classes_of(known), "classes")
-    usable = classes.where("rep is not null")
-    pairs = written(candidates(usable, percent), "candidates")
-    links = written(verified(pairs, docs, id_col, text_col, size, percent), "links")
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stored = written(sketched(docs, id_col, text_col, size, percent, buckets, block_bytes), "sketches")
+    known = stored.where(F.col("kind") == SKETCH).select("id", "n", "k1", "k2", "block")
+    classes = written(known.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("block").alias("home")), "classes")
+    met = written(emitted(stored, classes, stored.schema["id"].dataType, percent), "prefixes")
+    pairs = written(candidates(met, percent), "candidates")
+    links = written(verified(pairs, met, docs, id_col, text_col, size, percent), "links")
     both = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    copies = usable.groupBy("rep").agg(F.sum("copies").alias("c"))
+    copies = classes.groupBy("rep").agg(F.sum("copies").alias("c"))
     degree = both.join(copies.withColumnRenamed("rep", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.sum("c").alias("others"))
     around = degree.join(components(links), "node", "full")
-    told = classes.drop("tokens").join(around, F.col("rep") == F.col("node"), "left").select("k1", "k2", "n", "rep", "copies", "others", "component")
-    rows = known.drop("tokens").join(told, ["k1", "k2", "n"], "left")
+    told = classes.join(around, F.col("rep") == F.col("node"), "left").select("k1", "k2", "n", "rep", "copies", "others", "component")
+    rows = known.join(told, ["k1", "k2", "n"], "left")
     return rows.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("class_id"),
         F.coalesce(F.col("copies") - 1 + F.coalesce("others", F.lit(0)), F.lit(0)).cast("long").alias("n_similar"),
