@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, decontam, jaccard, katz, licenses, quality, repetition, sentpiece, suffixes, toxicity
+from loomgraph.llm import chat, decontam, jaccard, katz, licenses, oracle, quality, repetition, sentpiece, suffixes, toxicity
 from loomgraph.llm.common import crc_mod, table
 
 MODEL = "piece_bpe_32k.model"
@@ -84,4 +84,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": chat.SQL}
+    return oracle.all_sql()

@@ -2,12 +2,8 @@
 
 import random
 
-import pytest
-
 import brute
 
-pytest.importorskip("corpus_pipeline")
-
 
 def test_stages_and_whole(spark, tmp_path):
     import public_tokenizers
