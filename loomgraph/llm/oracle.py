@@ -35,11 +35,14 @@ def repetition() -> str:
     rules = Rules()
     sizes = sorted({*rules.grams, rules.base_gram})
     shares = ", ".join(f"coalesce(g{k}, 0) / greatest(word_chars, 1)::DOUBLE AS gram{k}_share" for k in sorted(rules.grams))
+    leads = ", ".join(f"lead(w0, {i}) OVER o AS w{i}" for i in range(1, max(sizes)))
     over = " OR ".join(f"gram{k}_share > {x}::DOUBLE" for k, x in rules.grams.items())
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{PLAIN}') AS w FROM documents),
 x AS (SELECT r, generate_subscripts(w, 1) AS pl, length(unnest(w)) AS n FROM d),
-g AS (SELECT r, k, generate_subscripts(s, 1) AS pl, unnest(s) AS s FROM (SELECT r, k, {windows('w', 'k')} AS s FROM d, (SELECT unnest({sizes}) AS k))),
+y AS (SELECT r, generate_subscripts(w, 1) AS pl, unnest(w) AS w0 FROM d),
+v AS (SELECT r, pl, w0, {leads} FROM y WINDOW o AS (PARTITION BY r ORDER BY pl)),
+g AS ({" UNION ALL ".join(f"SELECT r, {k} AS k, pl, concat_ws(' ', {', '.join(f'w{i}' for i in range(k))}) AS s FROM v WHERE w{k - 1} IS NOT NULL" for k in sizes)}),
 u AS (SELECT r, k, s FROM g GROUP BY ALL HAVING count(*) > 1),
 t AS (SELECT r, k, pl FROM g JOIN u USING (r, k, s)),
 c AS (SELECT DISTINCT r, k, unnest(range(pl, pl + k)) AS pl FROM t),
