@@ -65,10 +65,30 @@ def shared(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+_kept: list[list[str]] = []
+
+
+def finished(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The frame that make gives, written; the tables that it wrote on the way are deleted."""
+    _kept.append([])
+    try:
+        df = make()
+        paths, _kept[-1] = _kept[-1], []
+        out = written(df, name)
+    finally:
+        _kept.pop()
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return out
+
+
 def written(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends here, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+    if _kept:
+        _kept[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -32,12 +32,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomgraph.llm import textbuf as tb
-from loomgraph.llm.common import two, written
+from loomgraph.llm.common import finished, two, written
 from loomgraph.llm.katz import pack, unpack
 
 _OTHER = tb.U64(0xA24BAED4963EE407)
 #: a prefix may be twice as long as the usual one and so much more
 LONGER = 64
+#: cost of verifying a pair, in pairs that meet
+VERIFY = 40.0
 #: documents in a cell of the verification; ids that may be broadcast (8 MB)
 CELL = 128
 FEW = 1_000_000
@@ -119,6 +121,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
                     yield from flush()
                     seen, held = {}, 0
                     block += 1
+                    tb.release()
         yield from flush()
 
     return small.mapInArrow(apply, made)
@@ -137,7 +140,7 @@ def choose(n: int, pos: np.ndarray, df: np.ndarray, percent: int) -> tuple[int,
     for level in LEVELS:
         # places of the shingles left aside; a prefix of base + l - 1 of which at most l - need are left aside will do
         aside = np.sort(pos[rare > level])
-        for need in (1, 2, 4, 8, 16, 32):
+        for need in (1, 2, 4, 8, 16, 32, 64, 128):
             l = need  # noqa: E741
             while base + l - 1 <= most and l <= common:
                 h = int(np.searchsorted(aside, base + l - 1))
@@ -148,7 +151,7 @@ def choose(n: int, pos: np.ndarray, df: np.ndarray, percent: int) -> tuple[int,
                 break
             met = float(df[(rare <= level) & (pos < base + l - 1)].sum())
             # the pairs that meet, and those to verify: fewer, the more often they have to meet
-            cost = met + 8.0 * met / need
+            cost = met + VERIFY * met / need
             if cost < best[0]:
                 best = (cost, level, base + l - 1, need)
         if not len(aside):
@@ -214,6 +217,7 @@ def emitted(stored: DataFrame, classes: DataFrame, key: T.DataType, percent: int
         if not keep[0]:
             return s.empty_table()
         own, *rest = (np.concatenate(x) for x in keep)
+        tb.release()
         return pa.Table.from_arrays([reps.take(pa.array(own)).cast(s.field(0).type), *(pa.array(x, f.type) for x, f in zip(rest, list(s)[1:]))], schema=s)
 
     BUCKETS = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -239,17 +243,17 @@ def candidates(met: DataFrame, percent: int) -> DataFrame:
 def verified(pairs: DataFrame, met: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """The pairs whose whole sets are similar enough.
 
-    Documents lie in cells by their most frequent natural shingle, CELL of them in one at most on average, so the many
-    pairs of a large group need each set once for each two cells, not once a pair.
+    Documents lie in cells by their most frequent natural shingle, about CELL of them in one. A pair is verified where the
+    cell of the larger group is, so the many pairs of a group need each set once for each of its cells, not once a pair.
     """
     spark = docs.sparkSession
     ids = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
     hub = met.groupBy(F.col("rep").alias("id")).agg(F.max(F.struct(F.col("natural"), "df", "token")).alias("hub")).join(ids, "id", "left_semi").select("id", F.col("hub.token").alias("hub"))
     many = hub.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("long").alias("cells"))
-    cell = written(hub.join(many, "hub").select("id", F.xxhash64("hub", F.pmod(F.xxhash64("id"), F.col("cells"))).alias("cell")), "cells")
+    cell = written(hub.join(many, "hub").select("id", F.struct("cells", F.xxhash64("hub", F.pmod(F.xxhash64("id"), F.col("cells"))).alias("h")).alias("cell")), "cells")
     at = lambda c: cell.select(F.col("id").alias(c), F.col("cell").alias(f"c{c}"))
-    shelves = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pairs.count() // 4000)
-    placed = pairs.join(at("x"), "x").join(at("y"), "y").withColumn("shelf", F.pmod(F.xxhash64("cx", "cy"), F.lit(shelves)))
+    shelves = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pairs.count() // 20_000)
+    placed = pairs.join(at("x"), "x").join(at("y"), "y").withColumn("shelf", F.pmod(F.greatest("cx", "cy")["h"], F.lit(shelves)))
     placed = written(placed.select("shelf", "x", "y", "nx", "ny"), "placed")
     wanted = placed.select("shelf", F.col("x").alias("id")).unionByName(placed.select("shelf", F.col("y").alias("id"))).distinct()
     texts = two(docs, id_col, text_col)
@@ -308,8 +312,12 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 90, block_bytes: int = 8 << 20) -> DataFrame:
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 90, block_bytes: int = 6 << 20) -> DataFrame:
     """For each row: n_shingles, class_id (least id with an equal set), n_similar, component_id."""
+    return finished(docs.sparkSession, lambda: _similar(docs, id_col, text_col, size, percent, block_bytes), "similar")
+
+
+def _similar(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, block_bytes: int) -> DataFrame:
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     stored = written(sketched(docs, id_col, text_col, size, percent, buckets, block_bytes), "sketches")
     known = stored.where(F.col("kind") == SKETCH).select("id", "n", "k1", "k2", "block")

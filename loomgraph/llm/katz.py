@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomgraph.llm import textbuf as tb
-from loomgraph.llm.common import crc_mod, written
+from loomgraph.llm.common import crc_mod, finished, written
 
 END = tb.U64(0x1D872B41C6E5F037)
 HOT = 512
@@ -44,6 +44,9 @@ def pack(*arrays: np.ndarray) -> bytes:
     """Integer arrays as compressed byte planes."""
     parts = []
     for a in arrays:
+        if isinstance(a, np.ndarray) and a.dtype == np.uint8:
+            parts += [np.array([len(a), 1], np.uint64).tobytes(), a.tobytes()]
+            continue
         a = np.ascontiguousarray(a, dtype=np.uint64)
         wide = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
         planes = a.view(np.uint8).reshape(-1, 8)[:, :wide].T
@@ -51,10 +54,15 @@ def pack(*arrays: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
-def unpack(blob: bytes) -> list[np.ndarray]:
+def unpack(blob: bytes, as_bytes: int = -1) -> list[np.ndarray]:
+    """The packed arrays; the one of that number, which holds bytes, as such."""
     raw, at, out = zstandard.ZstdDecompressor().decompress(blob), 0, []
     while at < len(raw):
         n, wide = (int(x) for x in np.frombuffer(raw, np.uint64, 2, at))
+        if len(out) == as_bytes:
+            out.append(np.frombuffer(raw, np.uint8, n, at + 16))
+            at += 16 + n * wide
+            continue
         a = np.zeros((n, 8), np.uint8)
         a[:, :wide] = np.frombuffer(raw, np.uint8, n * wide, at + 16).reshape(wide, n).T
         out.append(a.reshape(-1).view(np.uint64))
@@ -138,6 +146,7 @@ def texts(docs: DataFrame, buckets: int, block_bytes: int, made: T.StructType) -
                     yield flush()
                     n += 1
                     ids, hashes, sizes, trains, held = [], [], [], [], 0
+                    tb.release()
         if ids:
             yield flush()
 
@@ -149,7 +158,9 @@ def groups(df: DataFrame, by: str, out: T.StructType, fn) -> DataFrame:
 
     def apply(t: pa.Table) -> pa.Table:
         s = to_arrow_schema(out)
-        return pa.Table.from_batches([record(fn(t.to_pylist()), s)], schema=s)
+        made = pa.Table.from_batches([record(fn(t.to_pylist()), s)], schema=s)
+        tb.release()
+        return made
 
     return df.groupBy(by).applyInArrow(apply, out)
 
@@ -234,6 +245,10 @@ def pairs(b: Block, rank: np.ndarray, start: int, buckets: int) -> tuple[np.ndar
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 5, rest: int = 1, block_bytes: int = 8 << 20, train: Column | None = None) -> DataFrame:
     """Scores of every row; learns from the rows whose id's crc32 modulo ``mod`` isn't ``rest``, or for which train holds."""
+    return finished(docs.sparkSession, lambda: _score(docs, id_col, text_col, mod, rest, block_bytes, train), "scores")
+
+
+def _score(docs: DataFrame, id_col: str, text_col: str, mod: int, rest: int, block_bytes: int, train: Column | None) -> DataFrame:
     spark = docs.sparkSession
     held = crc_mod(F.col(id_col), mod) == rest
     small = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), (~held if train is None else train).alias("learn"))

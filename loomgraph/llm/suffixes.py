@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomgraph.llm import textbuf as tb
-from loomgraph.llm.common import two, written
+from loomgraph.llm.common import finished, two, written
 from loomgraph.llm.katz import pack, unpack
 from loomgraph.llm.sais import permuted_lcp, suffix_array
 
@@ -158,6 +158,7 @@ class Sender:
         ids, texts, first, many, shard, whole, data, n = (np.concatenate(x) for x in zip(*self.rows))
         self.rows = []
         keep, later = settle((shard, whole), ids, first)
+        tb.release()
         yield batch(self.schema, len(later), kind=GONE, bucket=(first[later] % self.buckets).astype(np.int32), id=ids[later], text=texts[later], a=first[later], b=first[later] + n[later])
         ends = np.cumsum(n)
         bucket = (shard[keep] % tb.U64(self.buckets)).astype(np.int64)
@@ -222,6 +223,7 @@ def first_pass(size: int, buckets: int, block_bytes: int, most: int) -> Callable
                 if held >= block_bytes:
                     yield from flush()
                     runs, found, held = [], [], 0
+                    tb.release()
         if runs:
             yield from flush()
 
@@ -252,6 +254,7 @@ def compare_regions(size: int, most: int) -> Callable:
                 ask = keep[np.repeat(many > 1, many) | hot]
                 group = np.where(hot, 1, STRETCH)[np.repeat(many > 1, many) | hot]
                 out.append(pa.Table.from_batches([batch(schema, len(ask), kind=ASK, id=ids[ask], text=texts[ask], a=a[ask], b=a[ask] + more[ask], back=back[ask], group=group)]))
+        tb.release()
         return pa.concat_tables(out)
 
     return apply
@@ -287,7 +290,7 @@ def shard_arrays(size: int, schema: T.StructType) -> Callable:
 
     def apply(t: pa.Table) -> pa.Table:
         s = to_arrow_schema(schema)
-        got = [unpack(x) for x in t["blob"].to_pylist()]
+        got = [unpack(x, as_bytes=6) for x in t["blob"].to_pylist()]
         cat = lambda xs: np.concatenate(list(xs))
         ids, texts = (cat(g[i].view(np.int64) for g in got) for i in (0, 1))
         first, many = (cat(g[i].astype(np.int64) for g in got) for i in (2, 3))
@@ -320,6 +323,7 @@ def shard_arrays(size: int, schema: T.StructType) -> Callable:
             where = first[row] + step[place]
             _, again = settle((string_of,), ids[row], where)
             out.append(batch(s, len(again), id=ids[row[again]], text=texts[row[again]], a=where[again], b=where[again] + size))
+        tb.release()
         return pa.Table.from_batches(out, schema=s)
 
     return apply
@@ -348,21 +352,24 @@ def spans(docs: DataFrame, id_col: str, text_col: str, size: int = 100, block_by
     """Texts as id, text (their hash), body (compressed), a row for each row; and for those that lose bytes id, text, gone (a, b)."""
     if size <= GRAM:
         raise ValueError(f"strings must have over {GRAM} bytes")
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = two(docs, id_col, text_col).select(F.col("id").cast("long").alias("id"), F.xxhash64("text").alias("text"), F.col("text").alias("body"))
+    zip_rows = zipped(rows, 2)
+    return zip_rows, finished(docs.sparkSession, lambda: _gone(rows, zip_rows, size, block_bytes, most), "gone")
+
+
+def _gone(rows: DataFrame, zip_rows: DataFrame, size: int, block_bytes: int, most: int) -> DataFrame:
+    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = rows.where("id is not null and body is not null")
     first = known.mapInArrow(first_pass(size, buckets, block_bytes, most), FLAT)
     settled = written(first.groupBy("bucket").applyInArrow(compare_regions(size, most), FLAT), "regions")
     asked = settled.where(F.col("kind") == ASK).groupBy("id", "text").agg(F.collect_list(F.struct("a", "b", F.col("back").cast("long").alias("back"), F.col("group").cast("long").alias("group"))).alias("ask"))
-    zip_rows = zipped(rows, 2)
     cut = zip_rows.where("id is not null").join(asked, ["id", "text"]).select("id", "text", "body", "ask").mapInArrow(cut_out(size, buckets, block_bytes), FLAT)
     gone = T.StructType([FLAT["id"], FLAT["text"], FLAT["a"], FLAT["b"]])
     late = written(cut.unionByName(settled.where(F.col("kind") == STRETCHES)), "stretches")
     shards = late.where(F.col("kind") == STRETCHES).select("bucket", "blob").groupBy("bucket").applyInArrow(shard_arrays(size, gone), gone)
     take = lambda d: d.where(F.col("kind") == GONE).select("id", "text", "a", "b")
     every = take(settled).unionByName(take(late)).unionByName(shards)
-    return zip_rows, every.groupBy("id", "text").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
+    return every.groupBy("id", "text").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
 
 
 def merged(pairs: np.ndarray) -> np.ndarray:
