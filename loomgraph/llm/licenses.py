@@ -1,10 +1,13 @@
 """Licence scans by conditional compression.
 
-A line with a licence's vocabulary is a candidate block. It is compressed on its own and with each template
-as raw zstandard dictionary; the templates are ranked by the share of bytes that this saves. The best ones
-are confirmed by exact wording: the differences between the words of the block and of a template may
-not touch the words that tell the licence, nor be more than a share of the template, and the first confirmed
-template wins.
+Each template has a telling word that no confirmed wording lacks. Around each such word in a line, a window of the
+template's length and as many words more on either side (at least SLACK) is a candidate block, if it has enough of
+the template's words; a word that tells another licence ends it. A block is compressed on its own and with each of
+its templates as raw zstandard dictionary; the templates are ranked by the bytes that this saves, relative to their
+size, however long the line is. Exact wording confirms: the differences between the words of the block and
+of a template may not touch the words that tell the licence, nor be more than a share of the template. Between
+a version and the words before it there may be other versions only in a list ('version 2 or version 3').
+In each stretch of words the first confirmed template wins.
 
 Null and empty texts have no blocks. Every row gets its own result; repeated rows get equal ones. Other
 columns aren't read. An empty table gives an empty result.
@@ -13,6 +16,7 @@ columns aren't read. An empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -25,7 +29,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomgraph.llm.common import two
 
-CUE = r"(?i)licen[cs]e|copyright|creative commons|public domain|all rights reserved|redistribut|\bCC[ -]BY|SPDX"
 WORD = re.compile(r"[^\W_]+(?:[.+][^\W_]+)*")
 #: name: (wordings, words that tell the licence)
 TEMPLATES: dict[str, tuple[list[str], str]] = {
@@ -46,73 +49,112 @@ TEMPLATES: dict[str, tuple[list[str], str]] = {
 }
 #: words that make another licence of it when only the block has them
 TELLING = {w for _, told in TEMPLATES.values() for x in told.split("|") for w in x.split()} - {"by", "all", "copy", "source", "charge", "conditions", "permission", "granted", "permitted", "binary", "public", "general", "2", "3", "4.0", "1.0", "2.0"} | {"nd", "noderivatives"}
+SLACK = 20
+#: the words that may stand between the versions of a list
+LISTED = {"or", "and", "either", "version", "versions", "v", "any", "later", "clause"}
 
 
 def words(text: str) -> list[str]:
     return [w.lower() for w in WORD.findall(text)]
 
 
+def anchor(tell: set[str]) -> str:
+    """The rarest of the words that tell a licence; no template has it twice."""
+    return next(w for w in ("affero", "lesser", "gnu", "apache", "mozilla", "bsd", "redistribution", "cc0", "cc", "commons", "reserved", "charge", "mit") if w in tell)
+
+
 class Scanner:
-    def __init__(self, most: float = 0.34, keep: int = 50_000):
-        self.most, self.keep, self.seen = most, keep, {}
-        self.templates = []
+    def __init__(self, most: float = 0.34):
+        self.most, self.templates, self.at = most, [], {}
+        self.code = {w: k for k, w in enumerate(sorted(TELLING | LISTED | {w for texts, _ in TEMPLATES.values() for t in texts for w in words(t)}), 1)}
+        self.listed = {self.code[w] for w in LISTED}
+        self.numbers = {c for w, c in self.code.items() if w[0].isdigit()} | {-1}
         for name, (texts, told) in TEMPLATES.items():
             for t in texts:
                 d = zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                tell = next((set(x.split()) for x in told.split("|") if set(x.split()) <= set(words(t))), set())
-                self.templates.append((name, words(t), tell, zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_dict_id=False)))
+                tell = next(set(x.split()) for x in told.split("|") if set(x.split()) <= set(words(t)))
+                mine = [self.code[w] for w in words(t)]
+                self.at.setdefault(self.code[anchor(tell)], []).append(len(self.templates))
+                self.templates.append((name, mine, {self.code[w] for w in tell}, {self.code[w] for w in TELLING} - set(mine), zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_dict_id=False), len(t.encode())))
         self.alone = zstandard.ZstdCompressor(level=3, write_content_size=False)
-
-    def ranked(self, block: bytes) -> list[tuple[float, int]]:
-        """Share of bytes saved by each template, the largest first."""
-        size = len(self.alone.compress(block))
-        return sorted(((1 - len(t[3].compress(block)) / size, i) for i, t in enumerate(self.templates)), key=lambda x: (-x[0], x[1]))
-
-    def block(self, text: str) -> tuple[str, float, int, int] | None:
-        """Licence, share saved, template words missing, words beside the template; None if no wording is confirmed."""
-        if text not in self.seen:
-            if len(self.seen) >= self.keep:
-                self.seen.clear()
-            self.seen[text] = self._block(text)
-        return self.seen[text]
-
-    def _block(self, text: str) -> tuple[str, float, int, int] | None:
-        mine = words(text)
-        for saved, i in self.ranked(text.encode()):
-            if saved <= 0.05:
+        self.likely = "(?i)(?:^|[^A-Za-z0-9])(?:" + "|".join(sorted(w for w, c in self.code.items() if c in self.at)) + ")(?:$|[^A-Za-z0-9])"
+        self.hint = re.compile(self.likely)
+
+    def candidates(self, told: array) -> Iterator[tuple[int, int, int, int]]:
+        """Template, first word, end and telling word of each block; one that reaches a second telling word is also given cut there."""
+        for a in (k for k, c in enumerate(told) if c in self.at):
+            for i in self.at[told[a]]:
+                _, mine, tell, foreign, _, _ = self.templates[i]
+                reach, n = len(mine) + max(SLACK, len(mine)), len(told)
+                lo = next((k + 1 for k in range(a - 1, max(-1, a - reach - 1), -1) if told[k] in foreign), max(0, a - reach))
+                hi = next((k for k in range(a + 1, min(n, a + reach + 1)) if told[k] in foreign), min(n, a + reach + 1))
+                near = next((k + 1 for k in range(a - 1, lo - 1, -1) if told[k] == told[a]), lo)
+                far = next((k for k in range(a + 1, hi) if told[k] == told[a]), hi)
+                for x, y in dict.fromkeys(((lo, hi), (near, far))):
+                    there = set(told[x:y])
+                    if tell <= there and sum(w not in there for w in mine) <= self.most * len(mine):
+                        yield i, x, y, a
+
+    def confirmed(self, i: int, told: array, lo: int, hi: int, a: int) -> tuple[int, int, int, int] | None:
+        """First word, end, template words missing and words beside the template, if the wording is the template's and has word a."""
+        _, mine, tell, foreign, _, _ = self.templates[i]
+        block = told[lo:hi].tolist()
+        same = [m for m in SequenceMatcher(None, block, mine, autojunk=False).get_matching_blocks() if m.size]
+        at = [k for m in same for k in range(m.a, m.a + m.size)]
+        common = len(at)
+        if a - lo not in at or not tell <= {block[k] for k in at} or len(mine) - common > self.most * len(mine):
+            return None
+        for before, k in zip(at, at[1:]):
+            between = block[before + 1 : k]
+            if foreign.intersection(between):
+                return None
+            if block[k] in tell & self.numbers and self.numbers.intersection(between) and not self.listed.union(self.numbers).issuperset(between):
                 return None
-            name, told, tell, _ = self.templates[i]
-            same = SequenceMatcher(None, mine, told, autojunk=False).get_matching_blocks()
-            common = sum(m.size for m in same)
-            kept = {w for m in same for w in mine[m.a : m.a + m.size]}
-            lo, hi = same[0].a, max(m.a + m.size for m in same)
-            strange = [w for k, w in enumerate(mine[lo:hi], lo) if not any(m.a <= k < m.a + m.size for m in same)]
-            if tell <= kept and len(told) - common <= self.most * len(told) and not TELLING.intersection(strange):
-                return name, saved, len(told) - common, len(mine) - common
-        return None
+        return lo + at[0], lo + at[-1] + 1, len(mine) - common, at[-1] + 1 - at[0] - common
+
+    def scan(self, text: str) -> tuple[int, list[tuple[int, str, float, int, int]]]:
+        """How many blocks, and of each notice its first character, licence, share of the block's bytes saved, template words missing and words beside the template."""
+        told, starts, ends = array("i"), array("q"), array("q")
+        if not self.hint.search(text):
+            return 0, []
+        for w in WORD.finditer(text):
+            x = w[0].lower()
+            told.append(self.code.get(x, -1 if x[0].isdigit() else 0))
+            starts.append(w.start())
+            ends.append(w.end())
+        ranked, alone, kept = [], {}, []
+        for i, lo, hi, a in self.candidates(told):
+            block = text[starts[lo] : ends[hi - 1]].encode()
+            if block not in alone:
+                alone[block] = len(self.alone.compress(block))
+            saved = alone[block] - len(self.templates[i][4].compress(block))
+            ranked.append((-saved / self.templates[i][5], i, lo, hi, a, saved / alone[block]))
+        for _, i, lo, hi, a, saved in sorted(ranked):
+            got = self.confirmed(i, told, lo, hi, a)
+            if got and not any(x < got[1] and got[0] < y for x, y, name, *_ in kept):
+                kept.append((got[0], got[1], self.templates[i][0], saved, *got[2:]))
+        return len({a for _, _, _, _, a, _ in ranked}), [(starts[x], *rest) for x, _, *rest in sorted(kept)]
 
 
 FOUND = T.ArrayType(T.StructType([T.StructField("line", T.IntegerType()), T.StructField("license", T.StringType()), T.StructField("saved", T.DoubleType()), T.StructField("missing", T.IntegerType()), T.StructField("extra", T.IntegerType())]))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row n_blocks (candidates), licenses (distinct, sorted), found (line from 0, licence, share saved, words missing and extra)."""
+    """For each row n_blocks (telling words with candidate blocks), licenses (distinct, sorted), found (line from 0, licence, share saved, words missing and, within the notice, extra)."""
     small = two(df, id_col, text_col)
     out = T.StructType([T.StructField(id_col, small.schema["id"].dataType), T.StructField("n_blocks", T.IntegerType()), T.StructField("licenses", T.ArrayType(T.StringType())), T.StructField("found", FOUND)])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner, schema, cue = Scanner(), to_arrow_schema(out), re.compile(CUE)
+        scanner, schema = Scanner(), to_arrow_schema(out)
         for b in batches:
             n, names, found = [0] * b.num_rows, [[] for _ in range(b.num_rows)], [[] for _ in range(b.num_rows)]
-            likely = pc.fill_null(pc.match_substring_regex(b.column(1), CUE), False)
+            likely = pc.fill_null(pc.match_substring_regex(b.column(1), scanner.likely), False)
             rows = pc.indices_nonzero(likely).to_pylist()
             for i, text in zip(rows, b.column(1).filter(likely).to_pylist()):
                 for k, line in enumerate(text.split("\n")):
-                    if cue.search(line):
-                        n[i] += 1
-                        got = scanner.block(line.strip())
-                        if got:
-                            found[i].append(dict(zip(("line", "license", "saved", "missing", "extra"), (k, *got))))
+                    blocks, got = scanner.scan(line)
+                    n[i] += blocks
+                    found[i] += [dict(zip(("line", "license", "saved", "missing", "extra"), (k, *x[1:]))) for x in got]
                 names[i] = sorted({f["license"] for f in found[i]})
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, f.type) for x, f in zip((n, names, found), list(schema)[1:]))], schema=schema)
 
