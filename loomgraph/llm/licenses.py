@@ -1,13 +1,14 @@
 """Licence scans by conditional compression.
 
-Each template has a telling word that no confirmed wording lacks. Around each such word in a line, a window of the
+Each template has a telling word that no confirmed wording lacks. Around each such word, a window of the
 template's length and as many words more on either side (at least SLACK) is a candidate block, if it has enough of
 the template's words; a word that tells another licence ends it. A block is compressed on its own and with each of
 its templates as raw zstandard dictionary; the templates are ranked by the bytes that this saves, relative to their
-size, however long the line is. Exact wording confirms: the differences between the words of the block and
-of a template may not touch the words that tell the licence, nor be more than a share of the template. Between
-a version and the words before it there may be other versions only in a list ('version 2 or version 3').
-In each stretch of words the first confirmed template wins.
+size. Blocks don't end at line breaks: notices are wrapped, and marks of comments are no words. Exact wording confirms:
+the differences between the words of the block and of a template may not touch the words that tell the licence, nor
+be more than a share of the template. Between a version and the words before it there may be no other version,
+except in a list ('version 2 or version 3'), and no end of a sentence, except before the word 'version' itself.
+Every licence that is confirmed counts; of the wordings of one licence over the same words, the first does.
 
 Null and empty texts have no blocks. Every row gets its own result; repeated rows get equal ones. Other
 columns aren't read. An empty table gives an empty result.
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -52,6 +53,7 @@ TELLING = {w for _, told in TEMPLATES.values() for x in told.split("|") for w in
 SLACK = 20
 #: the words that may stand between the versions of a list
 LISTED = {"or", "and", "either", "version", "versions", "v", "any", "later", "clause"}
+STOP = re.compile(r"[.!?]\s|\n\W*\n")
 
 
 def words(text: str) -> list[str]:
@@ -95,8 +97,8 @@ class Scanner:
                     if tell <= there and sum(w not in there for w in mine) <= self.most * len(mine):
                         yield i, x, y, a
 
-    def confirmed(self, i: int, told: array, lo: int, hi: int, a: int) -> tuple[int, int, int, int] | None:
-        """First word, end, template words missing and words beside the template, if the wording is the template's and has word a."""
+    def confirmed(self, i: int, told: array, lo: int, hi: int, a: int, gap: Callable[[int, int], str]) -> tuple[int, int, int, int] | None:
+        """First word, end, template words missing and words beside the template, if the wording is the template's and has word a; gap tells what is between two words."""
         _, mine, tell, foreign, _, _ = self.templates[i]
         block = told[lo:hi].tolist()
         same = [m for m in SequenceMatcher(None, block, mine, autojunk=False).get_matching_blocks() if m.size]
@@ -108,8 +110,11 @@ class Scanner:
             between = block[before + 1 : k]
             if foreign.intersection(between):
                 return None
-            if block[k] in tell & self.numbers and self.numbers.intersection(between) and not self.listed.union(self.numbers).issuperset(between):
-                return None
+            if block[k] in tell & self.numbers:
+                if self.numbers.intersection(between) and not self.listed.union(self.numbers).issuperset(between):
+                    return None
+                if block[k - 1] not in self.listed and STOP.search(gap(lo + before, lo + k)):
+                    return None
         return lo + at[0], lo + at[-1] + 1, len(mine) - common, at[-1] + 1 - at[0] - common
 
     def scan(self, text: str) -> tuple[int, list[tuple[int, str, float, int, int]]]:
@@ -130,8 +135,8 @@ class Scanner:
             saved = alone[block] - len(self.templates[i][4].compress(block))
             ranked.append((-saved / self.templates[i][5], i, lo, hi, a, saved / alone[block]))
         for _, i, lo, hi, a, saved in sorted(ranked):
-            got = self.confirmed(i, told, lo, hi, a)
-            if got and not any(x < got[1] and got[0] < y for x, y, name, *_ in kept):
+            got = self.confirmed(i, told, lo, hi, a, lambda x, y: text[ends[x] : starts[y]])
+            if got and not any(name == self.templates[i][0] and x < got[1] and got[0] < y for x, y, name, *_ in kept):
                 kept.append((got[0], got[1], self.templates[i][0], saved, *got[2:]))
         return len({a for _, _, _, _, a, _ in ranked}), [(starts[x], *rest) for x, _, *rest in sorted(kept)]
 
@@ -151,10 +156,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
             likely = pc.fill_null(pc.match_substring_regex(b.column(1), scanner.likely), False)
             rows = pc.indices_nonzero(likely).to_pylist()
             for i, text in zip(rows, b.column(1).filter(likely).to_pylist()):
-                for k, line in enumerate(text.split("\n")):
-                    blocks, got = scanner.scan(line)
-                    n[i] += blocks
-                    found[i] += [dict(zip(("line", "license", "saved", "missing", "extra"), (k, *x[1:]))) for x in got]
+                n[i], got = scanner.scan(text)
+                found[i] = [dict(zip(("line", "license", "saved", "missing", "extra"), (text.count("\n", 0, x[0]), *x[1:]))) for x in got]
                 names[i] = sorted({f["license"] for f in found[i]})
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, f.type) for x, f in zip((n, names, found), list(schema)[1:]))], schema=schema)
 

@@ -1,4 +1,4 @@
-"""Licence notices inside long lines."""
+"""Licence notices inside long lines, wrapped over lines, and beside each other."""
 
 import random
 
@@ -32,3 +32,36 @@ def test_paragraphs_without_a_notice(make):
     assert names(make, docs) == {0: [], 1: [], 2: []}
     one = PROSE * 9 + "This work is licensed under the GNU General Public License, version 2. See section 3. " + PROSE
     assert names(make, [one]) == {0: ["GPL-2.0"]}
+
+
+WRAPPED = {
+    "MIT": """// Permission is hereby granted, free of charge, to any
+// person obtaining a copy of this software and
+// associated documentation files (the "Software"), to deal""",
+    "Apache-2.0": """# Licensed under the Apache License,
+# Version 2.0 (the "License"); you may not use this file
+# except in compliance with the License.""",
+    "GPL-3.0": """ * This program is free software: you can redistribute it and/or
+ * modify it under the terms of the GNU General Public License as
+ * published by the Free Software Foundation, either
+ * version 3 of the License, or (at your option) any later version.""",
+    "BSD-3-Clause": "Redistribution and use in source and binary\n\tforms, with or without modification, are\n\tpermitted provided that the following conditions are met:",
+}
+
+
+def test_notice_over_several_lines(make):
+    assert names(make, [f"{prose(9)}\n\n{x}\n{prose(8)}" for x in WRAPPED.values()]) == {k: [x] for k, x in enumerate(WRAPPED)}
+    found = licenses.scan(make([(1, f"{prose(9)}\n\n{WRAPPED['GPL-3.0']}")])).collect()[0]["found"]
+    assert [(x["line"], x["license"], x["missing"]) for x in found] == [(2, "GPL-3.0", 0)]
+
+
+def test_two_licences_beside_each_other(make):
+    docs = {
+        "Licensed under the MIT License and the Apache License, Version 2.0.": ["Apache-2.0", "MIT"],
+        "Released under the MIT License. Licensed under CC BY 4.0. Licensed under CC BY-SA 4.0.": ["CC-BY-4.0", "CC-BY-SA-4.0", "MIT"],
+        "This work is licensed under the GNU General Public License, version 2 or version 3.": ["GPL-2.0", "GPL-3.0"],
+        "\n".join(WRAPPED.values()): sorted(WRAPPED),
+        "This work is licensed under the GNU Lesser General Public License, version 3.": ["LGPL-3.0"],
+        "This work is licensed under the GNU General Public License.\n\n3 cups of flour": [],
+    }
+    assert names(make, list(docs)) == dict(enumerate(docs.values()))
