@@ -33,3 +33,25 @@ def score(values: DataFrame, matches: DataFrame, id_col: str, text_col: str, pri
     if primary is not None:
         sim = sim.withColumn("s", F.col("s") * F.when(F.col("m") >= primary, 0.9).otherwise(1.0))
     return sim.groupBy("id").agg((F.sum("s") / matches.count()).alias("score")).select(F.col("id").alias(id_col), "score")
+
+
+def score_many(values: DataFrame, matches: DataFrame, id_col: str, text_col: str, most: int = 1_000_000) -> DataFrame:
+    """As score, for many values with unique ids and any number of match texts.
+
+    The mean of cosines is the cosine with the mean of the matches' vectors, so the matches become one vector, and no
+    pair of a value and a match is made. Texts are shuffled by id once and their grams stay where they are; the
+    grams' table is broadcast up to ``most`` grams and joined by shuffle beyond.
+    """
+    placed = values.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition("id")
+    grams = placed.select("id", F.explode(trigrams(F.col("text"))).alias("gram"))
+    n, m = values.count(), matches.count()
+    # a value's grams are told apart before they are counted, so that only counts are shuffled
+    each = values.select(F.explode(F.array_distinct(trigrams(F.col(text_col)))).alias("gram"))
+    idf = each.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).select("gram", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
+    q, _ = weights(matches, "m", "text", idf)
+    model = idf.join(q.groupBy("gram").agg((F.sum("w") / m).alias("v")), "gram", "left")
+    if idf.limit(most + 1).count() <= most:
+        model = F.broadcast(model)
+    tf = grams.groupBy("id", "gram").agg(F.count(F.lit(1)).alias("tf")).join(model, "gram").withColumn("w", F.col("tf") * F.col("idf"))
+    both = tf.groupBy("id").agg(F.sum(F.col("w") * F.col("v")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+    return both.where("dot is not null").select(F.col("id").alias(id_col), (F.col("dot") / F.col("size")).alias("score"))

@@ -269,6 +269,18 @@ def tfidf_rerank(spark, d):
     return rr.score(table(spark, d, "benchmark"), matches(spark, d), "item_id", "text", 4).withColumn("score", F.round("score", 4))
 
 
+STATEMENT_TEXT = "SELECT statement_id AS id, t.value || ': ' || s.value AS text FROM statement s JOIN topic t USING (topic_id)"
+
+
+@query(base("SELECT id AS statement_id, round(score, 4) AS score FROM tfidf", tfidf(STATEMENT_TEXT, "SELECT text, item_id AS m FROM benchmark")))
+def statement_rerank(spark, d):
+    """All statements of the graph, as 'topic: statement', by their mean similarity to the benchmark's texts."""
+    g = graph(spark, d)
+    told = g.statement.join(g.topic.select("topic_id", F.col("value").alias("topic")), "topic_id").select("statement_id", F.concat("topic", F.lit(": "), "value").alias("text"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("m"), "text")
+    return rr.score_many(told, asked, "statement_id", "text").withColumn("score", F.round("score", 4))
+
+
 TOPIC_TEXT = "SELECT topic_id AS id, substr(topic || ' ' || string_agg(value, ' ' ORDER BY seq, pos), 1, 4000) AS text FROM ext GROUP BY topic_id, topic"
 
 
