@@ -6,8 +6,10 @@ A topic without statements, or a result without topics, is no row, so nothing ha
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,11 +64,43 @@ def token_budget(rows: DataFrame, budget: int, cost: Column, ceiling: int = 10_0
 
 
 def token_budget_per_topic(rows: DataFrame, budget: int, cost: Column) -> DataFrame:
-    """Each topic gets an equal part of the budget, which its first statement may exceed."""
+    """Each topic gets an equal part of the budget, which its first statement may exceed; all stops where the whole budget is spent.
+
+    Results are visited by descending score (see rescore) and id, their topics by name. A topic that is reached while
+    anything is left keeps its first statement; a further one that what is left doesn't pay for ends the topic. Costs
+    aren't negative. What the parts allow may cost more than the budget only by first statements; then the results
+    that can be reached are found by the sums of their first statements, first those of ranges of scores,
+    and only these are walked through, in one task.
+    """
     part = budget // max(1, rows.select("source_id", "topic").distinct().count())
     w = Window.partitionBy("source_id", "topic").orderBy(F.desc("score"), "statement")
     run = rows.withColumn("cost", cost).withColumn("spent", F.sum("cost").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rank", F.row_number().over(w))
-    return run.where((F.col("spent") <= part) | (F.col("rank") == 1)).drop("spent", "rank")
+    kept = run.where((F.col("spent") <= part) | (F.col("rank") == 1))
+    if (kept.agg(F.sum("cost")).first()[0] or 0) < budget:
+        return kept.drop("spent", "rank")
+    scored = rescore(rows).withColumn("result_score", F.round("result_score", 9))
+    least = kept.where("rank = 1").groupBy("source_id").agg(F.sum("cost").alias("least")).join(scored, "source_id")
+    bounds = sorted(set(scored.agg(F.percentile_approx("result_score", [k / 200 for k in range(200)], 10_000)).first()[0] or []))
+    sums = dict(least.groupBy(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= F.col("result_score"))).alias("k")).agg(F.sum("least")).collect())
+    need, total = len(bounds), 0
+    while need and (total := total + (sums.get(need) or 0)) < budget:
+        need -= 1
+    need -= 1  # sums of floats may differ in the last place when they are made again
+    near = scored.where(F.col("result_score") >= bounds[need - 1]) if need > 0 else scored
+    walked = kept.join(near, "source_id").repartition(1).sortWithinPartitions(F.desc("result_score"), "source_id", "topic", "rank")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, closed = budget, False
+        for b in batches:
+            keep = []
+            for rank, c in zip(b.column("rank").to_pylist(), b.column("cost").to_pylist()):
+                closed = left <= 0 or rank > 1 and (closed or (c or 0) > left)
+                keep.append(not closed)
+                if not closed:
+                    left -= c or 0
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return walked.mapInArrow(walk, walked.schema).drop("spent", "rank", "result_score")
 
 
 def statement_strings(rows: DataFrame) -> DataFrame:
