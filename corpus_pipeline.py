@@ -7,6 +7,7 @@ are written and read again between stages. All but the last return the columns o
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomgraph.llm import decontam, jaccard, repetition, sentpiece, suffixes
 from loomgraph.llm.common import table, written
@@ -34,8 +35,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, the ids of the text and how many, and digests of ids and decoded text."""
-    return sentpiece.digests(docs, tokenizer(MODEL))
+    """doc_id, the ids of the text and the decoded text, how many ids, and digests of ids and decoded text."""
+    made = sentpiece.encode(docs, tokenizer(MODEL))
+    told = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return made.select("doc_id", "ids", "decoded", F.size("ids").cast("long").alias("n_tokens"), F.sha2(told, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
