@@ -10,7 +10,8 @@ The benchmark is cut into blocks of at most ``block_bytes``, each searched by a
 is broadcast never exceeds a block's tables however large the benchmark is. The passes are chained
 row-wise: nothing is shuffled.
 
-Null texts and items have no words. Repeated rows of documents give repeated rows; repeated items count
+Null texts have no words. The words of an item with a null id count as hits, but it isn't named among the
+items; the SQL leaves such items out. Repeated rows of documents give repeated rows; repeated items count
 once; an empty benchmark contaminates nothing. Other columns are not read.
 """
 
@@ -54,7 +55,7 @@ class Patterns:
 
     def __init__(self, items: list[tuple[str, str]], window: int):
         texts = pa.array([t for _, t in items], pa.large_string())
-        self.names = sorted({i for i, _ in items})
+        self.names = sorted({i for i, _ in items}, key=lambda x: (x is None, x))
         number = {x: i for i, x in enumerate(self.names)}
         owner = np.array([number[i] for i, _ in items], np.int64)
         hashes, spans, counts = [], [], []
@@ -202,7 +203,7 @@ def block(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
 
 def blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[Patterns]:
     """The benchmark in parts of about block_bytes; longer items are cut into overlapping pieces first."""
-    b = two(benchmark, item_col, text_col).where("text is not null and id is not null")
+    b = two(benchmark, item_col, text_col).where("text is not null")
     piece = max(1000, block_bytes // 32)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +283,8 @@ def _step(shared, out: T.StructType, last: bool):
                 w = run.words(tb.ALNUM)
                 hit, docs, which = (np.zeros(len(w), bool), [], []) if patterns is None else patterns.find(run, w)
                 for d, i in zip(docs, which):
-                    items[d] = [*items[d], patterns.names[i]]
+                    if patterns.names[i] is not None:
+                        items[d] = [*items[d], patterns.names[i]]
                 for d, x in enumerate(spans):
                     if x:
                         for lo, hi in np.frombuffer(x, np.int64).reshape(-1, 2) + w.offs[d]:
