@@ -78,7 +78,10 @@ def composite_search(spark, d):
 
 @query(base("SELECT source_id, topic_id, statement_id, score FROM (SELECT *, row_number() OVER (PARTITION BY source_id, topic_id ORDER BY score DESC, md5) AS rn FROM (SELECT r.*, md5(s.value) AS md5 FROM res r JOIN statement s USING (statement_id) WHERE score >= 0.05 * (SELECT max(score) FROM res))) WHERE rn <= 10", f"{SEED}, {grouping(CHUNKS)}"))
 def search_chain(spark, d):
-    """A search with the processors that follow it by default: prune, rescore, truncate."""
+    """A search with two of the processors that follow it by default, prune and truncate of statements.
+
+    Left out are TF-IDF rerank, rescore, statement strings and the order of results; scores are numbers of facts.
+    """
     g = graph(spark, d)
     rows = r.grouped(g, r.chunk_statements(g, chunk_seeds(spark, d, g))).join(g.statement.select("statement_id", F.md5(F.col("value").cast("binary")).alias("statement")), "statement_id")
     rows = p.prune_statements(rows.withColumnRenamed("topic_id", "topic"))
