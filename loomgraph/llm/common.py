@@ -93,6 +93,23 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_buckets(df: DataFrame, text_col: str, bytes_each: int) -> int:
+    """How many buckets of about so many bytes of text a table needs; 1 at least."""
+    total = df.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
+    return max(1, -(-total // bytes_each))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df doesn't have, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n in taken:
+            n = "_" + n
+        taken.add(n)
+        out.append(n)
+    return out
+
+
 def crc_mod(id_col, mod: int):
     """crc32 of the id as text, modulo mod; null for a null id."""
     return F.crc32(id_col.cast("string").cast("binary")) % F.lit(mod)

@@ -2,7 +2,8 @@
 
 A pass over the array takes as many entries at once as it can: up to the first place that one of them
 induces an entry at. Nothing before that place can change any more, so the result is that of going entry by
-entry; in random text the stretches are about as long as the root of the array.
+entry. Where that place is near, as in runs of equal symbols, the whole bucket is settled at once: which
+entries its own ones induce in it follows from the lengths of their runs.
 """
 
 from __future__ import annotations
@@ -10,20 +11,58 @@ from __future__ import annotations
 import numpy as np
 
 
+def _order(t: np.ndarray) -> np.ndarray:
+    """A stable order; symbols of 16 bits are sorted by radix."""
+    return np.argsort(t.astype(np.uint16) if len(t) and int(t.max()) < 1 << 16 else t, kind="stable")
+
+
 def _ranks(t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each value how many equal ones come before it; the distinct values and their numbers."""
-    order = np.argsort(t, kind="stable")
+    order = _order(t)
     if not len(t):
         return order, t, order
     s = t[order]
     head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
     many = np.diff(np.concatenate([head, [len(s)]]))
-    rank = np.empty(len(t), np.int64)
-    rank[order] = np.arange(len(t)) - np.repeat(head, many)
+    rank = np.empty(len(t), np.int32)
+    rank[order] = np.arange(len(t), dtype=np.int32) - np.repeat(head, many)
     return rank, s[head], many
 
 
-def _induce(s: np.ndarray, sa: np.ndarray, is_s: np.ndarray, free: np.ndarray, larger: bool) -> None:
+def _chain(s: np.ndarray, sa: np.ndarray, is_s: np.ndarray, free: np.ndarray, run: np.ndarray, at: int, larger: bool) -> int:
+    """Settle the bucket at ``at`` at once: all entries that its own ones induce in it, run by run, and those in others."""
+    c = s[sa[at]]
+    front = sa[at : free[c]] if larger else sa[free[c] + 1 : at + 1][::-1]
+    # entry e induces e - 1, e - 2 ... in its own bucket, as far as its run of equal symbols reaches back
+    step = run[front]
+    total = int(step.sum())
+    if total:
+        own = np.repeat(np.arange(len(front)), step)
+        k = np.arange(total) - np.repeat(np.cumsum(step) - step, step)
+        order = np.argsort(k, kind="stable")  # by steps back, then as in the front
+        made = (front[own] - 1 - k)[order]
+        if larger:
+            sa[free[c] : free[c] + total] = made
+            free[c] += total
+        else:
+            sa[free[c] - total + 1 : free[c] + 1] = made[::-1]
+            free[c] -= total
+    zone = sa[at : free[c]] if larger else sa[free[c] + 1 : at + 1][::-1]
+    j = zone - 1
+    j = j[j >= 0]
+    j = j[(is_s[j] != larger) & (s[j] != c)]
+    if len(j):
+        rank, kinds, many = _ranks(s[j])
+        if larger:
+            sa[free[s[j]] + rank] = j
+            free[kinds] += many
+        else:
+            sa[free[s[j]] - rank] = j
+            free[kinds] -= many
+    return len(zone)
+
+
+def _induce(s: np.ndarray, sa: np.ndarray, is_s: np.ndarray, free: np.ndarray, run: np.ndarray, larger: bool) -> None:
     """Fill in the larger suffixes from left to right, or the smaller ones from right to left."""
     n = len(s)
     at, width = (0, 64) if larger else (n - 1, 64)
@@ -39,6 +78,10 @@ def _induce(s: np.ndarray, sa: np.ndarray, is_s: np.ndarray, free: np.ndarray, l
             rank, kinds, many = _ranks(t)
             place = free[t] + rank if larger else free[t] - rank
             cut = int(place.min()) - at if larger else at - int(place.max())
+            if cut < min(size, 256) and sa[at] >= 0 and is_s[sa[at]] != larger:
+                size = _chain(s, sa, is_s, free, run, at, larger)
+                at += size if larger else -size
+                continue
             if cut < size:
                 good = k < cut
                 j, place, size = j[good], place[good], cut
@@ -48,35 +91,39 @@ def _induce(s: np.ndarray, sa: np.ndarray, is_s: np.ndarray, free: np.ndarray, l
                 free[kinds] += many
             else:
                 free[kinds] -= many
-        width = min(1 << 20, width * 2) if size == width else max(16, 2 * size)
+        width = min(1 << 20, width * 2) if size == width else max(64, 2 * size)
         at += size if larger else -size
 
 
-def _sorted(s: np.ndarray, lms: np.ndarray, is_s: np.ndarray, edge: np.ndarray) -> np.ndarray:
+def _sorted(s: np.ndarray, lms: np.ndarray, is_s: np.ndarray, edge: np.ndarray, run: np.ndarray) -> np.ndarray:
     """The array that LMS suffixes in the given order induce."""
-    sa = np.full(len(s), -1, np.int64)
+    sa = np.full(len(s), -1, np.int32)
     back = lms[::-1]
     sa[edge[1:][s[back]] - 1 - _ranks(s[back])[0]] = back
     # the end of the string, which comes before everything, induces the last suffix: a larger one
     free = edge[:-1].copy()
     sa[free[s[-1]]] = len(s) - 1
     free[s[-1]] += 1
-    _induce(s, sa, is_s, free, larger=True)
+    _induce(s, sa, is_s, free, run, larger=True)
     found = np.flatnonzero(sa >= 0)
     sa[found[is_s[sa[found]]]] = -1
-    _induce(s, sa, is_s, edge[1:] - 1, larger=False)
+    _induce(s, sa, is_s, edge[1:] - 1, run, larger=False)
     return sa
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Starts of the suffixes of s, which holds integers from 0, in order."""
-    s = np.asarray(s, np.int64)
+    s = np.asarray(s, np.int32)
     n = len(s)
+    if n >= 1 << 31:
+        raise ValueError("arrays are of less than 2^31 symbols")
     if n < 2:
         return np.arange(n)
     # smaller: less than the next one, or equal to it where that is smaller; the last one is larger
     differ = np.flatnonzero(s[1:] != s[:-1])
     is_s = np.zeros(n, bool)
+    # how many symbols right before each are equal to it
+    run = np.arange(n, dtype=np.int32) - np.repeat(np.concatenate([[0], differ + 1]), np.diff(np.concatenate([[0], differ + 1, [n]]))).astype(np.int32)
     if len(differ):
         up = s[differ] < s[differ + 1]
         reach = np.searchsorted(differ, np.arange(n - 1))
@@ -85,17 +132,17 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
     edge = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=int(s.max()) + 1))])
     if len(lms):
-        sa = _sorted(s, lms, is_s, edge)
+        sa = _sorted(s, lms, is_s, edge, run)
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
         order = sa[is_lms[sa]]
         name = _names(s, order, lms, is_s)
         if name.max() + 1 < len(lms):
-            by_place = np.empty(n, np.int64)
+            by_place = np.empty(n, np.int32)
             by_place[order] = name
             order = lms[suffix_array(by_place[lms])]
         lms = order
-    return _sorted(s, lms, is_s, edge)
+    return _sorted(s, lms, is_s, edge, run)
 
 
 def _names(s: np.ndarray, order: np.ndarray, lms: np.ndarray, is_s: np.ndarray) -> np.ndarray:
@@ -120,18 +167,30 @@ def _names(s: np.ndarray, order: np.ndarray, lms: np.ndarray, is_s: np.ndarray)
 
 
 def permuted_lcp(s: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """For each place in the text the length, up to most, that its suffix shares with the one before it in order."""
+    """For each place in the text the length, up to most, that its suffix shares with the one before it in order.
+
+    Where both suffixes have the same symbol before them, the length is one less than at the place before; only
+    the others are compared symbol by symbol, and their lengths add up to n log n at most.
+    """
     n = len(s)
-    phi = np.full(n, -1, np.int64)
+    phi = np.full(n, -1, np.int32)
     phi[sa[1:]] = sa[:-1]
-    out = np.zeros(n, np.int64)
-    live = np.flatnonzero(phi >= 0)
+    back = np.flatnonzero(phi > 0)
+    back = back[back > 0]
+    follows = np.zeros(n, bool)
+    follows[back[s[back - 1] == s[phi[back] - 1]]] = True
+    out = np.zeros(n, np.int32)
+    live = np.flatnonzero((phi >= 0) & ~follows)
     step = 0
-    while len(live) and step < most:
+    while len(live):
+        width = max(1, min(4096, (1 << 16) // len(live)))  # as few are left, more symbols at a time
         x, y = live + step, phi[live] + step
-        good = (x < n) & (y < n)
-        live, x, y = live[good], x[good], y[good]
-        live = live[s[x] == s[y]]
-        out[live] = step + 1
-        step += 1
-    return out
+        room = np.minimum(n - np.maximum(x, y), width)
+        ahead = np.arange(width)
+        same = (s[np.minimum(x[:, None] + ahead, n - 1)] == s[np.minimum(y[:, None] + ahead, n - 1)]) & (ahead < room[:, None])
+        whole = same.all(axis=1)
+        out[live] = step + np.where(whole, width, np.argmin(same, axis=1))
+        live = live[whole]
+        step += width
+    own = np.maximum.accumulate(np.where(follows, 0, np.arange(n, dtype=np.int32))) if n else out
+    return np.minimum(out[own] - (np.arange(n, dtype=np.int32) - own), most) if n else out

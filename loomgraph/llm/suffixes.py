@@ -19,9 +19,15 @@ texts quote, is hot: its strings are sent one by one, under their own hash, so t
 string ever come together, one a block. Settling in blocks before anything is shuffled and hashing
 wholes bounds every group; nothing is broadcast or collected.
 
+There are as many buckets as ``BUCKET`` goes into the bytes of all texts, each a task of its own that reads its
+records one by one, so neither a task's bytes nor its memory grow with the input: what it keeps is settled
+whenever ``HELD`` regions have come together, and arrays are made of ``PART`` bytes of shards at a time. Texts of
+over ``RUN`` bytes are looked at in pieces. What is removed travels as maximal intervals of a text.
+
 Null and empty texts have no bytes. Rows whose id is null aren't compared with any and keep all their
 bytes. Rows with the same id and text are one text; rows with one id and different texts are compared as
-texts of that id, by place. Other columns aren't read. An empty table gives an empty result.
+texts of that id, by place. Ids are integers, as they tell which text is earlier; others raise a TypeError. Other
+columns aren't read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +37,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,15 +45,19 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomgraph.llm import textbuf as tb
-from loomgraph.llm.common import finished, two, written
+from loomgraph.llm.common import finished, fresh, text_buckets, two, written
 from loomgraph.llm.katz import pack, unpack
 from loomgraph.llm.sais import permuted_lcp, suffix_array
 
 GRAM = 24
-STRETCH = 16
-#: bytes of text looked at at once; a longer text is looked at whole
+STRETCH = 32
+#: bytes of text looked at at once
 RUN = 1 << 20
 MANY = 256
+#: bytes of all texts for each bucket; regions that a bucket keeps before it settles them; bytes of stretches in an array
+BUCKET = 8 << 20
+HELD = 400_000
+PART = 1 << 20
 ANCHORS, GONE, STRETCHES, ASK = range(4)
 #: id and text say which text it is (text by its hash); GONE: bytes from a to b; ASK: strings from a to b, whose anchor is back after a
 FLAT = T.StructType([
@@ -97,16 +108,50 @@ def anchors(run: tb.Run, size: int) -> tuple[np.ndarray, ...]:
     return s[head], s[last], p[head], doc[s[head]]
 
 
+def pieces(column: pa.Array, size: int) -> Iterator[tuple[tb.Run, int]]:
+    """Runs of a column of texts, and how many bytes of its only document come before each; pieces of a long text overlap."""
+    for run in tb.runs(column, RUN):
+        if len(run.data) <= 2 * RUN:
+            yield run, 0
+            continue
+        for x in range(0, len(run.data), RUN):
+            data = run.data[x : x + RUN + size]
+            yield tb.Run(data, np.array([0, len(data)]), run.first), x
+
+
+def lost(schema: pa.Schema, buckets: int, ids: np.ndarray, texts: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """GONE rows: the maximal intervals of each text."""
+    if not len(ids):
+        return batch(schema, 0)
+    order = np.lexsort((a, texts, ids))
+    ids, texts, a, b = ids[order], texts[order], a[order], b[order]
+    own = np.cumsum(np.concatenate([[False], (ids[1:] != ids[:-1]) | (texts[1:] != texts[:-1])])).astype(np.int64) << 40
+    reach = np.maximum.accumulate(b + own)
+    head = np.flatnonzero(np.concatenate([[True], (a + own)[1:] > reach[:-1]]))
+    end = (reach - own)[np.concatenate([head[1:], [len(ids)]]) - 1]
+    return batch(schema, len(head), kind=GONE, bucket=(a[head] % buckets).astype(np.int32), id=ids[head], text=texts[head], a=a[head], b=end)
+
+
 def settle(keys: tuple[np.ndarray, ...], ids: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first of each group of equal keys, by id and place; and which of the others start later than theirs."""
+    """The first of each group of equal keys, by id and place; and which of the others start later than theirs.
+
+    The firsts are in the order of the keys.
+    """
     if not len(ids):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = np.lexsort((a, ids, *keys[::-1]))
+    order = np.lexsort(keys[::-1])
     new = np.zeros(len(order), bool)
     new[0] = True
     for k in keys:
         s = k[order]
         new[1:] |= s[1:] != s[:-1]
+    # only groups of several are sorted by id and place
+    alone = new & np.concatenate([new[1:], [True]])
+    some = np.flatnonzero(~alone)
+    if len(some):
+        group = np.cumsum(new)[some]
+        mine = order[some]
+        order[some] = mine[np.lexsort((a[mine], ids[mine], group))]
     head = np.flatnonzero(new)
     own = np.repeat(order[head], np.diff(np.concatenate([head, [len(order)]])))
     later = (ids[order] != ids[own]) | (a[order] != a[own])
@@ -143,37 +188,44 @@ class Sender:
     """Settles equal stretches of a task and packs the rest by bucket."""
 
     def __init__(self, schema: pa.Schema, buckets: int, size: int):
-        self.schema, self.buckets, self.size, self.rows = schema, buckets, size, []
+        self.schema, self.buckets, self.size, self.rows, self.held = schema, buckets, size, [], 0
 
     def add(self, run: tb.Run, a, b, p, group, ids, texts, base) -> None:
         """ids, texts, base: of each region; base is where its document begins in the run."""
         own, first, many, shard, whole = stretches(run, a, b, p, group, self.size)
-        n = many + self.size - 1
-        self.rows.append((ids[own], texts[own], first - base[own], many, shard, whole, cut_bytes(run, first, many, self.size), n))
+        keep, later = settle((shard, whole), ids[own], first - base[own])
+        late = own[later], first[later], many[later]
+        own, first, many, shard, whole = (x[keep] for x in (own, first, many, shard, whole))
+        data = cut_bytes(run, first, many, self.size)
+        self.rows.append(((ids[own], texts[own], first - base[own], many, shard, whole, data), (ids[late[0]], texts[late[0]], late[1] - base[late[0]], late[1] - base[late[0]] + late[2] + self.size - 1)))
+        self.held += len(data) + 48 * len(own) + 32 * len(later)
         run.rest()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.rows:
             return
-        ids, texts, first, many, shard, whole, data, n = (np.concatenate(x) for x in zip(*self.rows))
-        self.rows = []
+        ids, texts, first, many, shard, whole, data = (np.concatenate(x) for x in zip(*(r[0] for r in self.rows)))
+        gone = [np.concatenate(x) for x in zip(*(r[1] for r in self.rows))]
+        self.rows, self.held = [], 0
+        n = many + self.size - 1
         keep, later = settle((shard, whole), ids, first)
-        tb.release()
-        yield batch(self.schema, len(later), kind=GONE, bucket=(first[later] % self.buckets).astype(np.int32), id=ids[later], text=texts[later], a=first[later], b=first[later] + n[later])
+        yield lost(self.schema, self.buckets, *(np.concatenate([x, y[later]]) for x, y in zip(gone, (ids, texts, first, first + n))))
         ends = np.cumsum(n)
         bucket = (shard[keep] % tb.U64(self.buckets)).astype(np.int64)
         order = keep[np.argsort(bucket, kind="stable")]
         bucket = np.sort(bucket)
         at = np.searchsorted(bucket, np.arange(self.buckets + 1))
-        rows = []
-        for k, (i, j) in enumerate(zip(at[:-1], at[1:])):
-            if j > i:
-                mine = order[i:j]
-                step = np.arange(n[mine].sum()) - np.repeat(np.cumsum(n[mine]) - n[mine], n[mine])
-                body = data[np.repeat(ends[mine] - n[mine], n[mine]) + step]
-                rows.append((k, pack(ids[mine].view(np.uint64), texts[mine].view(np.uint64), first[mine], many[mine], shard[mine], whole[mine], body)))
-        if rows:
-            yield batch(self.schema, len(rows), kind=STRETCHES, bucket=[k for k, _ in rows], blob=[x for _, x in rows])
+        for lo in range(0, self.buckets, 64):
+            rows = []
+            for k in range(lo, min(lo + 64, self.buckets)):
+                mine = order[at[k] : at[k + 1]]
+                if len(mine):
+                    step = np.arange(n[mine].sum()) - np.repeat(np.cumsum(n[mine]) - n[mine], n[mine])
+                    body = data[np.repeat(ends[mine] - n[mine], n[mine]) + step]
+                    rows.append((k, pack(ids[mine].view(np.uint64), texts[mine].view(np.uint64), first[mine], many[mine], shard[mine], whole[mine], body)))
+            if rows:
+                yield batch(self.schema, len(rows), kind=STRETCHES, bucket=[k for k, _ in rows], blob=[x for _, x in rows])
+        tb.release()
 
 
 def first_pass(size: int, buckets: int, block_bytes: int, most: int) -> Callable:
@@ -185,7 +237,7 @@ def first_pass(size: int, buckets: int, block_bytes: int, most: int) -> Callable
             a, b, p, ids, texts, base, key, whole = (np.concatenate(x) for x in zip(*found))
             where = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
             keep, later = settle((key, whole), ids, a - base)
-            yield batch(schema, len(later), kind=GONE, bucket=((a - base)[later] % buckets).astype(np.int32), id=ids[later], text=texts[later], a=(a - base)[later], b=(b - base)[later] + size)
+            yield lost(schema, buckets, ids[later], texts[later], (a - base)[later], (b - base)[later] + size)
             # hot anchors: too many regions in this block alone
             k = key[keep]
             head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
@@ -204,7 +256,7 @@ def first_pass(size: int, buckets: int, block_bytes: int, most: int) -> Callable
             flag_of = (flags % tb.U64(buckets)).astype(np.int64)
             rows = []
             for x, (i, j) in enumerate(zip(at[:-1], at[1:])):
-                m, f = rest[i:j], flags[flag_of == x]
+                m, f = rest[i:j], flags[flag_of == x] if len(flags) else flags
                 if len(m) or len(f):
                     pairs, which = np.unique(np.stack([ids[m], texts[m]]), axis=1, return_inverse=True)
                     rows.append((x, pack(np.diff(key[m], prepend=tb.U64(0)), whole[m], pairs[0].view(np.uint64), pairs[1].view(np.uint64), which.ravel(), (a - base)[m], (b - a)[m], (p - a)[m], f)))
@@ -213,11 +265,11 @@ def first_pass(size: int, buckets: int, block_bytes: int, most: int) -> Callable
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             texts = b.column(1).to_numpy(zero_copy_only=False)
-            for run in tb.runs(b.column(2), RUN):
+            for run, before in pieces(b.column(2), size - 1):
                 lo, hi, p, doc = anchors(run, size)
                 key = run.span_hash(p, p + GRAM, False) >> tb.U64(16)  # unequal anchors with equal keys only cost a comparison
                 whole = run.span_hash(lo, hi + size, False) + (p - lo).astype(tb.U64) * tb.STEPS[8]
-                found.append((lo, hi, p, ids[run.first + doc], texts[run.first + doc], run.offs[doc], key, whole))
+                found.append((lo, hi, p, ids[run.first + doc], texts[run.first + doc], run.offs[doc] - before, key, whole))
                 runs.append(run.rest())
                 held += len(run.data)
                 if held >= block_bytes:
@@ -226,36 +278,55 @@ def first_pass(size: int, buckets: int, block_bytes: int, most: int) -> Callable
                     tb.release()
         if runs:
             yield from flush()
+            tb.release()
 
     return apply
 
 
-def compare_regions(size: int, most: int) -> Callable:
+def compare_regions(size: int, buckets: int, most: int, held: int) -> Callable:
     """A bucket of anchors: equal regions are settled, differing ones asked for; other rows pass."""
 
-    def apply(t: pa.Table) -> pa.Table:
-        schema = t.schema
-        kinds = t["kind"].to_numpy()
-        out = [t.filter(pa.array(kinds != ANCHORS))]
-        got = [unpack(x) for x in t["blob"].filter(pa.array(kinds == ANCHORS)).to_pylist()]
-        if got:
-            cat = lambda xs: np.concatenate(list(xs))
-            key = cat(np.cumsum(g[0], dtype=np.uint64) for g in got)
-            ids, texts = (cat(g[i][g[4].astype(np.int64)].view(np.int64) for g in got) for i in (2, 3))
-            whole, flags = cat(g[1] for g in got), np.unique(cat(g[8] for g in got))
-            a, more, back = (cat(g[i].astype(np.int64) for g in got) for i in (5, 6, 7))
-            keep, later = settle((key, whole), ids, a)
-            out.append(pa.Table.from_batches([batch(schema, len(later), kind=GONE, id=ids[later], text=texts[later], a=a[later], b=a[later] + more[later] + size)]))
-            k = key[keep]
-            if len(k):
-                head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-                many = np.diff(np.concatenate([head, [len(k)]]))
-                hot = np.repeat((many > most) | np.isin(k[head], flags), many)
-                ask = keep[np.repeat(many > 1, many) | hot]
-                group = np.where(hot, 1, STRETCH)[np.repeat(many > 1, many) | hot]
-                out.append(pa.Table.from_batches([batch(schema, len(ask), kind=ASK, id=ids[ask], text=texts[ask], a=a[ask], b=a[ask] + more[ask], back=back[ask], group=group)]))
-        tb.release()
-        return pa.concat_tables(out)
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(FLAT)
+        hot, kept, fresh_, count = np.zeros(0, tb.U64), [np.zeros(0, tb.U64 if i < 2 else np.int64) for i in range(7)], [], 0
+
+        def asked(x: list[np.ndarray], group: int) -> pa.RecordBatch:
+            _, _, ids, texts, a, more, back = x
+            return batch(schema, len(ids), kind=ASK, id=ids, text=texts, a=a, b=a + more, back=back, group=group)
+
+        def settled(last: bool) -> Iterator[pa.RecordBatch]:
+            """Settle what has come together; regions of hot anchors are asked for at once and forgotten."""
+            nonlocal hot, kept, fresh_, count
+            x = [np.concatenate(c) for c in zip(kept, *fresh_)]
+            fresh_, count = [], 0
+            keep, later = settle((x[0], x[1]), x[2], x[4])
+            yield lost(schema, buckets, x[2][later], x[3][later], x[4][later], x[4][later] + x[5][later] + size)
+            x = [c[keep] for c in x]
+            k = x[0]
+            head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+            many = np.diff(np.concatenate([head, [len(k)]]))
+            hot = np.union1d(hot, k[head[many > most]])
+            warm = np.repeat(np.isin(k[head], hot), many)
+            yield asked([c[warm] for c in x], 1)
+            rest = ~warm & np.repeat(many > 1, many) if last else ~warm
+            kept = [c[rest] for c in x]
+            if last:
+                yield asked(kept, STRETCH)
+            tb.release()
+
+        for b in batches:
+            kinds = b.column(0).to_numpy()
+            if (kinds != ANCHORS).any():
+                yield b.filter(pa.array(kinds != ANCHORS))
+            for blob in b.column(8).filter(pa.array(kinds == ANCHORS)):
+                key, whole, i, t, which, a, more, back, flags = unpack(blob.as_py())
+                which = which.astype(np.int64)
+                hot = np.union1d(hot, flags)
+                fresh_.append((np.cumsum(key, dtype=np.uint64), whole, i[which].view(np.int64), t[which].view(np.int64), a.astype(np.int64), more.astype(np.int64), back.astype(np.int64)))
+                count += len(key)
+                if count >= held:
+                    yield from settled(False)
+        yield from settled(True)
 
     return apply
 
@@ -265,66 +336,89 @@ def cut_out(size: int, buckets: int, block_bytes: int) -> Callable:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(FLAT)
-        sender, held = Sender(schema, buckets, size), 0
+        sender = Sender(schema, buckets, size)
         for b in batches:
             lists = b.column(3)
             offs, flat = lists.offsets.to_numpy(), lists.values
             a, last, back, group = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
             ids, texts = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for run in tb.runs(unzipped(b.column(2)), RUN):
-                i, j = offs[run.first], offs[run.first + run.n]
-                row = np.repeat(np.arange(run.n), np.diff(offs[run.first : run.first + run.n + 1]))
-                base = run.offs[row]
-                sender.add(run, a[i:j] + base, last[i:j] + base, a[i:j] + back[i:j] + base, group[i:j], ids[run.first + row], texts[run.first + row], base)
-                held += j - i
-                if held * 4 * (size + STRETCH) >= block_bytes:
-                    yield from sender.flush()
-                    held = 0
+            for k in range(0, b.num_rows, 64):
+                for run, before in pieces(unzipped(b.column(2).slice(k, 64)), 2 * size):
+                    first = k + run.first
+                    i, j = offs[first], offs[first + run.n]
+                    row = np.repeat(np.arange(run.n), np.diff(offs[first : first + run.n + 1]))
+                    mine = np.arange(i, j)
+                    if len(run.data) > 2 * RUN or before:  # a piece of a text has the regions that begin in it
+                        on = (a[i:j] >= before) & (a[i:j] < before + RUN)
+                        mine, row = mine[on], row[on]
+                    base = run.offs[row] - before
+                    sender.add(run, a[mine] + base, last[mine] + base, a[mine] + back[mine] + base, group[mine], ids[first + row], texts[first + row], base)
+                    if sender.held >= block_bytes:
+                        yield from sender.flush()
         yield from sender.flush()
 
     return apply
 
 
-def shard_arrays(size: int, schema: T.StructType) -> Callable:
+def repeated(size: int, data: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of stretches that lie one behind the other in data: each string of size bytes that occurs in several places as
+    its stretch, its place there, and a number that equal strings share."""
+    size_of = n + 1  # each is followed by a 0, less than any byte
+    at = np.cumsum(size_of) - size_of
+    own = np.repeat(np.arange(len(n), dtype=np.int32), size_of)
+    step = np.arange(len(own), dtype=np.int32) - at[own].astype(np.int32)
+    real = step < n[own]
+    string = np.zeros(len(own), np.int32)
+    string[real] = data.astype(np.int32) + 1
+    order = suffix_array(string)
+    left = (n[own] - step).astype(np.int32)
+    common = np.minimum(permuted_lcp(string, order, size), left)[order]
+    # a run of suffixes that share size bytes with the one before is one string
+    string_of = np.cumsum(common < size)
+    fits = left[order] >= size
+    place, string_of = order[fits], string_of[fits]
+    return own[place], step[place], string_of
+
+
+def shard_arrays(size: int, buckets: int, part: int) -> Callable:
     """Repeated strings of a bucket of stretches."""
 
-    def apply(t: pa.Table) -> pa.Table:
-        s = to_arrow_schema(schema)
-        got = [unpack(x, as_bytes=6) for x in t["blob"].to_pylist()]
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(FLAT)
+        got = [unpack(x.as_py(), as_bytes=6) for b in batches for x in b.column(1)]
+        if not got:
+            return
         cat = lambda xs: np.concatenate(list(xs))
         ids, texts = (cat(g[i].view(np.int64) for g in got) for i in (0, 1))
         first, many = (cat(g[i].astype(np.int64) for g in got) for i in (2, 3))
         shard, whole = (cat(g[i] for g in got) for i in (4, 5))
         data = cat(g[6] for g in got)
+        del got
         n = many + size - 1
         begin = np.cumsum(n) - n
         keep, later = settle((shard, whole), ids, first)
-        out = [batch(s, len(later), id=ids[later], text=texts[later], a=first[later], b=first[later] + n[later])]
+        yield lost(schema, buckets, ids[later], texts[later], first[later], first[later] + n[later])
         k = shard[keep]
         head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         alike = np.diff(np.concatenate([head, [len(k)]]))
         keep = keep[np.repeat(alike > 1, alike)]
-        if len(keep):
-            size_of = n[keep] + 1  # each is followed by a 0, less than any byte
-            at = np.cumsum(size_of) - size_of
-            own = np.repeat(np.arange(len(keep)), size_of)
-            step = np.arange(len(own)) - at[own]
-            string = np.zeros(len(own), np.int64)
-            real = step < n[keep][own]
-            string[real] = data[begin[keep][own[real]] + step[real]].astype(np.int64) + 1
-            order = suffix_array(string)
-            left = n[keep][own] - step
-            common = np.minimum(permuted_lcp(string, order, size), left)[order]
-            fits = left[order] >= size
-            # a run of suffixes that share size bytes with the one before is one string
-            string_of = np.cumsum(~(common >= size))[fits]
-            place = order[fits]
-            row = keep[own[place]]
-            where = first[row] + step[place]
-            _, again = settle((string_of,), ids[row], where)
-            out.append(batch(s, len(again), id=ids[row[again]], text=texts[row[again]], a=where[again], b=where[again] + size))
+        k = shard[keep]
+        # shards lie whole in the parts; equal strings have equal cores, so other parts can't hold them
+        done = np.cumsum(n[keep])
+        i = 0
+        while i < len(keep):
+            j = int(np.searchsorted(done, (done[i - 1] if i else 0) + part, side="right"))
+            j = max(j, i + 1)
+            j = int(np.searchsorted(k, k[j - 1], side="right"))
+            mine = keep[i:j]
+            step = np.arange(n[mine].sum()) - np.repeat(np.cumsum(n[mine]) - n[mine], n[mine])
+            own, place, string = repeated(size, data[np.repeat(begin[mine], n[mine]) + step], n[mine])
+            row = mine[own]
+            where = first[row] + place
+            _, again = settle((string,), ids[row], where)
+            yield lost(schema, buckets, ids[row[again]], texts[row[again]], where[again], where[again] + size)
+            i = j
         tb.release()
-        return pa.Table.from_batches(out, schema=s)
 
     return apply
 
@@ -334,7 +428,7 @@ def zipped(df: DataFrame, at: int) -> DataFrame:
     out = T.StructType([f if i != at else T.StructField(f.name, T.BinaryType()) for i, f in enumerate(df.schema)])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, s = zstandard.ZstdCompressor(level=3), to_arrow_schema(out)
+        c, s = zstandard.ZstdCompressor(level=1), to_arrow_schema(out)
         for b in batches:
             cols = list(b.columns)
             cols[at] = pa.array([None if x is None else c.compress(x.encode()) for x in cols[at].to_pylist()], pa.binary())
@@ -348,27 +442,29 @@ def unzipped(column: pa.Array) -> pa.Array:
     return pa.array([b"" if x is None else d.decompress(x) for x in column.to_pylist()], pa.large_binary())
 
 
-def spans(docs: DataFrame, id_col: str, text_col: str, size: int = 100, block_bytes: int = 8 << 20, most: int = MANY) -> tuple[DataFrame, DataFrame]:
+def spans(docs: DataFrame, id_col: str, text_col: str, size: int = 100, block_bytes: int = 8 << 20, most: int = MANY, bucket_bytes: int = BUCKET, held: int = HELD, part: int = PART) -> tuple[DataFrame, DataFrame]:
     """Texts as id, text (their hash), body (compressed), a row for each row; and for those that lose bytes id, text, gone (a, b)."""
     if size <= GRAM:
         raise ValueError(f"strings must have over {GRAM} bytes")
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must hold integers, not {docs.schema[id_col].dataType.simpleString()}")
     rows = two(docs, id_col, text_col).select(F.col("id").cast("long").alias("id"), F.xxhash64("text").alias("text"), F.col("text").alias("body"))
     zip_rows = zipped(rows, 2)
-    return zip_rows, finished(docs.sparkSession, lambda: _gone(rows, zip_rows, size, block_bytes, most), "gone")
+    return zip_rows, finished(docs.sparkSession, lambda: _gone(rows, zip_rows, size, block_bytes, most, bucket_bytes, held, part), "gone")
 
 
-def _gone(rows: DataFrame, zip_rows: DataFrame, size: int, block_bytes: int, most: int) -> DataFrame:
-    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _gone(rows: DataFrame, zip_rows: DataFrame, size: int, block_bytes: int, most: int, bucket_bytes: int, held: int, part: int) -> DataFrame:
+    buckets = text_buckets(rows, "body", bucket_bytes)
     known = rows.where("id is not null and body is not null")
     first = known.mapInArrow(first_pass(size, buckets, block_bytes, most), FLAT)
-    settled = written(first.groupBy("bucket").applyInArrow(compare_regions(size, most), FLAT), "regions")
-    asked = settled.where(F.col("kind") == ASK).groupBy("id", "text").agg(F.collect_list(F.struct("a", "b", F.col("back").cast("long").alias("back"), F.col("group").cast("long").alias("group"))).alias("ask"))
-    cut = zip_rows.where("id is not null").join(asked, ["id", "text"]).select("id", "text", "body", "ask").mapInArrow(cut_out(size, buckets, block_bytes), FLAT)
-    gone = T.StructType([FLAT["id"], FLAT["text"], FLAT["a"], FLAT["b"]])
-    late = written(cut.unionByName(settled.where(F.col("kind") == STRETCHES)), "stretches")
-    shards = late.where(F.col("kind") == STRETCHES).select("bucket", "blob").groupBy("bucket").applyInArrow(shard_arrays(size, gone), gone)
+    settled = written(first.repartitionById(buckets, F.col("bucket")).mapInArrow(compare_regions(size, buckets, most, held), FLAT), "regions")
+    asked = settled.where(F.col("kind") == ASK).repartition(buckets, "id", "text").groupBy("id", "text").agg(F.collect_list(F.struct("a", "b", F.col("back").cast("long").alias("back"), F.col("group").cast("long").alias("group"))).alias("ask"))
+    cut = zip_rows.where("id is not null and body is not null").repartition(buckets, "id", "text").join(asked, ["id", "text"]).select("id", "text", "body", "ask").mapInArrow(cut_out(size, buckets, block_bytes), FLAT)
+    late = written(cut, "stretches")
+    blobs = late.unionByName(settled).where(F.col("kind") == STRETCHES).select("bucket", "blob")
+    shards = blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(shard_arrays(size, buckets, part), FLAT)
     take = lambda d: d.where(F.col("kind") == GONE).select("id", "text", "a", "b")
-    every = take(settled).unionByName(take(late)).unionByName(shards)
+    every = take(settled).unionByName(take(late)).unionByName(take(shards))
     return every.groupBy("id", "text").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
 
 
@@ -420,25 +516,27 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 100) -> DataFrame:
     """docs, with all columns, its texts less the repeated bytes and less what is left of characters cut by that; n_chars, if there, follows."""
     _, gone = spans(docs, id_col, text_col, size)
-    gone = gone.select(F.col("id").alias("__id"), F.col("text").alias("__text"), F.col("gone").alias("__gone"))
-    both = docs.join(gone, (docs[id_col].cast("long") == gone["__id"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["__text"]), "left").select(docs["*"], "__gone")
+    a, b, c = fresh(docs, "id", "text", "gone")
+    gone = gone.select(F.col("id").alias(a), F.col("text").alias(b), F.col("gone").alias(c))
+    keyed = docs.withColumns({a: F.col(f"`{id_col}`").cast("long"), b: F.xxhash64(F.col(f"`{text_col}`").cast("string"))})
+    both = keyed.join(gone, [a, b], "left").select(*(F.col(f"`{x}`") for x in docs.columns), c)
     at = docs.columns.index(text_col)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(b.num_columns - 1).to_pylist()
-            new = []
-            for t, cut in zip(b.column(at).to_pylist(), lists):
-                if t and cut:
+            lists = b.column(b.num_columns - 1)
+            new = b.column(at).to_pylist()
+            for k in pc.indices_nonzero(lists.is_valid()).to_pylist():
+                t, cut = new[k], lists[k].values
+                if t:
                     raw, kept, x = t.encode(), [], 0
-                    for i, j in merged(np.array([(g["a"], g["b"]) for g in cut], np.int64)).tolist():
+                    for i, j in merged(np.stack([cut.field(f).to_numpy() for f in (0, 1)], axis=1)).tolist():
                         kept.append(raw[x:i])
                         x = j
-                    t = b"".join([*kept, raw[x:]]).decode("utf-8", "ignore")
-                new.append(t)
+                    new[k] = b"".join([*kept, raw[x:]]).decode("utf-8", "ignore")
             cols = list(b.columns)[:-1]
             cols[at] = pa.array(new, cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
 
     made = both.mapInArrow(apply, docs.schema)
-    return made.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else made
+    return made.withColumn("n_chars", F.char_length(F.col(f"`{text_col}`")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else made

@@ -25,6 +25,18 @@ def test_suffix_array_and_common_prefixes():
             assert common[b] == k
 
 
+def test_suffix_arrays_of_repetitive_strings():
+    r = np.random.default_rng(2)
+    for k in range(300):
+        s = np.repeat(r.integers(0, 3, 30), r.integers(1, 8, 30)) if k % 2 else np.tile(r.integers(0, 4, int(r.integers(1, 9))), 20)
+        assert suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+    n = 200_000
+    assert suffix_array(np.ones(n)).tolist() == list(range(n))[::-1]
+    saw = np.arange(n) % 7
+    order = suffix_array(saw)
+    assert (saw[order][1:] >= saw[order][:-1]).all() and permuted_lcp(saw, order, 100).max() == 100
+
+
 def texts(seed, many=False):
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdéü") for _ in range(r.randrange(1, 9)))
@@ -57,6 +69,38 @@ def test_deduplicate_is_the_brute_force(make, seed, many, most):
         assert sum(s["end"] - s["start"] for s in r["spans"]) == gone
 
 
+@pytest.mark.parametrize("seed", [5, 6])
+def test_small_buckets_parts_and_states_change_nothing(make, seed):
+    docs = texts(seed, True)
+    got = {r["doc_id"]: r for r in suffixes.deduplicate(make(docs), most=3, block_bytes=9_000, bucket_bytes=20_000, held=40, part=500).collect()}
+    for i, n, gone, spans, sha in brute.repeats(docs):
+        r = got[i]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (n, gone, spans, sha), i
+
+
+def test_a_long_text_is_looked_at_in_pieces(make):
+    r = np.random.default_rng(8)
+    long = bytes(r.integers(97, 123, 3 * suffixes.RUN, np.uint8)).decode()
+    cuts = [0, suffixes.RUN - 150, suffixes.RUN - 50, 2 * suffixes.RUN - 100, len(long) - 300]
+    docs = [(1, long + long[5:300]), *((10 + k, "#" + long[c : c + 250]) for k, c in enumerate(cuts)), (20, long[: suffixes.RUN * 2] + "!" + long[suffixes.RUN * 2 :])]
+    got = {x["doc_id"]: x["spans"] for x in suffixes.deduplicate(make(docs)).collect()}
+    assert got[1] == [(len(long), len(long) + 295)]
+    assert all(got[10 + k] == [(1, 251)] for k in range(5))
+    assert got[20] == [(0, 2 * suffixes.RUN), (2 * suffixes.RUN + 1, len(long) + 1)]
+
+
+def test_ids_must_be_integers(spark):
+    with pytest.raises(TypeError):
+        suffixes.deduplicate(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "x" * 200, "u", 1), (2, "x" * 200, "v", 2)], "doc_id long, text string, __gone string, `_Gone` int").withColumn("gone", suffixes.F.lit(3)).withColumn("a.b", suffixes.F.lit(4))
+    out = suffixes.without_repeats(df)
+    assert out.columns == df.columns
+    assert sorted((r["doc_id"], r["text"], r["__gone"], r["gone"]) for r in out.collect()) == [(1, "x" * 100, "u", 3), (2, "", "v", 3)]
+
+
 def test_nothing_null_ids_and_repeated_rows(make):
     assert suffixes.deduplicate(make([])).collect() == []
     rows = suffixes.deduplicate(make([(1, "xy" * 10 + "z" * 90), (1, "xy" * 10 + "z" * 90), (None, "xy" * 10 + "z" * 90), (2, "xy" * 10 + "z" * 90), (None, None)])).collect()
