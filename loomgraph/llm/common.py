@@ -93,6 +93,28 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_rows(df: DataFrame, fn: Callable, out: T.StructType) -> DataFrame:
+    """mapInArrow for tables whose column names may hold dots or differ only by case; fn goes by place."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(fn, out)
+
+
+def keep_runs(df: DataFrame, text_col: str, fn: Callable[[tb.Run], np.ndarray]) -> DataFrame:
+    """The rows of df, with all columns, whose flag in what fn gives for a run of texts is set."""
+    at, schema = df.columns.index(text_col), df.schema
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = to_arrow_schema(schema).names
+        for b in batches:
+            texts = b.column(at)
+            if not tb.as_text(texts.type):
+                texts = texts.cast(pa.string())
+            kept = [fn(run) for run in tb.runs(texts)]
+            if kept:
+                yield pa.RecordBatch.from_arrays(b.filter(pa.array(np.concatenate(kept))).columns, names=names)
+
+    return map_rows(df, apply, schema)
+
+
 def text_buckets(df: DataFrame, text_col: str, bytes_each: int) -> int:
     """How many buckets of about so many bytes of text a table needs; 1 at least."""
     total = df.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0

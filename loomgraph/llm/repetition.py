@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.llm import textbuf as tb
-from loomgraph.llm.common import map_runs
+from loomgraph.llm.common import keep_runs, map_runs
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -146,12 +146,4 @@ def repetition(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
 def keep_good(df: DataFrame, text_col: str = "text", rules: Rules | None = None) -> DataFrame:
     """The rows of df whose text the rules keep, with all of its columns, in one pass without a shuffle."""
     rules = rules or Rules()
-    at = df.columns.index(text_col)
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kept = [measure(run, rules)["kept"] for run in tb.runs(b.column(at))]
-            if kept:
-                yield b.filter(pa.array(np.concatenate(kept)))
-
-    return df.mapInArrow(apply, df.schema)
+    return keep_runs(df, text_col, lambda run: measure(run, rules)["kept"])

@@ -45,7 +45,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomgraph.llm import textbuf as tb
-from loomgraph.llm.common import finished, fresh, text_buckets, two, written
+from loomgraph.llm.common import finished, fresh, map_rows, text_buckets, two, written
 from loomgraph.llm.katz import pack, unpack
 from loomgraph.llm.sais import permuted_lcp, suffix_array
 
@@ -57,7 +57,7 @@ MANY = 256
 #: bytes of all texts for each bucket; regions that a bucket keeps before it settles them; bytes of stretches in an array
 BUCKET = 8 << 20
 HELD = 400_000
-PART = 1 << 20
+PART = 2 << 20
 ANCHORS, GONE, STRETCHES, ASK = range(4)
 #: id and text say which text it is (text by its hash); GONE: bytes from a to b; ASK: strings from a to b, whose anchor is back after a
 FLAT = T.StructType([
@@ -108,15 +108,15 @@ def anchors(run: tb.Run, size: int) -> tuple[np.ndarray, ...]:
     return s[head], s[last], p[head], doc[s[head]]
 
 
-def pieces(column: pa.Array, size: int) -> Iterator[tuple[tb.Run, int]]:
-    """Runs of a column of texts, and how many bytes of its only document come before each; pieces of a long text overlap."""
+def pieces(column: pa.Array, more: int) -> Iterator[tuple[tb.Run, int, int]]:
+    """Runs of a column of texts; of a piece of a long text also which bytes it stands for, more of which follow in it."""
     for run in tb.runs(column, RUN):
         if len(run.data) <= 2 * RUN:
-            yield run, 0
+            yield run, 0, len(run.data)
             continue
         for x in range(0, len(run.data), RUN):
-            data = run.data[x : x + RUN + size]
-            yield tb.Run(data, np.array([0, len(data)]), run.first), x
+            data = run.data[x : x + RUN + more]
+            yield tb.Run(data, np.array([0, len(data)]), run.first), x, x + RUN
 
 
 def lost(schema: pa.Schema, buckets: int, ids: np.ndarray, texts: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -265,7 +265,7 @@ def first_pass(size: int, buckets: int, block_bytes: int, most: int) -> Callable
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             texts = b.column(1).to_numpy(zero_copy_only=False)
-            for run, before in pieces(b.column(2), size - 1):
+            for run, before, _ in pieces(b.column(2), size - 1):
                 lo, hi, p, doc = anchors(run, size)
                 key = run.span_hash(p, p + GRAM, False) >> tb.U64(16)  # unequal anchors with equal keys only cost a comparison
                 whole = run.span_hash(lo, hi + size, False) + (p - lo).astype(tb.U64) * tb.STEPS[8]
@@ -343,14 +343,13 @@ def cut_out(size: int, buckets: int, block_bytes: int) -> Callable:
             a, last, back, group = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
             ids, texts = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for k in range(0, b.num_rows, 64):
-                for run, before in pieces(unzipped(b.column(2).slice(k, 64)), 2 * size):
+                for run, before, until in pieces(unzipped(b.column(2).slice(k, 64)), 2 * size):
                     first = k + run.first
                     i, j = offs[first], offs[first + run.n]
                     row = np.repeat(np.arange(run.n), np.diff(offs[first : first + run.n + 1]))
                     mine = np.arange(i, j)
-                    if len(run.data) > 2 * RUN or before:  # a piece of a text has the regions that begin in it
-                        on = (a[i:j] >= before) & (a[i:j] < before + RUN)
-                        mine, row = mine[on], row[on]
+                    on = (a[i:j] >= before) & (a[i:j] < until)
+                    mine, row = mine[on], row[on]
                     base = run.offs[row] - before
                     sender.add(run, a[mine] + base, last[mine] + base, a[mine] + back[mine] + base, group[mine], ids[first + row], texts[first + row], base)
                     if sender.held >= block_bytes:
@@ -360,9 +359,9 @@ def cut_out(size: int, buckets: int, block_bytes: int) -> Callable:
     return apply
 
 
-def repeated(size: int, data: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of stretches that lie one behind the other in data: each string of size bytes that occurs in several places as
-    its stretch, its place there, and a number that equal strings share."""
+def repeated(size: int, data: np.ndarray, n: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of stretches of n bytes that lie one behind the other in data, shard by shard: each string of size bytes as its
+    stretch, its place there, and a number that equal strings share."""
     size_of = n + 1  # each is followed by a 0, less than any byte
     at = np.cumsum(size_of) - size_of
     own = np.repeat(np.arange(len(n), dtype=np.int32), size_of)
@@ -370,9 +369,11 @@ def repeated(size: int, data: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np
     real = step < n[own]
     string = np.zeros(len(own), np.int32)
     string[real] = data.astype(np.int32) + 1
-    order = suffix_array(string)
+    new = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
+    edges = np.append(at, len(own))[new]
+    order = suffix_array(string, edges)
     left = (n[own] - step).astype(np.int32)
-    common = np.minimum(permuted_lcp(string, order, size), left)[order]
+    common = np.minimum(permuted_lcp(string, order, size, edges), left)[order]
     # a run of suffixes that share size bytes with the one before is one string
     string_of = np.cumsum(common < size)
     fits = left[order] >= size
@@ -412,7 +413,7 @@ def shard_arrays(size: int, buckets: int, part: int) -> Callable:
             j = int(np.searchsorted(k, k[j - 1], side="right"))
             mine = keep[i:j]
             step = np.arange(n[mine].sum()) - np.repeat(np.cumsum(n[mine]) - n[mine], n[mine])
-            own, place, string = repeated(size, data[np.repeat(begin[mine], n[mine]) + step], n[mine])
+            own, place, string = repeated(size, data[np.repeat(begin[mine], n[mine]) + step], n[mine], k[i:j])
             row = mine[own]
             where = first[row] + place
             _, again = settle((string,), ids[row], where)
@@ -518,11 +519,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     _, gone = spans(docs, id_col, text_col, size)
     a, b, c = fresh(docs, "id", "text", "gone")
     gone = gone.select(F.col("id").alias(a), F.col("text").alias(b), F.col("gone").alias(c))
-    keyed = docs.withColumns({a: F.col(f"`{id_col}`").cast("long"), b: F.xxhash64(F.col(f"`{text_col}`").cast("string"))})
-    both = keyed.join(gone, [a, b], "left").select(*(F.col(f"`{x}`") for x in docs.columns), c)
-    at = docs.columns.index(text_col)
+    same = (F.col(f"`{id_col}`").cast("long") == F.col(a)) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col(b))
+    both = docs.join(gone, same, "left").drop(a, b)
+    at, docs_schema = docs.columns.index(text_col), docs.schema
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(docs_schema)
         for b in batches:
             lists = b.column(b.num_columns - 1)
             new = b.column(at).to_pylist()
@@ -536,7 +538,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     new[k] = b"".join([*kept, raw[x:]]).decode("utf-8", "ignore")
             cols = list(b.columns)[:-1]
             cols[at] = pa.array(new, cols[at].type)
-            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
-    made = both.mapInArrow(apply, docs.schema)
+    made = map_rows(both, apply, docs.schema)
     return made.withColumn("n_chars", F.char_length(F.col(f"`{text_col}`")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else made

@@ -98,7 +98,7 @@ def test_clashing_names(spark):
     df = spark.createDataFrame([(1, "x" * 200, "u", 1), (2, "x" * 200, "v", 2)], "doc_id long, text string, __gone string, `_Gone` int").withColumn("gone", suffixes.F.lit(3)).withColumn("a.b", suffixes.F.lit(4))
     out = suffixes.without_repeats(df)
     assert out.columns == df.columns
-    assert sorted((r["doc_id"], r["text"], r["__gone"], r["gone"]) for r in out.collect()) == [(1, "x" * 100, "u", 3), (2, "", "v", 3)]
+    assert sorted((r["doc_id"], r["text"], r["__gone"], r["gone"]) for r in out.collect()) == [(1, "x", "u", 3), (2, "", "v", 3)]
 
 
 def test_nothing_null_ids_and_repeated_rows(make):
