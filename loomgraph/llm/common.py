@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -68,27 +69,32 @@ def shared(spark: SparkSession) -> str:
 _kept: list[list[str]] = []
 
 
-def finished(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """The frame that make gives, written; the tables that it wrote on the way are deleted."""
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """The tables that are written within are deleted at its end; what an outer one wrote stays."""
     _kept.append([])
     try:
-        df = make()
-        paths, _kept[-1] = _kept[-1], []
-        out = written(df, name)
+        yield
     finally:
-        _kept.pop()
-    for p in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(p)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    return out
+        for p in _kept.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(p)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def finished(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The frame that make gives, written; the tables that it wrote on the way are deleted."""
+    with temporary(spark):
+        return written(make(), name, _kept[-2] if len(_kept) > 1 else [])
 
 
-def written(df: DataFrame, name: str = "t") -> DataFrame:
+def written(df: DataFrame, name: str = "t", paths: list[str] | None = None) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends here, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
-    if _kept:
-        _kept[-1].append(path)
+    if paths is None and _kept:
+        paths = _kept[-1]
+    if paths is not None:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

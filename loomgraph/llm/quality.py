@@ -6,10 +6,11 @@ of what is left. A document's score is the logistic of a sum of looked-up values
 vectorised additions of bins and needs nothing of the training but the tables.
 
 The features describe a text's form: lengths, shares of kinds of characters, repetition. Fitting uses at
-most ``max_rows`` labelled rows, those with the least hash of their id; scoring covers every row. Null and
-empty texts get the score of the bins that hold no words. Of repeated labels of one id the majority
-counts; labels that are null don't. Without labels of both kinds every score is the share of label 1, or
-0.5 without any. Other columns of the documents are not read.
+most ``max_rows`` labelled rows, those with the least hash of their id, and of several texts of one id the least;
+scoring covers every row, over the whole text, however long. Null and empty texts get the score of the bins that
+hold no words; repeated rows get equal scores. Of repeated labels of one id the majority counts, a tie as 1;
+labels and ids that are null don't. Without labels of both kinds every score is the share of label 1, or
+0.5 without any. An empty table of documents gives an empty result. Other columns of the documents are not read.
 """
 
 from __future__ import annotations
@@ -175,12 +176,14 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 150, pair_rounds: int = 40,
     return model
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, max_rows: int, usable: Column | None = None) -> DataFrame:
-    """id, text, y of at most max_rows labelled documents, those with the least hash of their id."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, max_rows: int, usable: Column | None = None, only: int | None = None) -> DataFrame:
+    """id, text, y of at most max_rows labelled documents (with only: labelled so), those with the least hash of their id."""
     got = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull())
     if usable is not None:
         got = got.where(usable)
     got = got.groupBy(F.col(id_col).alias("k")).agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("y"))
+    if only is not None:
+        got = got.where(F.col("y") == only)
     some = got.orderBy(F.xxhash64("k"), "k").limit(max_rows)
     texts = two(docs, id_col, text_col).join(F.broadcast(some), F.col("id") == F.col("k"))  # max_rows bounds it
     return texts.groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y"))

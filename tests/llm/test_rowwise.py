@@ -6,10 +6,12 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 from loomgraph.llm import chat, decontam, licenses, quality, repetition, sentpiece, toxicity
 from loomgraph.llm import textbuf as tb
+from loomgraph.llm.common import crc_mod
 
 TEXTS = ["", None, " \n\t", "One", "A b " * 3000, "Ünï cÖdé — dash\n\n\nline\nline\nline", "a" * 200_000, "x y z " * 40 + "end", "# $ % & | < > *", "\x00\x01 é　ü"]
 
@@ -111,6 +113,70 @@ def test_toxicity_learns_words_from_unlabelled_texts(spark, make):
     assert max(x["score"] for x in toxicity.score(make(docs), none).collect()) < 1e-9
 
 
+def logistic(z):
+    return 1 / (1 + np.exp(-min(40, max(-40, z))))
+
+
+def test_toxicity_is_the_plain_computation(spark, make):
+    """Counts, choice of features, weights and scores, text by text on one machine."""
+    r = random.Random(17)
+    text = lambda bad: " ".join(r.choice(["vileness", "nasty", "vilest"]) if bad and k in (3, 9) else f"w{r.randrange(90)}é" for k in range(r.choice([3, 40])))
+    docs = [(i, text(i % 5 == 0)) for i in range(300)] + [(900, None), (901, ""), (902, "vileness " * 60_000), (903, "vilest"), (903, "Vilest")]
+    labels = [(i, int(i % 5 == 0)) for i in range(200)] + [(3, 1), (4, 1), (4, 0), (4, 0), (7, None), (None, 1)]
+    model = toxicity.train(make(docs), spark.createDataFrame(labels, "doc_id long, toxic int"), usable=crc_mod(F.col("doc_id"), 3) != 1)
+    features = lambda t: toxicity.words(next(tb.runs(pa.array([t or ""]))))[0]
+    assert len(features("ab abcd abcde abcdf")) == 5  # four words and one beginning
+    vote = {}
+    for i, y in labels:
+        if i is not None and y is not None and brute.crc(i, 3) != 1:
+            vote.setdefault(i, []).append(y)
+    least = {}
+    for i, t in docs:
+        least[i] = min(x for x in (least.get(i), t) if x is not None) if t is not None or least.get(i) is not None else None
+    toxic = sorted(features(least[i]).tobytes() for i, ys in vote.items() if sum(ys) * 2 >= len(ys) and i in least)
+    other = sorted(features(least[i]).tobytes() for i in least if brute.crc(i, 3) != 1)
+    toxic, other = ([np.frombuffer(x, np.int32) for x in xs] for xs in (toxic, other))
+    p, u = (np.bincount(np.concatenate(x), minlength=1 << toxicity.BITS) for x in (toxic, other))
+    chosen = toxicity.choose(len(toxic), len(other), np.arange(len(p)), p, u, 4096, 4.0)
+    place = {c: k for k, c in enumerate(chosen.tolist())}
+    rows = [sorted(([place[c] for c in x.tolist() if c in place] for x in xs), key=lambda v: np.array(v, np.int32).tobytes()) for xs in (toxic, other)]
+    ys = [y for ys in vote.values() for y in ys]
+    plain = toxicity.fit(*([np.array(v, np.int32) for v in x] for x in rows), sum(ys) / len(ys), chosen)
+    for x in toxicity.score(make(docs), model).collect():
+        texts = [t for i, t in docs if i == x["doc_id"]]
+        assert any(x["score"] == pytest.approx(logistic(sum(float(plain.weights[c]) for c in features(t)) + plain.base), abs=1e-6) for t in texts)
+    assert toxicity.score(make([]), model).collect() == []
+
+
+def test_quality_is_the_plain_computation(spark, make):
+    """The fitted tables are those of the plain list of labelled texts, and a score is a sum of looked-up values."""
+    r = random.Random(16)
+    docs = [(i, " ".join(r.choice(["aa", "b#", "ccc", "d,"][: 2 + i % 3]) for _ in range(r.randrange(1, 60)))) for i in range(150)] + [(900, None), (901, ""), (902, "aa b# " * 40_000), (3, "zz")]
+    labels = [(i, i % 3 // 2) for i in range(120)] + [(7, None), (None, 1), (9, 0), (9, 1)]
+    model = quality.train(make(docs), spark.createDataFrame(labels, "doc_id long, quality int"), usable=crc_mod(F.col("doc_id"), 4) != 2)
+    row = lambda t: quality.features(next(tb.runs(pa.array([t]))))[0]
+    vote, least = {}, {}
+    for i, y in labels:
+        if i is not None and y is not None and brute.crc(i, 4) != 2:
+            vote.setdefault(i, []).append(y)
+    for i, t in docs:
+        if t is not None:
+            least[i] = min(least.get(i, t), t)
+    rows = sorted((row(least[i]).tobytes(), int(sum(ys) / len(ys) >= 0.5)) for i, ys in vote.items() if i in least)
+    plain = quality.fit(np.array([np.frombuffer(x) for x, _ in rows]), np.array([y for _, y in rows]))
+    for x in quality.score(make(docs), model).collect():
+        found = []
+        for i, t in docs:
+            if i == x["doc_id"]:
+                f = row(t or "")
+                at = [sum(e <= v for e in edges) for v, edges in zip(f.tolist(), plain.edges)]
+                z = plain.base + sum(float(t[k]) for t, k in zip(plain.tables, at))
+                z += sum(float(t[at[i], at[j]]) for (i, j), t in zip(plain.pairs, plain.pair_tables))
+                found.append(z)
+        assert any(x["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9) for z in found)
+    assert quality.score(make([]), model).collect() == []
+
+
 def test_licenses(make):
     docs = [(1, "text\nLicensed under the Apache License, Version 2.0.\nmore"), (2, "Released under the MIT License."), (3, "This work is licensed under the GNU General Public License, version 3."), (4, "Licensed under CC BY-NC 4.0."), (5, "my driving license is old"), (6, None), (7, ""), (8, "This work is licensed under the GNU General Public License, version 2."), (9, "Licensed under CC BY 4.0."), (10, "no " * 50_000), (11, "Licensed under CC BY-NC-ND 4.0.")]
     got = {x["doc_id"]: x["licenses"] for x in licenses.scan(make(docs)).collect()}
