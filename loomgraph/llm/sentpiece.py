@@ -2,22 +2,25 @@
 
 The symbols of many words lie in one flat array. A round finds the best pair of each word by a segmented
 minimum over the pairs' ranks, merges its leftmost occurrences in all words at once, and compacts the
-array; words without a pair left drop out, and the rounds end when none remains. Where some piece that
-contains the new one is as good or better, a second occurrence might not survive the first merge, so
-then a round merges one occurrence only: the ids are always those of merging one pair at a time.
+array; words without a pair left drop out, and the rounds end when none remains. The ids are those of merging
+one pair at a time: where an occurrence, once merged, makes a pair with its neighbours that is as good or
+better, the later ones of its word wait for the next round. A long word in which that happens would need as many
+rounds as it has symbols, and one of over ``MOST`` symbols as many as it has kinds of pairs; such words are merged by
+themselves, pair by pair off a heap, in n log n steps.
 
 Texts are cut where no piece can cross: before a space that follows another character, around line
 breaks, between a letter and punctuation that follows letters in no piece, and in words of over 64 characters
 between any characters that are neighbours in no piece. Words that occur often are kept, with their ids,
 by each worker, up to a bound.
 
-Null texts count as empty; the encoding of an empty text is no ids. Rows are encoded one by one, with
-repeated rows giving equal results; other columns are not read.
+Null texts count as empty; the encoding of an empty text is no ids. Rows are encoded one by one, whatever their
+length, with repeated rows giving equal results; an empty table gives an empty one. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -31,6 +34,9 @@ from loomgraph.llm.common import two
 
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
+#: symbols of a word that is merged by itself if its occurrences don't go together
+LONG = 400
+MOST = 10_000
 
 
 class Model:
@@ -65,6 +71,8 @@ class Model:
         self.keys = np.array([a * self.width + b for a, b, _, _ in pairs], np.int64)
         self.ranks = np.array([r for _, _, r, _ in pairs], np.int32)
         self.merged = np.array([m for _, _, _, m in pairs], np.int32)
+        self.table: dict[int, tuple[int, int]] | None = None
+        #: pieces that are part of one as good or better
         self.unsafe = np.zeros(n, bool)
         self.unsafe[[self.id[q] for q in unsafe]] = True
         self.neighbours = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
@@ -122,8 +130,16 @@ class Model:
         sym = self.symbol[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
         n = np.array([len(w) for w in words], np.int64)
         seg = np.repeat(np.arange(len(words)), n)
-        rank, into = self._pairs(sym, seg)
         done_sym, done_seg = [], []
+        if len(n) and n.max() > MOST:
+            ends = np.cumsum(n)
+            for w in np.flatnonzero(n > MOST).tolist():
+                one = self._one_by_one(sym[ends[w] - n[w] : ends[w]].tolist())
+                done_sym.append(np.array(one, np.int64))
+                done_seg.append(np.full(len(one), w))
+            go = np.repeat(n <= MOST, n)
+            sym, seg = sym[go], seg[go]
+        rank, into = self._pairs(sym, seg)
         while len(sym):
             starts = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
             best = np.minimum.reduceat(rank, starts)
@@ -138,12 +154,29 @@ class Model:
                 if not len(sym):
                     break
             at = np.flatnonzero(rank == best)
-            first = np.concatenate([[True], seg[at[1:]] != seg[at[:-1]]])
             alone = np.concatenate([[True], at[1:] != at[:-1] + 1])
             head = np.flatnonzero(alone)
             place = np.arange(len(at)) - np.repeat(head, np.diff(np.concatenate([head, [len(at)]])))
-            risky = self.unsafe[into[at]]
-            at = at[np.where(np.repeat(risky[first], np.diff(np.concatenate([np.flatnonzero(first), [len(at)]]))), first, place % 2 == 0)]
+            at = at[place % 2 == 0]
+            stop = self._stops(sym, seg, into, best, at)
+            if stop.any():
+                own = seg[at]
+                late = np.cumsum(stop) - stop  # occurrences that stop before each
+                begin = np.concatenate([[True], own[1:] != own[:-1]])
+                late -= np.repeat(late[begin], np.diff(np.append(np.flatnonzero(begin), len(at))))
+                on = late == 0
+                slow = np.unique(own[stop])
+                length = np.searchsorted(seg, slow, side="right") - np.searchsorted(seg, slow)
+                slow = slow[length > LONG]
+                if len(slow):
+                    for w in slow.tolist():
+                        one = self._one_by_one(sym[np.searchsorted(seg, w) : np.searchsorted(seg, w, side="right")].tolist())
+                        done_sym.append(np.array(one, np.int64))
+                        done_seg.append(np.full(len(one), w))
+                    go = ~np.isin(seg, slow)
+                    sym, seg, rank, into = sym[go], seg[go], rank[go], into[go]
+                    continue
+                at = at[on]
             sym[at] = into[at]
             keep = np.ones(len(sym), bool)
             keep[at + 1] = False
@@ -159,6 +192,57 @@ class Model:
         ends = np.cumsum(np.bincount(seg, weights=size, minlength=len(words)).astype(np.int64))
         return ids, ends
 
+    def _stops(self, sym: np.ndarray, seg: np.ndarray, into: np.ndarray, best: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which of the occurrences at these places, merged from left to right, make a pair as good as theirs or better."""
+        out = np.zeros(len(at), bool)
+        k = np.flatnonzero(self.unsafe[into[at]])
+        if not len(k):
+            return out
+        a = at[k]
+        p, n = into[a], len(sym)
+        left = np.where((a > 0) & (seg[np.maximum(a, 1) - 1] == seg[a]), sym[np.maximum(a, 1) - 1], -1)
+        joined = (k > 0) & (at[np.maximum(k, 1) - 1] == a - 2) & (seg[np.maximum(a, 2) - 2] == seg[a])  # the one before lies right before it
+        left = np.where(joined, into[at[np.maximum(k, 1) - 1]], left)
+        after = np.minimum(a + 2, n - 1)
+        right = np.where((a + 2 < n) & (seg[after] == seg[a]), sym[after], -1)
+        bad = np.zeros(len(k), bool)
+        for x, y, has in ((left, p, left), (p, right, right)):
+            i = np.flatnonzero(has >= 0)
+            bad[i] |= self.find(x[i], y[i])[0] <= best[a[i]]
+        out[k] = bad
+        return out
+
+    def _one_by_one(self, sym: list[int]) -> list[int]:
+        """The symbols of a word, merged pair by pair: the best rank first, of equal ones the leftmost."""
+        if self.table is None:
+            self.table = dict(zip(self.keys.tolist(), zip((self.ranks.astype(np.int64) << 32).tolist(), self.merged.tolist())))
+        get, wide, n, low = self.table.get, self.width, len(sym), (1 << 32) - 1
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        heap = [x[0] + i for i in range(n - 1) if sym[i] >= 0 <= sym[i + 1] and (x := get(sym[i] * wide + sym[i + 1]))]
+        heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
+        while heap:
+            top = pop(heap)
+            i = top & low
+            j = after[i]
+            if j < 0 or sym[i] < 0 or sym[j] < 0:
+                continue
+            x = get(sym[i] * wide + sym[j])
+            if x is None or x[0] + i != top or before[j] != i:
+                continue
+            sym[i] = s = x[1]
+            after[i] = k = after[j]
+            after[j] = -1
+            before[j] = -2
+            if k >= 0:
+                before[k] = i
+                if sym[k] >= 0 and (x := get(s * wide + sym[k])):
+                    push(heap, x[0] + i)
+            h = before[i]
+            if h >= 0 and sym[h] >= 0 and (x := get(sym[h] * wide + s)):
+                push(heap, x[0] + h)
+        return [s for s, b in zip(sym, before) if b != -2]
+
     def _pairs(self, sym: np.ndarray, seg: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         at = np.arange(len(sym)) if at is None else at
         rank, into = np.full(len(at), NONE, np.int32), np.zeros(len(at), np.int32)

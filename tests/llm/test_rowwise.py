@@ -88,6 +88,26 @@ def test_sentencepiece_is_the_library(make):
     assert sentpiece.digests(make([]), path).collect() == []
 
 
+def test_sentencepiece_of_long_words_and_occurrences_that_wait():
+    import time
+
+    import public_tokenizers
+    import sentencepiece as library
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, codec = library.SentencePieceProcessor(model_file=path), sentpiece.Codec(path)
+    r = random.Random(14)
+    words = [p.replace("▁", " ") for p in codec.model.pieces[300:]]
+    texts = ["".join(r.choice("eteaho") for _ in range(r.choice([3, 20, 200, 900]))) for _ in range(100)]
+    texts += ["".join(r.choice(words) for _ in range(r.choice([3, 30, 300]))) for _ in range(100)]
+    texts += [r.choice(["e", "the", "tion", "ing", "aa", "==", "в", "an"]) * r.choice([3, 70, 500, 1500]) + r.choice(["", "x", "e "]) for _ in range(60)]
+    assert codec.encode(texts) == sp.encode(texts)
+    for t in ("e" * 200_000, "the" * 80_000, "".join(r.choice("abcdefghij0123456789+/") for _ in range(150_000))):
+        began = time.time()
+        got = codec.encode([t])[0]
+        assert time.time() - began < 5 and got == sp.encode(t)  # some tenths of a second; quadratic time would be minutes
+
+
 def test_quality_learns_a_form(spark, make):
     r = random.Random(6)
     good = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 9))) for _ in range(60))
