@@ -8,9 +8,9 @@ same place; so only strings with equal anchors need to be held against each othe
 
 1. Each block of texts finds the anchors of all its strings. The strings of one anchor make a region. Equal
    regions of a block are settled there; of each, the first goes to its anchor's bucket.
-2. A bucket settles equal regions of different blocks. Anchors with differing regions go on: groups of
-   ``STRETCH`` neighbouring strings are cut out of the texts, with the hash of the core that all strings of
-   the group contain as their shard.
+2. A bucket settles equal regions of different blocks. Where anchors have differing regions, groups of ``STRETCH``
+   or more neighbouring strings whose core, which all strings of a group contain, other regions may have too (21
+   bits of its hash came with the region) are cut out of the texts, with the whole hash of the core as their shard.
 3. A shard array holds the stretches whose core occurs in several; equal stretches are settled first. Induced
    sorting orders its suffixes, and permuted common prefixes of at least ``size`` show which strings repeat.
 
@@ -132,6 +132,21 @@ def lost(schema: pa.Schema, buckets: int, ids: np.ndarray, texts: np.ndarray, a:
     return batch(schema, len(head), kind=GONE, bucket=(a[head] % buckets).astype(np.int32), id=ids[head], text=texts[head], a=a[head], b=end)
 
 
+def grouped(size: int) -> int:
+    """How many neighbouring strings make a group: an anchor has three groups at most."""
+    return max(STRETCH, -(-(size - GRAM + 1) // 3))
+
+
+def cores(run: tb.Run, a: np.ndarray, b: np.ndarray, p: np.ndarray, size: int) -> np.ndarray:
+    """21 bits from 1 of the core hash of each group of each region, group by group; 0 where it has no string of it."""
+    g, out = grouped(size), np.zeros(len(a), tb.U64)
+    for q in range(3):
+        k = np.flatnonzero(((p - b) // g <= q) & ((p - a) // g >= q))
+        h = run.span_hash(p[k] - q * g, p[k] - (q + 1) * g + 1 + size, False) >> tb.U64(43)
+        out[k] |= np.maximum(h, tb.U64(1)) << tb.U64(21 * q)
+    return out
+
+
 def settle(keys: tuple[np.ndarray, ...], ids: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first of each group of equal keys, by id and place; and which of the others start later than theirs.
 
@@ -234,7 +249,7 @@ def first_pass(size: int, buckets: int, block_bytes: int, most: int) -> Callable
         sender, held, runs, found = Sender(schema, buckets, size), 0, [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            a, b, p, ids, texts, base, key, whole = (np.concatenate(x) for x in zip(*found))
+            a, b, p, ids, texts, base, key, whole, core = (np.concatenate(x) for x in zip(*found))
             where = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
             keep, later = settle((key, whole), ids, a - base)
             yield lost(schema, buckets, ids[later], texts[later], (a - base)[later], (b - base)[later] + size)
@@ -259,7 +274,7 @@ def first_pass(size: int, buckets: int, block_bytes: int, most: int) -> Callable
                 m, f = rest[i:j], flags[flag_of == x] if len(flags) else flags
                 if len(m) or len(f):
                     pairs, which = np.unique(np.stack([ids[m], texts[m]]), axis=1, return_inverse=True)
-                    rows.append((x, pack(np.diff(key[m], prepend=tb.U64(0)), whole[m], pairs[0].view(np.uint64), pairs[1].view(np.uint64), which.ravel(), (a - base)[m], (b - a)[m], (p - a)[m], f)))
+                    rows.append((x, pack(np.diff(key[m], prepend=tb.U64(0)), whole[m], pairs[0].view(np.uint64), pairs[1].view(np.uint64), which.ravel(), (a - base)[m], (b - a)[m], (p - a)[m], core[m], f)))
             yield batch(schema, len(rows), kind=ANCHORS, bucket=[x for x, _ in rows], blob=[x for _, x in rows])
 
         for b in batches:
@@ -269,7 +284,7 @@ def first_pass(size: int, buckets: int, block_bytes: int, most: int) -> Callable
                 lo, hi, p, doc = anchors(run, size)
                 key = run.span_hash(p, p + GRAM, False) >> tb.U64(16)  # unequal anchors with equal keys only cost a comparison
                 whole = run.span_hash(lo, hi + size, False) + (p - lo).astype(tb.U64) * tb.STEPS[8]
-                found.append((lo, hi, p, ids[run.first + doc], texts[run.first + doc], run.offs[doc] - before, key, whole))
+                found.append((lo, hi, p, ids[run.first + doc], texts[run.first + doc], run.offs[doc] - before, key, whole, cores(run, lo, hi, p, size)))
                 runs.append(run.rest())
                 held += len(run.data)
                 if held >= block_bytes:
@@ -285,20 +300,33 @@ def first_pass(size: int, buckets: int, block_bytes: int, most: int) -> Callable
 
 def compare_regions(size: int, buckets: int, most: int, held: int) -> Callable:
     """A bucket of anchors: equal regions are settled, differing ones asked for; other rows pass."""
+    g = grouped(size)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(FLAT)
-        hot, kept, fresh_, count = np.zeros(0, tb.U64), [np.zeros(0, tb.U64 if i < 2 else np.int64) for i in range(7)], [], 0
-
-        def asked(x: list[np.ndarray], group: int) -> pa.RecordBatch:
-            _, _, ids, texts, a, more, back = x
-            return batch(schema, len(ids), kind=ASK, id=ids, text=texts, a=a, b=a + more, back=back, group=group)
+        hot, kept, more_, count = np.zeros(0, tb.U64), [np.zeros(0, tb.U64 if i in (0, 1, 7) else np.int64) for i in range(8)], [], 0
+
+        def singly(x: list[np.ndarray]) -> pa.RecordBatch:
+            return batch(schema, len(x[0]), kind=ASK, id=x[2], text=x[3], a=x[4], b=x[4] + x[5], back=x[6], group=1)
+
+        def alike(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            """Groups of strings whose core several of an anchor's regions may have."""
+            key, _, ids, texts, a, more, back, core = x
+            for q in range(3):
+                mine = (core >> tb.U64(21 * q)) & tb.U64((1 << 21) - 1)
+                k = np.flatnonzero(mine)
+                order = k[np.lexsort((mine[k], key[k]))]
+                same = (key[order[1:]] == key[order[:-1]]) & (mine[order[1:]] == mine[order[:-1]])
+                k = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(order) else order
+                # strings from back - (q + 1) g + 1 to back - q g, counted from the region's first
+                lo, hi = np.maximum(0, back[k] - (q + 1) * g + 1), np.minimum(more[k], back[k] - q * g)
+                yield batch(schema, len(k), kind=ASK, id=ids[k], text=texts[k], a=a[k] + lo, b=a[k] + hi, back=back[k] - lo, group=g)
 
         def settled(last: bool) -> Iterator[pa.RecordBatch]:
             """Settle what has come together; regions of hot anchors are asked for at once and forgotten."""
-            nonlocal hot, kept, fresh_, count
-            x = [np.concatenate(c) for c in zip(kept, *fresh_)]
-            fresh_, count = [], 0
+            nonlocal hot, kept, more_, count
+            x = [np.concatenate(c) for c in zip(kept, *more_)]
+            more_, count = [], 0
             keep, later = settle((x[0], x[1]), x[2], x[4])
             yield lost(schema, buckets, x[2][later], x[3][later], x[4][later], x[4][later] + x[5][later] + size)
             x = [c[keep] for c in x]
@@ -307,11 +335,10 @@ def compare_regions(size: int, buckets: int, most: int, held: int) -> Callable:
             many = np.diff(np.concatenate([head, [len(k)]]))
             hot = np.union1d(hot, k[head[many > most]])
             warm = np.repeat(np.isin(k[head], hot), many)
-            yield asked([c[warm] for c in x], 1)
-            rest = ~warm & np.repeat(many > 1, many) if last else ~warm
-            kept = [c[rest] for c in x]
+            yield singly([c[warm] for c in x])
+            kept = [c[~warm] for c in x]
             if last:
-                yield asked(kept, STRETCH)
+                yield from alike(kept)
             tb.release()
 
         for b in batches:
@@ -319,10 +346,10 @@ def compare_regions(size: int, buckets: int, most: int, held: int) -> Callable:
             if (kinds != ANCHORS).any():
                 yield b.filter(pa.array(kinds != ANCHORS))
             for blob in b.column(8).filter(pa.array(kinds == ANCHORS)):
-                key, whole, i, t, which, a, more, back, flags = unpack(blob.as_py())
+                key, whole, i, t, which, a, more, back, core, flags = unpack(blob.as_py())
                 which = which.astype(np.int64)
                 hot = np.union1d(hot, flags)
-                fresh_.append((np.cumsum(key, dtype=np.uint64), whole, i[which].view(np.int64), t[which].view(np.int64), a.astype(np.int64), more.astype(np.int64), back.astype(np.int64)))
+                more_.append((np.cumsum(key, dtype=np.uint64), whole, i[which].view(np.int64), t[which].view(np.int64), a.astype(np.int64), more.astype(np.int64), back.astype(np.int64), core))
                 count += len(key)
                 if count >= held:
                     yield from settled(False)
