@@ -18,6 +18,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from loomgraph.llm import textbuf as tb
 
 
+#: rows of a few numbers that may be broadcast (24 MB)
+FEW = 1_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -35,7 +39,7 @@ def columns(ids: pa.Array, arrays: dict[str, np.ndarray | pa.Array], schema: pa.
     return pa.RecordBatch.from_arrays(made, schema=schema)
 
 
-def map_runs(df: DataFrame, id_col: str, text_col: str, fn: Callable[[tb.Run], dict], fields: list[tuple[str, T.DataType]], max_bytes: int = 1 << 21) -> DataFrame:
+def map_runs(df: DataFrame, id_col: str, text_col: str, fn: Callable[[tb.Run], dict], fields: list[tuple[str, T.DataType]], max_bytes: int = 1 << 20) -> DataFrame:
     """Apply fn to runs of texts; it gives a column for each of fields, a row for each document.
 
     The id column keeps its name and type and comes first.
@@ -48,6 +52,7 @@ def map_runs(df: DataFrame, id_col: str, text_col: str, fn: Callable[[tb.Run], d
         for b in batches:
             for run in tb.runs(b.column(1), max_bytes):
                 yield columns(b.column(0).slice(run.first, run.n), fn(run), schema)
+        tb.release()
 
     return small.mapInArrow(apply, out)
 
@@ -114,9 +119,10 @@ def keep_runs(df: DataFrame, text_col: str, fn: Callable[[tb.Run], np.ndarray])
             texts = b.column(at)
             if not tb.as_text(texts.type):
                 texts = texts.cast(pa.string())
-            kept = [fn(run) for run in tb.runs(texts)]
+            kept = [fn(run) for run in tb.runs(texts, 1 << 20)]
             if kept:
                 yield pa.RecordBatch.from_arrays(b.filter(pa.array(np.concatenate(kept))).columns, names=names)
+        tb.release()
 
     return map_rows(df, apply, schema)
 
@@ -127,6 +133,11 @@ def text_buckets(df: DataFrame, text_col: str, bytes_each: int) -> int:
     return max(1, -(-total // bytes_each))
 
 
+def checked(keys: DataFrame) -> DataFrame:
+    """Keys to be joined: broadcast if they are counted to be FEW at most, by a shuffle beyond."""
+    return F.broadcast(keys) if keys.count() <= FEW else keys
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that df doesn't have, in any case."""
     taken, out = {c.lower() for c in df.columns}, []

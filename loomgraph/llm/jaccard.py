@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomgraph.llm import textbuf as tb
-from loomgraph.llm.common import finished, two, written
+from loomgraph.llm.common import checked, finished, fresh, two, written
 from loomgraph.llm.katz import pack, unpack
 
 _OTHER = tb.U64(0xA24BAED4963EE407)
@@ -40,9 +40,8 @@ _OTHER = tb.U64(0xA24BAED4963EE407)
 LONGER = 64
 #: cost of verifying a pair, in pairs that meet
 VERIFY = 40.0
-#: documents in a cell of the verification; ids that may be broadcast (8 MB)
+#: documents in a cell of the verification
 CELL = 128
-FEW = 1_000_000
 SKETCH, PREFIXES, COUNTED = range(3)
 #: levels that a document may choose: document frequencies up to 2, 4, 8 ... and any
 LEVELS = [*range(1, 41), 99]
@@ -131,32 +130,40 @@ def longest(n: int, percent: int) -> int:
     return min(n, 2 * (n - least_common(n, percent) + 1) + LONGER)
 
 
-def choose(n: int, pos: np.ndarray, df: np.ndarray, percent: int) -> tuple[int, int, int]:
-    """Level, prefix length and need with the least estimated cost; pos, df: the shingles that others have too."""
-    common = least_common(n, percent)
-    base, most = n - common + 1, longest(n, percent)
-    rare = rarity(df)
-    best = (np.inf, LEVELS[-1], base, 1)
-    for level in LEVELS:
+def choose(n: np.ndarray, edge: np.ndarray, df: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Level, prefix length and need with the least estimated cost of each document: of n shingles in all, of which those
+    from edge to edge, with frequencies df, may be in its prefix. Shingles that nobody else has (df 1) cost nothing."""
+    docs = len(n)
+    common = -(-n * percent // 100)
+    base, most = n - common + 1, np.minimum(n, 2 * (n - common + 1) + LONGER)
+    shared, rare, begin = df > 1, rarity(df), edge[:-1]
+    best, level_of, length_of, need_of = np.full(docs, np.inf), np.full(docs, LEVELS[-1]), base.copy(), np.ones(docs, np.int64)
+    top = int(rare[shared].max()) if shared.any() else 1
+    for level in range(1, top + 1):
         # places of the shingles left aside; a prefix of base + l - 1 of which at most l - need are left aside will do
-        aside = np.sort(pos[rare > level])
+        aside = np.concatenate([[0], np.cumsum(shared & (rare > level))])
+        cost_upto = np.concatenate([[0], np.cumsum(np.where(shared & (rare <= level), df, 0))])
         for need in (1, 2, 4, 8, 16, 32, 64, 128):
-            l = need  # noqa: E741
-            while base + l - 1 <= most and l <= common:
-                h = int(np.searchsorted(aside, base + l - 1))
-                if l - h >= need:
-                    break
-                l = h + need  # noqa: E741
-            else:
+            l = np.full(docs, need, np.int64)  # noqa: E741
+            fits = (base + l - 1 <= most) & (l <= common)
+            todo = np.flatnonzero(fits)
+            while len(todo):
+                h = aside[begin[todo] + base[todo] + l[todo] - 1] - aside[begin[todo]]
+                todo, h = todo[l[todo] - h < need], h[l[todo] - h < need]
+                l[todo] = h + need
+                good = (base[todo] + l[todo] - 1 <= most[todo]) & (l[todo] <= common[todo])
+                fits[todo[~good]] = False
+                todo = todo[good]
+            if not fits.any():
                 break
-            met = float(df[(rare <= level) & (pos < base + l - 1)].sum())
+            k = np.flatnonzero(fits)
+            met = (cost_upto[begin[k] + base[k] + l[k] - 1] - cost_upto[begin[k]]).astype(float)
             # the pairs that meet, and those to verify: fewer, the more often they have to meet
             cost = met + VERIFY * met / need
-            if cost < best[0]:
-                best = (cost, level, base + l - 1, need)
-        if not len(aside):
-            break
-    return best[1:]
+            less = cost < best[k]
+            k, cost = k[less], cost[less]
+            best[k], level_of[k], length_of[k], need_of[k] = cost, level, base[k] + l[k] - 1, need
+    return level_of, length_of, need_of
 
 
 def rarity(df: np.ndarray) -> np.ndarray:
@@ -200,25 +207,14 @@ def emitted(stored: DataFrame, classes: DataFrame, key: T.DataType, percent: int
         df = np.empty(len(distinct), np.int64)
         df[np.argsort(buckets, kind="stable")] = np.concatenate([unpack(blobs[i])[0] for _, i in counts]).astype(np.int64)
         df = df[np.searchsorted(distinct, token)]
-        keep = [[] for _ in range(6)]
-        for i, k in enumerate(zip(a1.view(np.int64).tolist(), a2.view(np.int64).tolist())):
-            if (r := mine.get(k)) is None:
-                continue
-            d = df[edge[i] : edge[i + 1]]
-            pos = np.flatnonzero(d > 1)
-            if not len(pos):
-                continue
-            d = d[pos]
-            level, length, need = choose(int(n[i]), pos, d, percent)
-            on = pos < length
-            at, d = pos[on] + edge[i], d[on]
-            for x, y in zip(keep, (np.full(len(at), r), np.full(len(at), n[i]), np.full(len(at), need), token[at].view(np.int64), d, rarity(d) <= level)):
-                x.append(y)
-        if not keep[0]:
-            return s.empty_table()
-        own, *rest = (np.concatenate(x) for x in keep)
+        level, length, need = choose(n, edge, df, percent)
+        rep = np.array([mine.get(k, -1) for k in zip(a1.view(np.int64).tolist(), a2.view(np.int64).tolist())], np.int64)
+        doc = np.repeat(np.arange(len(n)), size)
+        on = np.flatnonzero((df > 1) & (np.arange(len(df)) - edge[doc] < length[doc]) & (rep[doc] >= 0))
+        doc, d = doc[on], df[on]
         tb.release()
-        return pa.Table.from_arrays([reps.take(pa.array(own)).cast(s.field(0).type), *(pa.array(x, f.type) for x, f in zip(rest, list(s)[1:]))], schema=s)
+        made = (n[doc], need[doc], token[on].view(np.int64), d, rarity(d) <= level[doc])
+        return pa.Table.from_arrays([reps.take(pa.array(rep[doc])).cast(s.field(0).type), *(pa.array(x, f.type) for x, f in zip(made, list(s)[1:]))], schema=s)
 
     BUCKETS = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counted = stored.where(F.col("kind") == COUNTED).groupBy("bucket").applyInArrow(count, made)
@@ -258,8 +254,7 @@ def verified(pairs: DataFrame, met: DataFrame, docs: DataFrame, id_col: str, tex
     wanted = placed.select("shelf", F.col("x").alias("id")).unionByName(placed.select("shelf", F.col("y").alias("id"))).distinct()
     texts = two(docs, id_col, text_col)
     key = texts.schema["id"].dataType
-    few = ids.limit(FEW + 1).count() <= FEW
-    texts = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")  # FEW ids at most are broadcast
+    texts = texts.join(checked(ids), "id", "left_semi")
     packed = T.StructType([T.StructField("id", key), T.StructField("blob", T.BinaryType())])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,5 +335,6 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 90) -> DataFrame:
     """The rows of docs, with all their columns, less those whose component has a lesser id; equal ids stay together."""
-    gone = similar(docs, id_col, text_col, size, percent).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    (name,) = fresh(docs, "gone")
+    gone = similar(docs, id_col, text_col, size, percent).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(checked(gone), F.col(f"`{id_col}`") == F.col(name), "left_anti")

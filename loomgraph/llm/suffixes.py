@@ -45,7 +45,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomgraph.llm import textbuf as tb
-from loomgraph.llm.common import finished, fresh, map_rows, text_buckets, two, written
+from loomgraph.llm.common import checked, finished, fresh, map_rows, text_buckets, two, written
 from loomgraph.llm.katz import pack, unpack
 from loomgraph.llm.sais import permuted_lcp, suffix_array
 
@@ -477,17 +477,17 @@ def spans(docs: DataFrame, id_col: str, text_col: str, size: int = 100, block_by
     if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
         raise TypeError(f"{id_col} must hold integers, not {docs.schema[id_col].dataType.simpleString()}")
     rows = two(docs, id_col, text_col).select(F.col("id").cast("long").alias("id"), F.xxhash64("text").alias("text"), F.col("text").alias("body"))
-    zip_rows = zipped(rows, 2)
-    return zip_rows, finished(docs.sparkSession, lambda: _gone(rows, zip_rows, size, block_bytes, most, bucket_bytes, held, part), "gone")
+    return zipped(rows, 2), finished(docs.sparkSession, lambda: _gone(rows, size, block_bytes, most, bucket_bytes, held, part), "gone")
 
 
-def _gone(rows: DataFrame, zip_rows: DataFrame, size: int, block_bytes: int, most: int, bucket_bytes: int, held: int, part: int) -> DataFrame:
+def _gone(rows: DataFrame, size: int, block_bytes: int, most: int, bucket_bytes: int, held: int, part: int) -> DataFrame:
     buckets = text_buckets(rows, "body", bucket_bytes)
     known = rows.where("id is not null and body is not null")
     first = known.mapInArrow(first_pass(size, buckets, block_bytes, most), FLAT)
     settled = written(first.repartitionById(buckets, F.col("bucket")).mapInArrow(compare_regions(size, buckets, most, held), FLAT), "regions")
     asked = settled.where(F.col("kind") == ASK).repartition(buckets, "id", "text").groupBy("id", "text").agg(F.collect_list(F.struct("a", "b", F.col("back").cast("long").alias("back"), F.col("group").cast("long").alias("group"))).alias("ask"))
-    cut = zip_rows.where("id is not null and body is not null").repartition(buckets, "id", "text").join(asked, ["id", "text"]).select("id", "text", "body", "ask").mapInArrow(cut_out(size, buckets, block_bytes), FLAT)
+    wanted = checked(settled.where(F.col("kind") == ASK).select("id", "text").distinct())
+    cut = zipped(rows.where("id is not null and body is not null").join(wanted, ["id", "text"], "left_semi").select("id", "text", "body"), 2).repartition(buckets, "id", "text").join(asked, ["id", "text"]).select("id", "text", "body", "ask").mapInArrow(cut_out(size, buckets, block_bytes), FLAT)
     late = written(cut, "stretches")
     blobs = late.unionByName(settled).where(F.col("kind") == STRETCHES).select("bucket", "blob")
     shards = blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(shard_arrays(size, buckets, part), FLAT)
@@ -547,7 +547,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a, b, c = fresh(docs, "id", "text", "gone")
     gone = gone.select(F.col("id").alias(a), F.col("text").alias(b), F.col("gone").alias(c))
     same = (F.col(f"`{id_col}`").cast("long") == F.col(a)) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col(b))
-    both = docs.join(gone, same, "left").drop(a, b)
+    keys = checked(gone.select(a, b))
+    # only texts that lose bytes meet their intervals; the rest of the table isn't shuffled while these are few
+    both = docs.join(keys, same, "left_semi").join(gone, same).drop(a, b).union(docs.join(keys, same, "left_anti").withColumn(c, F.lit(None).cast(gone.schema[c].dataType)))
     at, docs_schema = docs.columns.index(text_col), docs.schema
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
