@@ -1,43 +1,51 @@
-"""Katz backoff language model: Good-Turing discounts, exactly normalised backoff weights, bigrams over words.
+"""Katz backoff language model: Good-Turing discounts, exactly normalised backoff weights, n-grams over words.
 
-P(w | h) is d c(h w) / c(h) for a word pair of the training texts, else a(h) P(w); a(h) gives the words
-that never follow h exactly what the discounts left. P(w) is d c(w) / N, and an unknown word gets what is
-left there. The first word's context is the text's start, and each text ends with an end token.
+P(w | h) is d c(h w) / c(h) for an n-gram of the training texts, else a(h) P(w | h'), where h' is h without its
+first word; a(h) gives the words that never follow h exactly what the discounts left. P(w) is d c(w) / N, and an
+unknown word gets what is left there. Before a text stand starts, and each text ends with an end token. ``order`` is
+the length of the longest n-grams; the recursion goes from single words up to it, token by token.
 
-The tables are as large as the corpus's vocabulary, so nothing of them is broadcast. Texts are packed in
+The tables are as large as the corpus's vocabulary and n-grams, so nothing of them is broadcast. Texts are packed in
 blocks; each block sends its distinct words to the buckets of the word table, which add up the counts and
-answer with the words' ranks by frequency, from which a small table tells the counts. Then it sends its
-distinct pairs to the buckets of the pair table, by context, and gets the pairs' counts and each context's
-sums. Then it scores its own tokens, backing off where a pair's count is 0. A context among the ``HOT`` most
-frequent words is spread over all buckets and its sums are added up. What moves is the distinct words and
-pairs of blocks, packed and compressed, not tokens.
+answer with the words' ranks by frequency, from which a small table tells the counts. Then, for each length, it
+sends its distinct n-grams, whose contexts occur in the training texts, to the buckets of that length's table, by
+context, with what the count of the shorter n-gram was; and gets their counts and, for contexts that it has to back
+off from, the context's sums. Then it scores its own tokens. What moves is the distinct words and n-grams of blocks,
+packed and compressed, not tokens. There are as many buckets as ``BUCKET`` goes into the bytes of all texts.
+A context with over one ``HOT``-th of all tokens is spread over all buckets, and its sums, which Spark adds up, are
+broadcast: there are at most HOT of them for each length. Also broadcast is how many words have each count: as many
+numbers as there are distinct counts, at most the root of twice the number of tokens.
 
 Null and empty texts are just an end token. Rows with a null id have a null remainder, so they are scored
-and not learnt from. Repeated rows count as often as they occur. Without training texts every
-probability is 1. An empty table gives an empty result. Other columns are not read.
+and not learnt from. Repeated rows count as often as they occur, rows with one id and different texts each for
+itself. Texts of any length are scored whole. Without training texts every probability is 1. An empty table gives an
+empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomgraph.llm import textbuf as tb
-from loomgraph.llm.common import crc_mod, finished, written
+from loomgraph.llm.common import crc_mod, finished, text_buckets, written
 
 END = tb.U64(0x1D872B41C6E5F037)
-HOT = 512
+HOT = 4096
 TOP = 5
-TOKENS, WORDS, RANKS, PAIRS, COUNTS = range(5)
+BUCKET = 8 << 20
+TOKENS, WORDS, OFFSETS, RANKS, ASKED, SPREAD = range(6)
+#: answers of n-grams of length k have kind COUNTS + k
+COUNTS = 10
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -70,39 +78,10 @@ def unpack(blob: bytes, as_bytes: int = -1) -> list[np.ndarray]:
     return out
 
 
-@dataclass
-class Block:
-    """Tokens of some texts as places in the block's sorted word hashes."""
-
-    token: np.ndarray
-    size: np.ndarray
-    train: np.ndarray
-    words: int
-
-    @classmethod
-    def read(cls, blob: bytes) -> Block:
-        many, rank, size, train = unpack(blob)
-        order = np.argsort(-many.astype(np.int64), kind="stable")
-        return cls(order[rank.astype(np.int64)], size.astype(np.int64), train.astype(bool), len(many))
-
-    @staticmethod
-    def write(place: np.ndarray, many: np.ndarray, size: np.ndarray, train: np.ndarray) -> bytes:
-        order = np.argsort(-many, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        return pack(many, rank[place], size, train)
-
-    def learnt(self) -> np.ndarray:
-        return np.repeat(self.train, self.size)
-
-    def starts(self) -> np.ndarray:
-        return np.cumsum(self.size) - self.size
-
-
 def schema(key: T.DataType) -> T.StructType:
     return T.StructType([
         T.StructField("kind", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("bucket", T.IntegerType()),
-        T.StructField("ids", T.ArrayType(key)), T.StructField("blob", T.BinaryType()),
+        T.StructField("ids", T.ArrayType(key)), T.StructField("nums", T.ArrayType(T.LongType())), T.StructField("blob", T.BinaryType()),
     ])
 
 
@@ -110,35 +89,32 @@ def record(rows: list[tuple], s: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), s)] if rows else [pa.array([], f.type) for f in s], schema=s)
 
 
-def cut(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket begins in sorted hashes."""
-    edges = np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=np.uint64)
-    return np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
-
-
 def texts(docs: DataFrame, buckets: int, block_bytes: int, made: T.StructType) -> DataFrame:
     """Blocks of tokens, and each block's distinct words with their training counts, by bucket."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, part, n = to_arrow_schema(made), TaskContext.get().partitionId() << 32, 0
+        edges = np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=np.uint64)
         ids, hashes, sizes, trains, held = [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             h, size, train = np.concatenate(hashes), np.concatenate(sizes), np.concatenate(trains)
             word, place, many = np.unique(h, return_inverse=True, return_counts=True)
             known = np.bincount(place[np.repeat(train, size)], minlength=len(word))
-            at = cut(word, buckets)
-            rows = [(TOKENS, part + n, None, [x for i in ids for x in i.to_pylist()], Block.write(place, many, size, train))]
-            rows += [(WORDS, part + n, k, None, pack(np.diff(word[a:b], prepend=tb.U64(0)), known[a:b])) for k, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
+            at = np.concatenate([[0], np.searchsorted(word, edges), [len(word)]])
+            order = np.argsort(-many, kind="stable")  # tokens are told by their words' places by frequency
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            rows = [(TOKENS, part + n, None, [x for i in ids for x in i.to_pylist()], None, pack(many, rank[place], size, train))]
+            rows += [(WORDS, part + n, k, None, None, pack(np.diff(word[a:b], prepend=tb.U64(0)), known[a:b])) for k, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
             return record(rows, s)
 
         for b in batches:
             learn = b.column(2).fill_null(False).to_numpy(zero_copy_only=False)
-            for run in tb.runs(b.column(1)):
+            for run in tb.runs(b.column(1), 1 << 20):
                 w = run.words(tb.PLAIN)
-                h = np.insert(w.hashes(True), w.offs[1:], END)
                 ids.append(b.column(0).slice(run.first, run.n))
-                hashes.append(h)
+                hashes.append(np.insert(w.hashes(True), w.offs[1:], END))
                 sizes.append(w.counts + 1)
                 trains.append(learn[run.first : run.first + run.n])
                 held += len(run.data)
@@ -149,12 +125,13 @@ def texts(docs: DataFrame, buckets: int, block_bytes: int, made: T.StructType) -
                     tb.release()
         if ids:
             yield flush()
+            tb.release()
 
     return docs.mapInArrow(apply, made)
 
 
-def groups(df: DataFrame, by: str, out: T.StructType, fn) -> DataFrame:
-    """fn makes rows of a group's rows."""
+def by_block(df: DataFrame, out: T.StructType, fn: Callable[[list[dict]], list[tuple]]) -> DataFrame:
+    """fn makes rows of a block's rows."""
 
     def apply(t: pa.Table) -> pa.Table:
         s = to_arrow_schema(out)
@@ -162,7 +139,21 @@ def groups(df: DataFrame, by: str, out: T.StructType, fn) -> DataFrame:
         tb.release()
         return made
 
-    return df.groupBy(by).applyInArrow(apply, out)
+    return df.groupBy("block").applyInArrow(apply, out)
+
+
+def by_bucket(df: DataFrame, buckets: int, out: T.StructType, fn: Callable[[list[dict]], list[tuple]]) -> DataFrame:
+    """fn makes rows of a bucket's rows; a task for each bucket."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, rows = to_arrow_schema(out), [r for b in batches for r in b.to_pylist()]
+        if rows:
+            made = fn(rows)
+            for i in range(0, len(made), 1000):
+                yield record(made[i : i + 1000], s)
+        tb.release()
+
+    return df.repartitionById(buckets, F.col("bucket")).mapInArrow(apply, out)
 
 
 def added(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -180,6 +171,7 @@ class Ranks:
     counts: np.ndarray
     upto: np.ndarray
     discount: np.ndarray
+    texts: int = 0
 
     @property
     def total(self) -> int:
@@ -189,24 +181,39 @@ class Ranks:
     def words(self) -> int:
         return int(self.upto[-1]) if len(self.upto) else 0
 
+    @property
+    def start(self) -> int:
+        """The rank that stands for a text's start, as often as there are training texts."""
+        return self.words + 1
+
     def count(self, rank: np.ndarray) -> np.ndarray:
         """Training count of a word's rank from 1; 0 for rank 0, that of unknown words."""
         if not len(self.counts):
-            return np.zeros(len(rank), np.int64)
+            return np.where(rank == self.start, self.texts, 0)
         at = np.minimum(np.searchsorted(self.upto, rank), len(self.counts) - 1)
-        return np.where((rank > 0) & (rank <= self.words), self.counts[at], 0)
+        return np.where(rank == self.start, self.texts, np.where((rank > 0) & (rank <= self.words), self.counts[at], 0))
 
     def chance(self, rank: np.ndarray) -> np.ndarray:
         """P(w)."""
         if not self.total:
             return np.ones(len(rank))
         c = self.count(rank)
-        seen = self.counts * np.where(self.counts <= TOP, self.discount[np.minimum(self.counts, TOP)], 1.0)
+        seen = self.counts * kept(self.discount, self.counts)
         left = 1 - (seen * np.diff(self.upto, prepend=0)).sum() / self.total
         scale = 1.0
         if left <= 1e-12:  # no small counts: make room for one unknown token
             scale, left = self.total / (self.total + 1), 1 / (self.total + 1)
-        return np.where(c > 0, scale * c * np.where(c <= TOP, self.discount[np.minimum(c, TOP)], 1.0) / self.total, left)
+        return np.where(c > 0, scale * c * kept(self.discount, c) / self.total, left)
+
+
+def kept(d: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The share of counts that discounting leaves."""
+    return np.where(c <= TOP, d[np.minimum(c, TOP)], 1.0)
+
+
+def seen(d: np.ndarray, c: np.ndarray, context: np.ndarray, bare: np.ndarray) -> np.ndarray:
+    """P of n-grams that occur c times after a context; bare: no n-gram of the context is discounted, so room is made for one more."""
+    return c * kept(d, c) / (context + bare)
 
 
 def discounts(n: dict[int, int]) -> np.ndarray:
@@ -221,160 +228,282 @@ def discounts(n: dict[int, int]) -> np.ndarray:
     return d
 
 
-def pairs(b: Block, rank: np.ndarray, start: int, buckets: int) -> tuple[np.ndarray, ...]:
-    """Distinct pairs with a known context, by bucket: context, word, training count; where buckets begin; each token's pair or -1."""
-    w = rank[b.token]
-    h = np.empty_like(w)
-    h[1:] = w[:-1]
-    h[b.starts()] = start
-    known = h > 0
-    key = h[known] * (start + 1) + w[known]
-    pair, place = np.unique(key, return_inverse=True)
-    many = np.bincount(place, b.learnt()[known].astype(float), len(pair)).astype(np.int64)
-    ph, pw = pair // (start + 1), pair % (start + 1)
-    hot = (ph <= HOT) | (ph == start)
-    spread = tb.mix(ph.astype(tb.U64) * tb.STEPS[1] + np.where(hot, pw, 0).astype(tb.U64) * tb.STEPS[2])
-    bucket = (spread % tb.U64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    back = np.empty_like(order)
-    back[order] = np.arange(len(order))
-    of = np.full(len(w), -1)
-    of[known] = back[place]
-    return ph[order], pw[order], many[order], np.searchsorted(bucket[order], np.arange(buckets + 1)), of, w, h
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 5, rest: int = 1, block_bytes: int = 8 << 20, train: Column | None = None) -> DataFrame:
+@dataclass
+class Level:
+    """What all blocks know of the n-grams of one length: discounts, and the sums of hot contexts."""
+
+    discount: np.ndarray
+    hot: dict[tuple[int, ...], np.ndarray] = field(default_factory=dict)
+
+
+@dataclass
+class Grams:
+    """N-grams of a length in a block: a column of ranks for each place, how often each occurs in all training texts, whether
+    its probability has room made for one more; each token's n-gram, -1 if its context is unknown; each token's probability."""
+
+    cols: list[np.ndarray]
+    total: np.ndarray
+    bare: np.ndarray
+    of: np.ndarray
+    p: np.ndarray
+
+
+@dataclass
+class Asked:
+    """The distinct n-grams of the next length whose contexts are known, in order: places of their contexts, ranks, training counts."""
+
+    context: np.ndarray
+    cols: list[np.ndarray]
+    many: np.ndarray
+    known: np.ndarray
+    hot: np.ndarray
+    first: np.ndarray
+    of: np.ndarray
+    order: np.ndarray
+    at: np.ndarray
+
+
+class State:
+    """A block's tokens, and its n-grams, length by length."""
+
+    def __init__(self, rows: list[dict], ranks: Ranks, hot: int = HOT):
+        blob = next(r["blob"] for r in rows if r["kind"] == TOKENS)
+        many, place, size, train = unpack(blob)
+        rank = np.concatenate([x[0] for x in replies(rows, RANKS)]).astype(np.int64)
+        order = np.argsort(-many.astype(np.int64), kind="stable")
+        self.ranks, self.hot, self.size, self.train = ranks, hot, size.astype(np.int64), np.repeat(train.astype(bool), size.astype(np.int64))
+        word, which = np.unique(rank, return_inverse=True)  # words by rank; all unknown ones are one
+        self.token = which[order][place.astype(np.int64)]
+        self.starts = np.cumsum(self.size) - self.size
+        self.words = word
+        self.grams = Grams([word], ranks.count(word), np.zeros(len(word), bool), self.token, ranks.chance(word)[self.token])
+
+    def ask(self, buckets: int) -> Asked:
+        g, n = self.grams, len(self.token)
+        length = len(g.cols)
+        context = np.empty(n, np.int64)
+        context[1:] = g.of[:-1]
+        context[self.starts] = len(g.total)  # as many starts as the context is long
+        times = np.append(g.total, self.ranks.texts)
+        known = context >= 0
+        known[known] = times[context[known]] > 0
+        wide = len(self.words)
+        gram, first, place = np.unique(context[known] * wide + self.token[known], return_index=True, return_inverse=True)
+        many = np.bincount(place, self.train[known].astype(float), len(gram)).astype(np.int64)
+        context, word = gram // wide, gram % wide
+        cols = [*(np.append(c, self.ranks.start)[context] for c in g.cols), self.words[word]]
+        hot = times[context] > self.ranks.total // self.hot
+        spread = np.where(hot, cols[-1], 0).astype(tb.U64) * tb.STEPS[0]
+        for j in range(length):
+            spread += cols[j].astype(tb.U64) * tb.STEPS[j + 1]
+        bucket = (tb.mix(spread) % tb.U64(buckets)).astype(np.int64)
+        order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
+        of = np.full(n, -1)
+        of[known] = place
+        return Asked(context, cols, many, times[context], hot, np.flatnonzero(known)[first], of, order, np.searchsorted(bucket[order], np.arange(buckets + 1)))
+
+    def requests(self, buckets: int) -> Iterator[tuple[int, bytes]]:
+        """For each bucket the contexts and words of its n-grams, their training counts with a bit for hot contexts, the
+        counts of the n-grams without the first word, with a bit for bare contexts, and those of the contexts without it."""
+        q, g = self.ask(buckets), self.grams
+        length = len(g.cols)
+        low = q.first * 0
+        if length > 1:
+            short = g.of[q.first]
+            low = np.where((q.many > 0) & (short >= 0), g.total[short] * 2 + g.bare[short], 0)
+        for k in np.flatnonzero(np.diff(q.at)).tolist():
+            mine = q.order[q.at[k] : q.at[k + 1]]
+            cols = [c[mine] for c in q.cols]
+            more = [low[mine]] if length > 1 else []
+            if length > 2:
+                more.append(np.where(low[mine] > 0, self.short_context[q.first[mine]], 0))
+            yield k, pack(np.diff(cols[0], prepend=0), *cols[1:], q.many[mine] * 2 + q.hot[mine], *more)
+
+    def take(self, rows: list[dict], buckets: int, level: Level) -> None:
+        """The answers of the next length."""
+        q, g = self.ask(buckets), self.grams
+        length, n = len(g.cols) + 1, len(q.many)
+        total, sums, bare = np.zeros(n, np.int64), np.zeros((n, TOP + 1)), np.zeros(n, bool)
+        got = replies(rows, COUNTS + length)
+        for k, x in zip(np.flatnonzero(np.diff(q.at)).tolist(), got):
+            mine = q.order[q.at[k] : q.at[k + 1]]
+            total[mine] = x[0]
+            context = q.context[mine]
+            head = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+            size = np.append(head[1:], len(mine)) - head
+            bare[mine] = np.repeat(x[1].astype(bool), size)
+            back = np.add.reduceat((x[0] == 0).astype(np.int64), head) > 0
+            some = np.zeros((len(head), TOP + 1))
+            some[back, :TOP] = np.stack([y.astype(float) for y in x[2:-1]], axis=1)
+            some[back, TOP] = x[-1].view(np.float64)
+            sums[mine] = np.repeat(some, size, axis=0)
+        hot = np.flatnonzero(q.hot)
+        if len(hot):
+            context, which = np.unique(q.context[hot], return_inverse=True)
+            one = hot[np.unique(which, return_index=True)[1]]
+            found = np.array([level.hot.get(t, np.zeros(TOP + 1)) for t in zip(*(c[one].tolist() for c in q.cols[:-1]))]).reshape(len(context), TOP + 1)
+            sums[hot] = found[which]
+            bare[hot] = ~found[which, :TOP].any(axis=1)
+        d, c = level.discount, q.known.astype(float)
+        left = (sums[:, :TOP] * (np.arange(1, TOP + 1) * (1 - d[1:]))).sum(axis=1) / c
+        left = np.where(bare, 1 / (c + 1), left)
+        there = seen(d, total, c, bare)
+        weight = left / np.maximum(1 - sums[:, TOP], 1e-15)
+        p, mine = g.p.copy(), q.of >= 0
+        o = q.of[mine]
+        p[mine] = np.where(total[o] > 0, there[o], weight[o] * g.p[mine])
+        #: how often each token's context occurs, for the next length
+        self.short_context = np.zeros(len(q.of), np.int64)
+        self.short_context[mine] = q.known[o]
+        self.grams = Grams(q.cols, total, bare, q.of, p)
+
+
+def replies(rows: list[dict], kind: int) -> list[list[np.ndarray]]:
+    return [unpack(r["blob"]) for r in sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["bucket"])]
+
+
+def answer(rows: list[dict], length: int, ranks: Ranks, lower: Level | None) -> list[tuple]:
+    """The counts of a bucket's n-grams, row by row; for each context of a row whether no count of it is small; for those
+    with an n-gram that the training texts lack, how many have each small count, and the sum of the lower probabilities."""
+    got = [unpack(r["blob"]) for r in rows]
+    ends = np.cumsum([len(x[0]) for x in got])
+    cols = [np.concatenate([np.cumsum(x[0].astype(np.int64)) for x in got]), *(np.concatenate([x[j] for x in got]).astype(np.int64) for j in range(1, length))]
+    wide = ranks.words + 2
+    context = np.unique(cols[0], return_inverse=True)[1]
+    for c in cols[1:-1]:
+        context = np.unique(context * wide + c, return_inverse=True)[1]
+    gram, first, place = np.unique(context * wide + cols[-1], return_index=True, return_inverse=True)
+    many = np.concatenate([x[length] for x in got]).astype(np.int64)
+    hot, total = many & 1 > 0, np.bincount(place, (many >> 1).astype(float), len(gram)).astype(np.int64)
+    of, n = gram // wide, int(context.max()) + 1
+    there = total > 0
+    if length == 2:
+        low = ranks.chance(cols[-1][first])
+    else:
+        # the same in every row that has a training count
+        told = np.flatnonzero(many >> 1)
+        value, c = np.zeros(len(gram), np.int64), np.ones(len(gram), np.int64)
+        value[place[told]] = np.concatenate([x[length + 1] for x in got]).astype(np.int64)[told]
+        c[place[told]] = ranks.count(cols[-2][told]) if length == 3 else np.concatenate([x[length + 2] for x in got]).astype(np.int64)[told]
+        low = seen(lower.discount, value >> 1, np.maximum(c, 1), value & 1)
+    sums = np.stack([np.bincount(of[total == r], minlength=n) for r in range(1, TOP + 1)])
+    mass = np.bincount(of[there], low[there], n)
+    bare = ~sums.any(axis=0)
+    out = []
+    for r, a, b in zip(rows, [0, *ends], ends):
+        mine = total[place[a:b]]
+        own = context[a:b]
+        head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        back = own[head[np.add.reduceat((mine == 0).astype(np.int64), head) > 0]]
+        out.append((COUNTS + length, r["block"], r["bucket"], None, None, pack(mine, bare[own[head]], *(s[back] for s in sums), mass[back].view(np.uint64))))
+    types = np.bincount(np.minimum(total[there], TOP + 2), minlength=TOP + 3)
+    warm, at = np.unique(context[hot], return_index=True)
+    at = np.flatnonzero(hot)[at]
+    out.append((SPREAD, None, rows[0]["bucket"], None, types.tolist(), pack(*(c[at] for c in cols[:-1]), *(s[warm] for s in sums), mass[warm].view(np.uint64))))
+    return out
+
+
+def spread_sums(df: DataFrame, length: int) -> DataFrame:
+    """context (ranks) and s0 ... of each bucket's hot contexts."""
+    out = T.StructType([T.StructField("context", T.ArrayType(T.LongType())), *(T.StructField(f"s{i}", T.DoubleType()) for i in range(TOP + 1))])
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = to_arrow_schema(out)
+        for b in batches:
+            for blob in b.column(0).to_pylist():
+                x = unpack(blob)
+                cols, sums, mass = x[: length - 1], x[length - 1 : -1], x[-1].view(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.stack(cols, axis=1).astype(np.int64).tolist(), s.field(0).type), *(pa.array(y.astype(float)) for y in sums), pa.array(mass)], schema=s)
+
+    return df.select("blob").mapInArrow(apply, out)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 5, rest: int = 1, block_bytes: int = 4 << 20, train: Column | None = None, order: int = 3, bucket_bytes: int = BUCKET, hot: int = HOT) -> DataFrame:
     """Scores of every row; learns from the rows whose id's crc32 modulo ``mod`` isn't ``rest``, or for which train holds."""
-    return finished(docs.sparkSession, lambda: _score(docs, id_col, text_col, mod, rest, block_bytes, train), "scores")
+    if order < 1:
+        raise ValueError("order is 1 at least")
+    return finished(docs.sparkSession, lambda: _score(docs, id_col, text_col, mod, rest, block_bytes, train, order, bucket_bytes, hot), "scores")
 
 
-def _score(docs: DataFrame, id_col: str, text_col: str, mod: int, rest: int, block_bytes: int, train: Column | None) -> DataFrame:
+def _score(docs: DataFrame, id_col: str, text_col: str, mod: int, rest: int, block_bytes: int, train: Column | None, order: int, bucket_bytes: int, hot: int) -> DataFrame:
     spark = docs.sparkSession
+    share = spark.sparkContext.broadcast
     held = crc_mod(F.col(id_col), mod) == rest
     small = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), (~held if train is None else train).alias("learn"))
     key = small.schema["id"].dataType
     made = schema(key)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = text_buckets(small, "text", bucket_bytes)
     stored = written(texts(small, buckets, block_bytes, made), "blocks")
     tokens, words = stored.where(F.col("kind") == TOKENS), stored.where(F.col("kind") == WORDS)
 
     # word counts: how many words of each bucket have each count, so that each bucket knows its words' ranks
-    hist = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("c", T.ArrayType(T.LongType())), T.StructField("n", T.ArrayType(T.LongType()))])
+    hist = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("c", T.LongType()), T.StructField("n", T.LongType())])
 
     def histogram(rows: list[dict]) -> list[tuple]:
         c, n = np.unique(added(rows)[1], return_counts=True)
-        return [(rows[0]["bucket"], c[c > 0].tolist(), n[c > 0].tolist())]
-
-    found = sorted(groups(words, "bucket", hist, histogram).collect(), key=lambda r: r["bucket"])
-    c = np.array([x for r in found for x in r["c"]], np.int64)
-    n = np.array([x for r in found for x in r["n"]], np.int64)
-    owner = np.repeat([r["bucket"] for r in found], [len(r["c"]) for r in found]) if found else np.zeros(0, np.int64)
-    order = np.lexsort((owner, -c))
-    before = np.cumsum(n[order]) - n[order]
-    offsets = {b: (c[order][owner[order] == b], before[owner[order] == b]) for b in np.unique(owner).tolist()}
-    counts = np.unique(c)[::-1]
-    per = np.array([n[c == x].sum() for x in counts], np.int64)
-    ranks = Ranks(counts, np.cumsum(per), discounts(dict(zip(counts.tolist(), per.tolist()))))
-    start = ranks.words + 1
-    offsets_b, ranks_b = spark.sparkContext.broadcast(offsets), spark.sparkContext.broadcast(ranks)  # as many numbers as there are distinct counts: the root of the corpus
+        return [(rows[0]["bucket"], int(x), int(y)) for x, y in zip(c, n) if x]
+
+    found = written(by_bucket(words, buckets, hist, histogram), "histograms")
+    per = sorted(((r["c"], r["n"]) for r in found.groupBy("c").agg(F.sum("n").alias("n")).collect()), reverse=True)  # distinct counts
+    counts, many = (np.array(x, np.int64) for x in zip(*per)) if per else (np.zeros(0, np.int64),) * 2
+    ranks = Ranks(counts, np.cumsum(many), discounts({int(c): int(n) for c, n in per}), small.where(F.col("learn")).count())
+    ranks_b = share(ranks)
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("c").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = found.select("bucket", "c", before.alias("before")).groupBy("bucket").agg(F.flatten(F.sort_array(F.collect_list(F.array("c", "before")))).alias("nums"))
+    none = {"block": "bigint", "ids": made["ids"].dataType, "blob": "binary"}
+    offsets = offsets.select(F.lit(OFFSETS).alias("kind"), "bucket", "nums", *(F.lit(None).cast(t).alias(c) for c, t in none.items())).select(*made.names)
 
     def answer_words(rows: list[dict]) -> list[tuple]:
-        word, total, places = added(rows)
-        values, base = offsets_b.value.get(rows[0]["bucket"], (np.zeros(0, np.int64),) * 2)
+        mine = [r for r in rows if r["kind"] == WORDS]
+        values, base = np.array(next((r["nums"] for r in rows if r["kind"] == OFFSETS), []), np.int64).reshape(-1, 2)[::-1].T
+        base = base + np.concatenate([[0], ranks_b.value.upto])[np.searchsorted(-ranks_b.value.counts, -values)]
+        word, total, places = added(mine)
         order = np.argsort(-total, kind="stable")
         order = order[total[order] > 0]
-        kind = np.searchsorted(-values, -total[order])
         rank = np.zeros(len(word), np.int64)
-        rank[order] = base[kind] + 1 + np.arange(len(order)) - np.searchsorted(-total[order], -total[order])
-        return [(RANKS, r["block"], r["bucket"], None, pack(rank[p])) for r, p in zip(rows, places)]
-
-    ranked = written(groups(words, "bucket", made, answer_words), "ranks")
-
-    def joined(blobs: list[dict], kind: int) -> list[list[np.ndarray]]:
-        return [unpack(r["blob"]) for r in sorted((r for r in blobs if r["kind"] == kind), key=lambda r: r["bucket"])]
-
-    def ask_pairs(rows: list[dict]) -> list[tuple]:
-        block = Block.read(next(r["blob"] for r in rows if r["kind"] == TOKENS))
-        rank = np.concatenate([x[0] for x in joined(rows, RANKS)]).astype(np.int64)
-        h, w, many, at, *_ = pairs(block, rank, start, buckets)
-        return [(PAIRS, rows[0]["block"], k, None, pack(np.diff(h[a:b], prepend=0), w[a:b], many[a:b])) for k, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
-
-    asked = written(groups(tokens.unionByName(ranked), "block", made, ask_pairs), "pairs")
-
-    def answer_pairs(rows: list[dict]) -> list[tuple]:
-        got = [unpack(r["blob"]) for r in rows]
-        h = np.concatenate([np.cumsum(x[0].astype(np.int64)) for x in got])
-        w = np.concatenate([x[1] for x in got]).astype(np.int64)
-        contexts, hi = np.unique(h, return_inverse=True)
-        pair, place = np.unique(hi * (start + 1) + w, return_inverse=True)
-        total = np.bincount(place, np.concatenate([x[2] for x in got]).astype(float), len(pair)).astype(np.int64)
-        of, word = pair // (start + 1), pair % (start + 1)
-        seen = total > 0
-        sums = [np.bincount(of[total == r], minlength=len(contexts)) for r in range(1, TOP + 1)]
-        mass = np.bincount(of[seen], ranks_b.value.chance(word[seen]), len(contexts))
-        out, ends = [], np.cumsum([len(x[0]) for x in got])
-        for r, a, b in zip(rows, [0, *ends], ends):
-            mine = np.unique(hi[a:b])
-            out.append((COUNTS, r["block"], r["bucket"], None, pack(total[place[a:b]], *(s[mine] for s in sums), mass[mine].view(np.uint64))))
-        hot = np.flatnonzero((contexts <= HOT) | (contexts == start))
-        types = np.bincount(np.minimum(total, TOP + 1), minlength=TOP + 2)
-        out.append((-1, None, rows[0]["bucket"], None, pack(types, contexts[hot], *(s[hot] for s in sums), mass[hot].view(np.uint64))))
-        return out
-
-    answered = written(groups(asked, "bucket", made, answer_pairs), "counts")
-    types, hot = np.zeros(TOP + 2, np.int64), {}
-    for r in answered.where("kind = -1").select("blob").toLocalIterator():  # HOT contexts a bucket at most
-        t, at, *sums = unpack(r["blob"])
-        types += t.astype(np.int64)
-        for h, *x in zip(at.tolist(), *(s.astype(float) for s in sums[:-1]), sums[-1].view(np.float64)):
-            hot[h] = hot.get(h, 0) + np.array(x)
-    d = discounts(dict(enumerate(types.tolist())))
-    all_b = spark.sparkContext.broadcast((d, hot))
+        rank[order] = base[np.searchsorted(-values, -total[order])] + 1 + np.arange(len(order)) - np.searchsorted(-total[order], -total[order])
+        return [(RANKS, r["block"], r["bucket"], None, None, pack(rank[p])) for r, p in zip(mine, places)]
+
+    known = tokens.unionByName(written(by_bucket(words.unionByName(offsets), buckets, made, answer_words), "ranks"))
+    levels: list[Level] = []
+
+    def replay(rows: list[dict]) -> State:
+        state = State(rows, ranks_b.value, hot)
+        for level in levels_b.value:
+            state.take(rows, buckets, level)
+        return state
+
+    for length in range(2, order + 1):
+        levels_b = share(list(levels))
+
+        def ask(rows: list[dict], replay=replay) -> list[tuple]:
+            return [(ASKED, rows[0]["block"], k, None, None, blob) for k, blob in replay(rows).requests(buckets)]
+
+        def reply(rows: list[dict], length=length, lower=levels[-1] if levels else None) -> list[tuple]:
+            return answer(rows, length, ranks_b.value, lower)
+
+        answered = written(by_bucket(by_block(known, made, ask), buckets, made, reply), f"counts{length}")
+        told = answered.where(F.col("kind") == SPREAD)
+        types = told.select(F.posexplode("nums").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n")).collect()
+        sums = spread_sums(told, length).groupBy("context").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(TOP + 1))).collect()  # HOT contexts at most
+        levels.append(Level(discounts({r["r"]: r["n"] for r in types}), {tuple(r["context"]): np.array(r[1:], float) for r in sums}))
+        known = known.unionByName(answered.where(F.col("kind") == COUNTS + length))
 
+    levels_b = share(list(levels))
     result = T.StructType([
         T.StructField("id", key), *(T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known", "train_tokens")),
         T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()),
     ])
 
     def evaluate(rows: list[dict]) -> list[tuple]:
-        first = next(r for r in rows if r["kind"] == TOKENS)
-        block, ranks, (d, hot) = Block.read(first["blob"]), ranks_b.value, all_b.value
-        rank = np.concatenate([x[0] for x in joined(rows, RANKS)]).astype(np.int64)
-        ph, _, _, at, of, w, h = pairs(block, rank, start, buckets)
-        got = joined(rows, COUNTS)
-        total = np.concatenate([x[0] for x in got]).astype(np.int64) if got else np.zeros(0, np.int64)
-        sums = np.zeros((len(ph), TOP + 1))
-        k = 0
-        for a, b in zip(at[:-1], at[1:]):
-            if b > a:
-                mine, where = np.unique(ph[a:b], return_inverse=True)
-                x = got[k]
-                sums[a:b] = np.stack([*(s.astype(float) for s in x[1:-1]), x[-1].view(np.float64)], axis=1)[where]
-                k += 1
-        for c in np.unique(ph[(ph <= HOT) | (ph == start)]).tolist():
-            sums[ph == c] = hot[c]
-        context = np.where(ph == start, starts_b.value, ranks.count(ph)).astype(float)
-        small = sums[:, :TOP] * np.arange(1, TOP + 1)
-        left = (small * (1 - d[1:])).sum(axis=1)
-        left = np.where(left > 0, left, 0.0)
-        scale = np.where(left > 1e-12, 1.0, context / (context + 1))
-        left = np.where(left > 1e-12, left / np.maximum(context, 1), 1 / (context + 1))
-        seen = scale * total * np.where(total <= TOP, d[np.minimum(total, TOP)], 1.0) / np.maximum(context, 1)
-        backoff = np.where(context > 0, left / np.maximum(1 - sums[:, TOP], 1e-15), 1.0)
-        chance = ranks.chance(w)
-        p = np.where(of < 0, chance, 0.0)
-        mine = of >= 0
-        o = of[mine]
-        p[mine] = np.where(total[o] > 0, seen[o], backoff[o] * chance[mine])
-        c = ranks.count(w)
-        base = np.log10((c + 0.5) / (ranks.total + 0.5 * (ranks.words + 1)))
-        edge = np.concatenate([[0], np.cumsum(block.size)])
-        by = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[edge])
+        ids = next(r["ids"] for r in rows if r["kind"] == TOKENS)
+        state, ranks = replay(rows), ranks_b.value
+        c = ranks.count(state.words)
+        base = np.log10((c + 0.5) / (ranks.total + 0.5 * (ranks.words + 1)))[state.token]
         # sums of the tokens of each text by itself, so that they don't depend on what else is in the block
-        by_real = lambda x: np.add.reduceat(x, edge[:-1]) if len(edge) > 1 else np.zeros(0)
-        known, base, real = by(c > 0), by_real(base), by_real(np.log10(p))
-        return list(zip(first["ids"], block.size.tolist(), known.tolist(), [ranks.total] * len(known), base.tolist(), real.tolist()))
+        by = lambda x: np.add.reduceat(x, state.starts) if len(state.starts) else np.zeros(0)
+        got = by((c > 0).astype(np.int64)[state.token]), by(base), by(np.log10(state.grams.p))
+        return list(zip(ids, state.size.tolist(), got[0].tolist(), [ranks.total] * len(ids), got[1].tolist(), got[2].tolist()))
 
-    starts_b = spark.sparkContext.broadcast(small.where(F.col("learn")).count())
-    rows = groups(tokens.unionByName(ranked).unionByName(answered.where(F.col("kind") == COUNTS)), "block", result, evaluate)
+    rows = by_block(known, result, evaluate)
     return rows.select(F.col("id").alias(id_col), (crc_mod(F.col("id"), mod) == rest).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -90,18 +90,20 @@ def repeats(docs, size=100):
 
 
 class Katz:
-    """Bigrams with Good-Turing discounts up to top; learns from lists of tokens."""
+    """N-grams with Good-Turing discounts up to top; learns from lists of tokens."""
 
-    def __init__(self, texts, top=5):
-        self.top = top
+    def __init__(self, texts, order=3, top=5):
+        self.top, self.order = top, order
         self.uni = Counter(t for x in texts for t in x)
-        self.bi = Counter(p for x in texts for p in zip(["<s>", *x], x))
-        self.context = Counter(p[0] for x in texts for p in zip(["<s>", *x], x))
         self.n = sum(self.uni.values())
-        self.du, self.db = self._discounts(self.uni), self._discounts(self.bi)
-        self.after = defaultdict(dict)
-        for (h, w), c in self.bi.items():
-            self.after[h][w] = c
+        self.du = self._discounts(self.uni)
+        self.after, self.d = {}, {}
+        for k in range(2, order + 1):
+            grams = Counter((tuple((["<s>"] * (k - 1) + x)[i : i + k - 1]), w) for x in texts for i, w in enumerate(x))
+            self.d[k] = self._discounts(grams)
+            self.after[k] = defaultdict(dict)
+            for (h, w), c in grams.items():
+                self.after[k][h][w] = c
 
     def _discounts(self, counts):
         n = Counter(counts.values())
@@ -124,21 +126,27 @@ class Katz:
         c = self.uni.get(w, 0)
         return scale * self.du.get(c, 1) * c / self.n if c else left
 
-    def pair(self, h, w):
-        c = self.context.get(h, 0)
-        if not c:
+    def p(self, h, w):
+        if not h:
             return self.word(w)
-        left = sum((1 - self.db.get(x, 1)) * x for x in self.after[h].values()) / c
+        k = len(h) + 1
+        after = self.after[k].get(h)
+        if not after:
+            return self.p(h[1:], w)
+        c, d = sum(after.values()), self.d[k]
+        left = sum((1 - d.get(x, 1)) * x for x in after.values()) / c
         scale = 1
         if left * c <= 1e-12:
             scale, left = c / (c + 1), 1 / (c + 1)
-        x = self.after[h].get(w, 0)
+        x = after.get(w, 0)
         if x:
-            return scale * self.db.get(x, 1) * x / c
-        return left / (1 - sum(self.word(v) for v in self.after[h])) * self.word(w)
+            return scale * d.get(x, 1) * x / c
+        return left / (1 - sum(self.p(h[1:], v) for v in after)) * self.p(h[1:], w)
 
     def score(self, tokens):
-        return sum(math.log10(self.pair(h, w)) for h, w in zip(["<s>", *tokens], tokens))
+        k = self.order - 1
+        x = ["<s>"] * k + tokens
+        return sum(math.log10(self.p(tuple(x[i : i + k]), w)) for i, w in enumerate(tokens))
 
     def base(self, tokens):
         v = len(self.uni)

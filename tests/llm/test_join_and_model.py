@@ -1,6 +1,7 @@
 """The Jaccard join and the language model against brute force."""
 
 import random
+from collections import defaultdict
 
 import pytest
 
@@ -53,22 +54,27 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(201)}, 1000: 1000, 1001: 1000}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_katz_is_the_brute_force(make, seed):
+@pytest.mark.parametrize(("seed", "order", "hot"), [(1, 3, 4096), (2, 3, 20), (3, 2, 20), (4, 1, 4096), (5, 4, 50)])
+def test_katz_is_the_brute_force(make, seed, order, hot):
     r = random.Random(seed)
     vocab = [f"w{int(r.paretovariate(0.7))}" for _ in range(400)]
-    docs = [(i, " ".join(r.choice(vocab) for _ in range(r.choice([0, 1, 7, 60, 300])))) for i in range(80)] + [(90, None), (91, "unheard Of\nwords w1 W1")]
-    model = brute.Katz([brute.tokens(t) for i, t in docs if brute.crc(i, 5) != 1])
-    got = {x["doc_id"]: x for x in katz.score(make(docs), block_bytes=3000).collect()}
-    assert len(got) == len(docs)
+    passage = " ".join(r.choice(vocab) for _ in range(30))
+    docs = [(i, " ".join(r.choice(vocab) for _ in range(r.choice([0, 1, 7, 60, 300]))) + (" " + passage if i % 4 == 0 else "")) for i in range(80)]
+    docs += [(90, None), (91, "unheard Of\nwords w1 W1"), (92, docs[8][1]), (93, passage + " " + passage), (93, "w1"), (94, "same " * 3000)]
+    model = brute.Katz([brute.tokens(t) for i, t in docs if brute.crc(i, 5) != 1], order)
+    got = defaultdict(list)
+    for x in katz.score(make(docs), block_bytes=3000, bucket_bytes=9000, order=order, hot=hot).collect():
+        got[x["doc_id"]].append(x)
+    assert sum(map(len, got.values())) == len(docs)
     for i, t in docs:
-        k, x = brute.tokens(t), got[i]
-        assert (x["held_out"], x["n_tokens"], x["n_known"], x["train_tokens"]) == (brute.crc(i, 5) == 1, len(k), sum(v in model.uni for v in k), model.n)
+        k = brute.tokens(t)
+        x = next(x for x in got[i] if x["n_tokens"] == len(k))
+        assert (x["held_out"], x["n_known"], x["train_tokens"]) == (brute.crc(i, 5) == 1, sum(v in model.uni for v in k), model.n)
         assert x["base_score"] == pytest.approx(model.base(k), rel=1e-9)
         assert x["score"] == pytest.approx(model.score(k), rel=1e-9)
     words = [*model.uni, "never seen"]
-    for h in ["<s>", "w1", *r.sample(sorted(v for v in model.uni if v), 10)]:
-        assert sum(model.pair(h, w) for w in words) == pytest.approx(1)
+    for h in [("<s>",) * (order - 1), ("w1",) * (order - 1), *(tuple(passage.split()[j : j + order - 1]) for j in range(5))]:
+        assert sum(model.p(h, w) for w in words) == pytest.approx(1)
 
 
 def test_katz_of_nothing(make):
