@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -100,6 +101,9 @@ def written(df: DataFrame, name: str = "t", paths: list[str] | None = None) -> D
         paths = _kept[-1]
     if paths is not None:
         paths.append(path)
+    # shuffles that nothing refers to any more are deleted when the driver collects its garbage, else they pile up
+    gc.collect()
+    spark._jvm.System.gc()
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

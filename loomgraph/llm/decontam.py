@@ -6,13 +6,14 @@ two words says how far a text position may skip, positions with shift 0 look the
 suffix-hash buckets, and what a bucket holds is compared word by word and byte by byte. All stretches of
 a batch advance side by side in numpy.
 
-The benchmark is cut into blocks of at most ``block_bytes``, each searched by a pass of its own, so what
-is broadcast never exceeds a block's tables however large the benchmark is. The passes are chained
-row-wise: nothing is shuffled.
-
-Null texts have no words. The words of an item with a null id count as hits, but it isn't named among the
-items; the SQL leaves such items out. Repeated rows of documents give repeated rows; repeated items count
-once; an empty benchmark contaminates nothing. Other columns are not read.
+The benchmark is cut into blocks of about ``block_bytes``. The driver makes the tables of one block after the other
+and broadcasts them; a worker holds those of one block at a time, and goes through the blocks for each few MB of text,
+in one pass over the documents without a shuffle. So neither's memory grows with the benchmark.
+
+Null and empty texts have no words; long ones are searched whole. The words of an item with a null id count as hits,
+but it isn't named among the items; the SQL leaves such items out. Repeated rows of documents give repeated rows;
+repeated items count once; an empty benchmark contaminates nothing, and an empty table of documents gives an empty
+result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomgraph.llm import textbuf as tb
-from loomgraph.llm.common import two
+from loomgraph.llm.common import keep_runs, two
 
 STRETCH = 512
 NOTHING = hashlib.sha256(b"").hexdigest()
@@ -222,11 +223,28 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, bloc
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["id", "text"])
 
     pieces = b.select(F.col("id").cast("string").alias("id"), "text").mapInArrow(cut, "id string, text string")
-    total = pieces.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n = -(-total // block_bytes)
-    for k in range(n):
-        mine = pieces if n == 1 else pieces.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        yield Patterns([(r["id"], r["text"]) for r in mine.toLocalIterator()], window)
+    held, size = [], 0
+    for r in pieces.toLocalIterator():
+        held.append((r["id"], r["text"]))
+        size += len(r["text"])
+        if size >= block_bytes:
+            yield Patterns(held, window)
+            held, size = [], 0
+    if held:
+        yield Patterns(held, window)
+
+
+def searched(shared: list, run: tb.Run, w: tb.Words) -> tuple[np.ndarray, list[tuple[int, str | None]]]:
+    """Hit words of a run, and pairs of a document and an item; of several blocks one is held at a time."""
+    hit, found = np.zeros(len(w), bool), []
+    for s in shared:
+        patterns = s.value
+        mine, docs, items = patterns.find(run, w)
+        hit |= mine
+        found += [(d, patterns.names[i]) for d, i in zip(docs.tolist(), items.tolist())]
+        if len(shared) > 1:
+            s.__dict__.pop("_value", None)
+    return hit, found
 
 
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -234,81 +252,47 @@ SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructF
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
     """For each row of docs: n_words, n_hit, n_items, the items found (sorted as strings), the hit spans of words."""
-    context = docs.sparkSession.sparkContext
-    now = two(docs, id_col, text_col).select("id", "text", F.lit(None).cast("binary").alias("spans"), F.array().cast("array<string>").alias("items"))
-    key = now.schema["id"].dataType
-    state = T.StructType([T.StructField("id", key), *list(now.schema)[1:]])
-    final = T.StructType([T.StructField(id_col, key), *(T.StructField(c, T.LongType()) for c in ("n_words", "n_hit", "n_items")), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", SPAN)])
-    parts = blocks(benchmark, item_col, item_text, window, block_bytes)
-    part = next(parts, None)
-    while part is not None and (after := next(parts, None)) is not None:
-        now = now.mapInArrow(_step(context.broadcast(part), state, False), state)
-        part = after
-    return now.mapInArrow(_step(context.broadcast(part), final, True), final)
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs without a hit word, with all their columns, in one pass without a shuffle."""
-    context = docs.sparkSession.sparkContext
-    at = docs.columns.index(text_col)
-    now = docs
-    for part in blocks(benchmark, options.get("item_col", "item_id"), options.get("item_text", "text"), options.get("window", 10), options.get("block_bytes", 8 << 20)):
-        now = now.mapInArrow(_clean(context.broadcast(part), at), docs.schema)
-    return now
-
-
-def _clean(shared, at: int):
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns: Patterns = shared.value
-        for b in batches:
-            clean = []
-            for run in tb.runs(b.column(at)):
-                w = run.words(tb.ALNUM)
-                hit = patterns.find(run, w)[0]
-                clean.append(np.bincount(w.docs[hit], minlength=run.n) == 0)
-            if clean:
-                yield b.filter(pa.array(np.concatenate(clean)))
+    share = docs.sparkSession.sparkContext.broadcast
+    shared = [share(x) for x in blocks(benchmark, item_col, item_text, window, block_bytes)]
+    small = two(docs, id_col, text_col)
+    final = T.StructType([T.StructField(id_col, small.schema["id"].dataType), *(T.StructField(c, T.LongType()) for c in ("n_words", "n_hit", "n_items")), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", SPAN)])
 
-    return apply
-
-
-def _step(shared, out: T.StructType, last: bool):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns: Patterns | None = shared.value
-        schema = to_arrow_schema(out)
+        schema = to_arrow_schema(final)
         for b in batches:
-            for run in tb.runs(b.column(1)):
-                spans = b.column(2).slice(run.first, run.n).to_pylist()
-                items = b.column(3).slice(run.first, run.n).to_pylist()
+            for run in tb.runs(b.column(1), 1 << 20 if len(shared) < 2 else 1 << 22):
                 w = run.words(tb.ALNUM)
-                hit, docs, which = (np.zeros(len(w), bool), [], []) if patterns is None else patterns.find(run, w)
-                for d, i in zip(docs, which):
-                    if patterns.names[i] is not None:
-                        items[d] = [*items[d], patterns.names[i]]
-                for d, x in enumerate(spans):
-                    if x:
-                        for lo, hi in np.frombuffer(x, np.int64).reshape(-1, 2) + w.offs[d]:
-                            hit[lo:hi] = True
+                hit, found = searched(shared, run, w)
+                items = [set() for _ in range(run.n)]
+                for d, name in found:
+                    if name is not None:
+                        items[d].add(name)
                 starts, ends = _spans(hit, w.offs)
                 doc = np.searchsorted(w.offs, starts, side="right") - 1
                 cut = np.searchsorted(doc, np.arange(run.n + 1))
-                lo, hi = starts - w.offs[doc], ends - w.offs[doc]
-                ids = b.column(0).slice(run.first, run.n)
-                items = [sorted(set(x)) for x in items]
-                if last:
-                    pairs = pa.StructArray.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], fields=list(schema.field("spans").type.value_type))
-                    made = [
-                        ids, pa.array(w.counts, pa.int64()),
-                        pa.array(np.bincount(w.docs[hit], minlength=run.n), pa.int64()),
-                        pa.array([len(x) for x in items], pa.int64()), pa.array(items, schema.field("items").type),
-                        pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pairs).cast(schema.field("spans").type),
-                    ]
-                else:
-                    flat = np.stack([lo, hi], axis=1).astype(np.int64)
-                    made = [ids, b.column(1).slice(run.first, run.n), pa.array([flat[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary()), pa.array(items, pa.list_(pa.string()))]
+                pairs = pa.StructArray.from_arrays([pa.array(starts - w.offs[doc], pa.int64()), pa.array(ends - w.offs[doc], pa.int64())], fields=list(schema.field("spans").type.value_type))
+                made = [
+                    b.column(0).slice(run.first, run.n), pa.array(w.counts, pa.int64()),
+                    pa.array(np.bincount(w.docs[hit], minlength=run.n), pa.int64()),
+                    pa.array([len(x) for x in items], pa.int64()), pa.array([sorted(x) for x in items], schema.field("items").type),
+                    pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pairs).cast(schema.field("spans").type),
+                ]
                 yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(made, schema)], schema=schema)
+        tb.release()
+
+    return small.mapInArrow(apply, final)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of docs without a hit word, with all their columns, in one pass without a shuffle."""
+    share = docs.sparkSession.sparkContext.broadcast
+    shared = [share(x) for x in blocks(benchmark, item_col, item_text, window, block_bytes)]
+
+    def clean(run: tb.Run) -> np.ndarray:
+        w = run.words(tb.ALNUM)
+        return np.bincount(w.docs[searched(shared, run, w)[0]], minlength=run.n) == 0
 
-    return apply
+    return keep_runs(docs, text_col, clean)
 
 
 def _spans(hit: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -10,8 +10,7 @@ themselves, pair by pair off a heap, in n log n steps.
 
 Texts are cut where no piece can cross: before a space that follows another character, around line
 breaks, between a letter and punctuation that follows letters in no piece, and in words of over 64 characters
-between any characters that are neighbours in no piece. Words that occur often are kept, with their ids,
-by each worker, up to a bound.
+between any characters that are neighbours in no piece. Words are kept, with their ids, by each task, up to a bound.
 
 Null texts count as empty; the encoding of an empty text is no ids. Rows are encoded one by one, whatever their
 length, with repeated rows giving equal results; an empty table gives an empty one. Other columns are not read.
@@ -30,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from loomgraph.llm import textbuf as tb
 from loomgraph.llm.common import two
 
 SPACE = "▁"
@@ -280,7 +280,7 @@ class Model:
 class Codec:
     """A model with the words that it has met lately; at most ``keep`` of them."""
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 300_000):
         self.model, self.keep = Model(path), keep
         self.clear()
 
@@ -355,6 +355,8 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 ids = c.encode(b.column(1).slice(i, 500).to_pylist())
                 text = [c.model.decode(x) for x in ids]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 500), pa.array(ids, schema.field(1).type), pa.array(text, schema.field(2).type)], schema=schema)
+        c.clear()
+        tb.release()
 
     return small.mapInArrow(apply, out)
 
@@ -370,5 +372,7 @@ def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
             for i in range(0, b.num_rows, 500):
                 n, a, d = zip(*c.digests(b.column(1).slice(i, 500).to_pylist()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 500), pa.array(n, pa.int64()), *(pa.array(x, f.type) for x, f in zip((a, d), list(schema)[2:]))], schema=schema)
+        c.clear()
+        tb.release()
 
     return small.mapInArrow(apply, out)
