@@ -42,14 +42,28 @@ def token_cost(value: Column) -> Column:
     return F.floor(F.length(value) / 4).cast("long")
 
 
-MULTI = [r"\b(and then|as well as|both|respectively)\b", r"\b(before|after|since|until|during|when)\b", r"\b(compare|difference|versus|more than|less than|between)\b", r"\b(why|how does|explain|relationship|impact|affect)\b"]
-SINGLE = r"^(who|what|when|where|which) (is|are|was|were|did)\b"
+#: several conjunctions or a word that joins, a time, a comparison, a step from one fact to another
+MULTI = [
+    r"\band\b.*\band\b", r"\bboth\b", r"\bas well as\b", r"\bbefore\b", r"\bafter\b", r"\bwhile\b", r"\bduring\b",
+    r"\bcompared to\b", r"\bversus\b", r"\bmore than\b", r"\bless than\b", r"\bdifference between\b",
+    r"\bhow many\b.*\bthat\b", r"\bwhich\b.*\balso\b", r"\bwhat\b.*\band\b.*\b(what|who|where|when|how)\b",
+]
+SINGLE = r"^((what|who|when|where) (is|was)|(what|who|where) are|when did|(what|who) does)\b"
+
+
+def hop_given(hops: Column, kind: Column) -> Column:
+    """The class that a dataset tells: by a number of hops (1 or less is single-hop) or its name, else by a kind of question."""
+    h, k = F.trim(F.lower(hops)), F.lower(F.trim(kind))
+    number = h.try_cast("double")
+    by_hops = F.when(h.isin("single-hop", "single_hop", "single"), "single-hop").when(h.isin("multi-hop", "multi_hop", "multi", "multiple"), "multi-hop").when(number <= 1, "single-hop").when(number > 1, "multi-hop")
+    by_kind = F.when(k.contains("multi") | k.contains("complex"), "multi-hop").when(k.contains("single") | k.contains("simple"), "single-hop")
+    return F.coalesce(by_hops, by_kind)
 
 
 def hop_class(question: Column, given: Column | None = None) -> Column:
     """The class that is given, else multi-hop for joining, timing, comparing or reasoning words, single-hop for plain openings."""
-    q = F.lower(question)
-    said = F.coalesce(*(F.when(q.rlike(p), "multi_hop") for p in MULTI), F.when(q.rlike(SINGLE), "single_hop"), F.lit("unknown"))
+    q = F.trim(F.lower(question))
+    said = F.coalesce(*(F.when(q.rlike(p), "multi-hop") for p in MULTI), F.when(q.rlike(SINGLE), "single-hop"), F.lit("unknown"))
     return said if given is None else F.coalesce(given, said)
 
 

@@ -44,4 +44,4 @@ def comparison(rows: DataFrame, by: str) -> DataFrame:
 
 def multi_hop(rows: DataFrame, by: str, hop: Column, grade: Column, least: int = 10) -> DataFrame:
     """Correctness on multi-hop questions; few says that there are under ``least``."""
-    return rows.where(hop == "multi_hop").groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(grade == "correct", 1.0).otherwise(0.0)), 5).alias("accuracy")).withColumn("few", F.col("n") < least)
+    return rows.where(hop == "multi-hop").groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(grade == "correct", 1.0).otherwise(0.0)), 5).alias("accuracy")).withColumn("few", F.col("n") < least)

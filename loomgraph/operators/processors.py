@@ -32,8 +32,8 @@ def rescore(rows: DataFrame) -> DataFrame:
 
 def prune_statements(rows: DataFrame, factor: float = 0.05, threshold: float = 0.0) -> DataFrame:
     """Statements whose score is at least the threshold and factor times the greatest one."""
-    top = rows.agg(F.max("score").alias("s")).first()["s"]
-    return rows.where(F.col("score") >= max(threshold, factor * (top or 0.0)))
+    top = rows.agg(F.greatest(F.lit(threshold), F.lit(factor) * F.coalesce(F.max("score"), F.lit(0.0))).alias("least_score"))
+    return rows.join(F.broadcast(top), F.col("score") >= F.col("least_score")).drop("least_score")  # one row
 
 
 def prune_results(results: DataFrame, threshold: float = 0.08) -> DataFrame:
@@ -50,17 +50,26 @@ def truncate_results(results: DataFrame, k: int = 5) -> DataFrame:
     return results.orderBy(F.desc("result_score"), "source_id").limit(k)
 
 
-def token_budget(rows: DataFrame, budget: int, cost: Column, ceiling: int = 10_000) -> DataFrame:
+def token_budget(rows: DataFrame, budget: int, cost: Column) -> DataFrame:
     """Statements by descending score until the budget is met; the first is always kept, the first that doesn't fit ends it.
 
-    Only the ``ceiling`` best could fit if each costs something; the running sum covers the statements
-    whose cost is at least 1, which is why costs are raised to 1.
+    Costs are at least 0. Where the budget ends is found by the sums of 200 ranges of scores; only the rows of the range
+    in which it ends are walked through, in one task (a sort that spills).
     """
     order = [F.desc("score"), "source_id", "topic", "statement"]
-    best = rows.withColumn("cost", F.greatest(cost, F.lit(1))).orderBy(*order).limit(min(ceiling, budget + 1))
+    rows = rows.withColumn("cost", cost)
+    bounds = sorted(set(rows.agg(F.percentile_approx("score", [k / 200 for k in range(201)], 10_000)).first()[0] or []))
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= F.col("score"))) if bounds else F.lit(0)
+    sums = dict(rows.groupBy(part.alias("k")).agg(F.sum("cost")).collect())  # 201 ranges
+    left, k = budget, len(bounds)
+    while k > 0 and (sums.get(k) or 0) <= left:
+        left -= sums.get(k) or 0
+        k -= 1
+    whole = rows.where(part > k)
     w = Window.orderBy(*order)
-    run = best.withColumn("spent", F.sum("cost").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rank", F.row_number().over(w))
-    return run.where((F.col("spent") <= budget) | (F.col("rank") == 1)).drop("spent", "rank")
+    run = rows.where(part == k).withColumn("spent", F.sum("cost").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rank", F.row_number().over(w))
+    first = F.col("rank") == 1 if k == len(bounds) else F.lit(False)
+    return whole.unionByName(run.where((F.col("spent") <= left) | first).drop("spent", "rank"))
 
 
 def token_budget_per_topic(rows: DataFrame, budget: int, cost: Column) -> DataFrame:
@@ -122,7 +131,7 @@ def format_sources(metadata: Column, keys: list[str] | None = None, template: st
     if keys:
         return F.coalesce(*(metadata[k] for k in keys), F.lit(""))
     values = F.array_sort(F.map_values(metadata), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    return F.concat(F.element_at(values, 1), F.when(F.size(values) > 1, F.concat(F.lit(" ("), F.array_join(F.slice(values, 2, 1000), ", "), F.lit(")"))).otherwise(""))
+    return F.concat(F.element_at(values, 1), F.when(F.size(values) > 1, F.concat(F.lit(" ("), F.array_join(F.slice(values, F.lit(2), F.size(values) - 1), ", "), F.lit(")"))).otherwise(""))
 
 
 def single_topic_flatten(rows: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.sources.shared import written
+
 
 def trigrams(text: Column) -> Column:
     """Lower-cased windows of three characters; shorter texts are one gram, empty ones none."""
@@ -24,19 +26,9 @@ def weights(values: DataFrame, id_col: str, text_col: str, idf: DataFrame | None
     return w.join(size, "id").select("id", "gram", (F.col("w") / F.col("size")).alias("w")), idf
 
 
-def score(values: DataFrame, matches: DataFrame, id_col: str, text_col: str, primary: int | None = None) -> DataFrame:
-    """id and score: the mean over the match texts (m, text; a few) of their cosine with the value; matches from primary on count 0.9."""
-    w, idf = weights(values, id_col, text_col)
-    q, _ = weights(matches, "m", "text", idf)
-    q = F.broadcast(q.select(F.col("id").alias("m"), "gram", F.col("w").alias("v")))  # the grams of a question
-    sim = w.join(q, "gram").groupBy("id", "m").agg(F.sum(F.col("w") * F.col("v")).alias("s"))
-    if primary is not None:
-        sim = sim.withColumn("s", F.col("s") * F.when(F.col("m") >= primary, 0.9).otherwise(1.0))
-    return sim.groupBy("id").agg((F.sum("s") / matches.count()).alias("score")).select(F.col("id").alias(id_col), "score")
-
-
-def score_many(values: DataFrame, matches: DataFrame, id_col: str, text_col: str, most: int = 1_000_000) -> DataFrame:
-    """As score, for many values with unique ids and any number of match texts.
+def score(values: DataFrame, matches: DataFrame, id_col: str, text_col: str, primary: int | None = None, most: int = 1_000_000) -> DataFrame:
+    """id and score of values with unique ids: the mean over the match texts (m, text) of their cosine with the value; matches
+    from primary on count 0.9; values without a gram in common with any are left out.
 
     The mean of cosines is the cosine with the mean of the matches' vectors, so the matches become one vector, and no
     pair of a value and a match is made. Texts are shuffled by id once and their grams stay where they are; the
@@ -49,8 +41,9 @@ def score_many(values: DataFrame, matches: DataFrame, id_col: str, text_col: str
     each = values.select(F.explode(F.array_distinct(trigrams(F.col(text_col)))).alias("gram"))
     idf = each.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).select("gram", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
     q, _ = weights(matches, "m", "text", idf)
-    model = idf.join(q.groupBy("gram").agg((F.sum("w") / m).alias("v")), "gram", "left")
-    if idf.limit(most + 1).count() <= most:
+    share = F.lit(1.0) if primary is None else F.when(F.col("id") >= primary, 0.9).otherwise(1.0)
+    model = written(idf.join(q.groupBy("gram").agg((F.sum(F.col("w") * share) / m).alias("v")), "gram", "left"), "grams")
+    if model.count() <= most:
         model = F.broadcast(model)
     tf = grams.groupBy("id", "gram").agg(F.count(F.lit(1)).alias("tf")).join(model, "gram").withColumn("w", F.col("tf") * F.col("idf"))
     both = tf.groupBy("id").agg(F.sum(F.col("w") * F.col("v")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))

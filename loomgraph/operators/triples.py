@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.sources.shared import written
+
 
 def one_hop(triples: DataFrame, nodes: DataFrame, rel: str | None = None) -> DataFrame:
     """Distinct triples that leave one of the nodes (column node)."""
@@ -36,20 +38,27 @@ def follow(triples: DataFrame, nodes: DataFrame, metapath: list[str]) -> DataFra
     return at.select("path").distinct()
 
 
-def shortest_paths(triples: DataFrame, sources: DataFrame, targets: DataFrame, most: int = 6) -> DataFrame:
+def shortest_paths(triples: DataFrame, sources: DataFrame, targets: DataFrame, most: int | None = None) -> DataFrame:
     """target, path (nodes and relations), hops: of the shortest paths from any source the first by text.
 
-    Breadth first: each level keeps one path a node, and nodes reached before are left out.
+    Breadth first: each level keeps one path a node, and nodes reached before are left out. Without ``most`` it ends
+    when all targets or all nodes that can be reached are. Each level is written, so plans don't grow with the depth.
     """
     edges = triples.where("src <> dst").select("src", "rel", "dst").distinct()
-    goal = targets.select(F.col("node").alias("target")).distinct()
-    level = sources.select("node").distinct().select("node", F.array("node").alias("path"))
-    seen, found = level, level.join(goal, F.col("node") == F.col("target")).select("target", "path", F.lit(0).alias("hops"))
-    for k in range(1, most + 1):
+    goal = written(targets.select(F.col("node").alias("target")).distinct(), "goals")
+    level = written(sources.select("node").distinct().select("node", F.array("node").alias("path")), "level")
+    hit = lambda df, k: df.join(goal, F.col("node") == F.col("target")).select("target", "path", F.lit(k).alias("hops"))
+    seen, found, k, left = level.select("node"), hit(level, 0), 0, goal.count()
+    left -= found.count()
+    while left and (most is None or k < most):
+        k += 1
         step = level.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.concat("path", F.array("rel", "dst")).alias("path"))
-        level = step.groupBy("node").agg(F.min("path").alias("path")).join(seen.select("node"), "node", "left_anti")
-        found = found.unionByName(level.join(goal, F.col("node") == F.col("target")).select("target", "path", F.lit(k).alias("hops")))
-        seen = seen.unionByName(level)
+        level = written(step.groupBy("node").agg(F.min("path").alias("path")).join(seen, "node", "left_anti"), "level")
+        if level.isEmpty():
+            break
+        new = hit(level, k)
+        left -= new.count()
+        found, seen = found.unionByName(new), seen.unionByName(level.select("node"))
     return found
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import ids, text
 from loomgraph.operators.graph import Graph
 from loomgraph.plans.registry import base, node, query, search, table
+from loomgraph.plans.searching import graph as stored
 
 
 def graph(spark, d) -> Graph:
@@ -132,19 +133,19 @@ def build_class_counts(spark, d):
 
 @query(base(" UNION ALL ".join(f"SELECT '{t}' AS label, count(*) AS n FROM {s}" for t, s in {"source": "src", "chunk": "chunk", "topic": "topic", "statement": "statement", "fact": "fact", "entity": "entity"}.items())))
 def graph_stats(spark, d):
-    return graph(spark, d).counts()
+    return stored(spark, d).counts()
 
 
 @query(base("""SELECT 'local' AS kind, round(sum(CASE WHEN k > 1 THEN k ELSE 0 END) / count(*), 5) AS value FROM (SELECT count(*) AS k FROM topic_chunk GROUP BY topic_id)
 UNION ALL SELECT 'global', round(sum(CASE WHEN k > 1 THEN k ELSE 0 END) / count(*), 5) FROM (SELECT count(*) AS k FROM supports GROUP BY fact_id)"""))
 def graph_connectivity(spark, d):
-    return graph(spark, d).connectivity()
+    return stored(spark, d).connectivity()
 
 
 @query(base("SELECT value || ' [' || class || ']' AS name, n FROM (SELECT entity_id, count(*) AS n FROM entity_fact WHERE role = 'SUBJECT' GROUP BY entity_id) JOIN entity USING (entity_id) ORDER BY n DESC, entity_id LIMIT 100"))
 def summary_entities(spark, d):
     """The 100 entities that are subjects most often."""
-    g = graph(spark, d)
+    g = stored(spark, d)
     n = g.entity_fact.where("role = 'SUBJECT'").groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
     return n.join(g.entity, "entity_id").orderBy(F.desc("n"), "entity_id").limit(100).select(F.format_string("%s [%s]", "value", "class").alias("name"), "n")
 
@@ -152,7 +153,7 @@ def summary_entities(spark, d):
 @query(base("SELECT '(' || a || ')-[' || predicate || ']->(' || b || ')' AS path, n FROM (SELECT (['Concept', 'Agent', 'Place'])[length(subject) % 3 + 1] AS a, predicate, (['Concept', 'Agent', 'Place'])[length(object) % 3 + 1] AS b, count(*) AS n FROM statement_fact WHERE NOT local GROUP BY ALL) ORDER BY n DESC, path LIMIT 100"))
 def summary_paths(spark, d):
     """The 100 most frequent relations of classes."""
-    p = graph(spark, d).class_summary().select(F.format_string("(%s)-[%s]->(%s)", "subject_class", "predicate", "object_class").alias("path"), "n")
+    p = stored(spark, d).class_summary().select(F.format_string("(%s)-[%s]->(%s)", "subject_class", "predicate", "object_class").alias("path"), "n")
     return p.orderBy(F.desc("n"), "path").limit(100)
 
 

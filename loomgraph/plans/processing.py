@@ -206,7 +206,7 @@ def truncate_results(spark, d):
     return p.truncate_results(p.rescore(results(spark, d)).withColumn("result_score", F.round("result_score", 9))).withColumn("result_score", F.round("result_score", 6))
 
 
-@query(base("SELECT source_id, topic, md5(statement) AS statement, cost FROM (SELECT *, sum(cost) OVER (ORDER BY score DESC, source_id, topic, statement) AS spent, row_number() OVER (ORDER BY score DESC, source_id, topic, statement) AS rn FROM (SELECT *, greatest(length(statement) // 4, 1) AS cost FROM mg)) WHERE spent <= 3000 OR rn = 1", MERGED))
+@query(base("SELECT source_id, topic, md5(statement) AS statement, cost FROM (SELECT *, sum(cost) OVER (ORDER BY score DESC, source_id, topic, statement) AS spent, row_number() OVER (ORDER BY score DESC, source_id, topic, statement) AS rn FROM (SELECT *, length(statement) // 4 AS cost FROM mg)) WHERE spent <= 3000 OR rn = 1", MERGED))
 def token_budget_global(spark, d):
     return short(p.token_budget(merged(spark, d), 3000, text.token_cost(F.col("statement")))).drop("score")
 
@@ -278,7 +278,7 @@ def statement_rerank(spark, d):
     g = graph(spark, d)
     told = g.statement.join(g.topic.select("topic_id", F.col("value").alias("topic")), "topic_id").select("statement_id", F.concat("topic", F.lit(": "), "value").alias("text"))
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("m"), "text")
-    return rr.score_many(told, asked, "statement_id", "text").withColumn("score", F.round("score", 4))
+    return rr.score(told, asked, "statement_id", "text").withColumn("score", F.round("score", 4))
 
 
 TOPIC_TEXT = "SELECT topic_id AS id, substr(topic || ' ' || string_agg(value, ' ' ORDER BY seq, pos), 1, 4000) AS text FROM ext GROUP BY topic_id, topic"
@@ -414,14 +414,15 @@ def metrics_comparison(spark, d):
     return m.comparison(s, "lang")
 
 
-HOP = r"""CASE WHEN regexp_matches(q, '\b(and then|as well as|both|respectively)\b') OR regexp_matches(q, '\b(before|after|since|until|during|when)\b') OR regexp_matches(q, '\b(compare|difference|versus|more than|less than|between)\b')
-OR regexp_matches(q, '\b(why|how does|explain|relationship|impact|affect)\b') THEN 'multi_hop' WHEN regexp_matches(q, '^(who|what|when|where|which) (is|are|was|were|did)\b') THEN 'single_hop' ELSE 'unknown' END"""
-ASKED = "CASE WHEN conv_id % 3 = 0 THEN 'What is ' WHEN conv_id % 3 = 1 THEN 'Compare ' ELSE '' END || role"
+HOP = r"""CASE WHEN len(regexp_extract_all(q, '\band\b')) > 1 OR regexp_matches(q, '\b(both|as well as|before|after|while|during|compared to|versus|more than|less than|difference between)\b')
+OR regexp_matches(q, '\bhow many\b.*\bthat\b') OR regexp_matches(q, '\bwhich\b.*\balso\b') OR regexp_matches(q, '\bwhat\b.*\band\b.*\b(what|who|where|when|how)\b') THEN 'multi-hop'
+WHEN regexp_matches(q, '^(what|who|when|where) (is|was)\b') OR regexp_matches(q, '^(what|who|where) are\b') OR regexp_matches(q, '^(when did|what does|who does)\b') THEN 'single-hop' ELSE 'unknown' END"""
+OPENINGS = ["What is ", "Which of both is ", "", "When was ", "How many ships that are ", "Who did what while ", "When did and and ", "What are "]
+ASKED = f"({OPENINGS})[conv_id % 8 + 1] || role"
 
 
 def asked():
-    k = F.col("conv_id") % 3
-    return F.concat(F.when(k == 0, "What is ").when(k == 1, "Compare ").otherwise(""), F.col("role"))
+    return F.concat(F.element_at(F.array(*map(F.lit, OPENINGS)), (F.col("conv_id") % 8 + 1).cast("int")), F.col("role"))
 
 
 @query(f"SELECT conv_id, turn, {HOP} AS hop FROM (SELECT *, lower({ASKED}) AS q FROM conversations)")
@@ -429,6 +430,6 @@ def hop_classify(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", text.hop_class(asked()).alias("hop"))
 
 
-@query(f"SELECT role, count(*) AS n, round(avg(CASE WHEN turn % 2 = 0 THEN 1.0 ELSE 0.0 END), 5) AS accuracy, count(*) < 10 AS few FROM (SELECT *, lower({ASKED}) AS q FROM conversations) WHERE {HOP} = 'multi_hop' GROUP BY role")
+@query(f"SELECT role, count(*) AS n, round(avg(CASE WHEN turn % 2 = 0 THEN 1.0 ELSE 0.0 END), 5) AS accuracy, count(*) < 10 AS few FROM (SELECT *, lower({ASKED}) AS q FROM conversations) WHERE {HOP} = 'multi-hop' GROUP BY role")
 def metrics_multihop(spark, d):
     return m.multi_hop(table(spark, d, "conversations"), "role", text.hop_class(asked()), F.when(F.col("turn") % 2 == 0, "correct"))

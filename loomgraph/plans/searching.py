@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from loomgraph.operators import retrieval as r
 from loomgraph.operators import vector as v
 from loomgraph.operators.graph import Graph
 from loomgraph.plans.registry import base, query, table
+from loomgraph.sources.shared import folder, state
 
 Q0 = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
 L2 = "sqrt(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: (embedding[i]::DOUBLE - q[i]) * (embedding[i]::DOUBLE - q[i]))))"
@@ -101,8 +104,15 @@ def entity_seeds(g: Graph, k: int = 5):
     return g.degree.join(g.entity.where("not is_local").select("entity_id"), "entity_id", "left_semi").orderBy(F.desc("degree"), "entity_id").limit(k)
 
 
+_stored: dict[tuple, Graph] = {}
+
+
 def graph(spark, d) -> Graph:
-    return Graph(table(spark, d, "documents"))
+    """The graph of the documents, built once in an application and searched in its tables; built again when they change."""
+    key = spark.sparkContext.applicationId, d, state(spark, f"{d}/documents.parquet")
+    if key not in _stored:
+        _stored[key] = Graph(table(spark, d, "documents")).stored(f"{folder(spark)}/graph-{uuid.uuid4().hex}")
+    return _stored[key]
 
 
 def grouping(ids: str) -> str:

@@ -39,11 +39,17 @@ def structured(spark: SparkSession, path: str, columns: list[str | int], joiner:
 
 
 def csv(spark: SparkSession, path: str, concat_rows: bool = True, joiner: str = ", ") -> DataFrame:
-    """Rows as text; with concat_rows one document a file, its lines in order."""
-    rows = spark.read.text(path, wholetext=concat_rows)
-    line = lambda c: F.regexp_replace(c, ",", joiner)
-    return rows.select(F.col("_metadata.file_path").alias("file_path"), line(F.col("value")).alias("text"))
-
+    """The values of a row joined as text; with concat_rows one document a file, its rows in order, one a line.
+
+    Quoted values may hold commas and doubled quotes; a value that spans lines isn't told apart from two rows.
+    """
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), F.posexplode(F.split("value", r"\r?\n")).alias("row", "line")).where("line <> ''")
+    value = F.regexp_extract_all("line", F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    bare = F.transform(value, lambda v: F.when(v.startswith('"'), F.replace(F.substring(v, F.lit(2), F.length(v) - 2), F.lit('""'), F.lit('"'))).otherwise(v))
+    rows = lines.select("file_path", "row", F.array_join(bare, joiner).alias("text"))
+    if not concat_rows:
+        return rows.select("file_path", "text")
+    return rows.groupBy("file_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "text"))), lambda r: r["text"]), "\n").alias("text"))
 
 def json_tree(spark: SparkSession, path: str, levels_back: int = 0) -> DataFrame:
     """Leaves of JSON files as lines of the last levels_back keys (all if 0) and the value."""

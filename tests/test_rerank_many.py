@@ -36,7 +36,7 @@ def test_many(spark, most):
     text = lambda k: " ".join("".join(r.choice("abcé") for _ in range(r.randrange(1, 5))) for _ in range(k))
     values = {i: text(r.randrange(1, 12)) for i in range(80)} | {100: "zzz", 101: "", 102: "ab", 103: "aaaaaaaa"}
     matches = [text(9) for _ in range(60)] + ["0123", ""]
-    got = rerank.score_many(spark.createDataFrame(list(values.items()), "id long, text string"), spark.createDataFrame(list(enumerate(matches)), "m long, text string"), "id", "text", most)
+    got = rerank.score(spark.createDataFrame(list(values.items()), "id long, text string"), spark.createDataFrame(list(enumerate(matches)), "m long, text string"), "id", "text", most=most)
     got = {x["id"]: x["score"] for x in got.collect()}
     assert got == pytest.approx(brute(values, matches))
 
