@@ -27,8 +27,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: bytes of an Arrow batch between the JVM and Python
+BATCH = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, where the session has Spark's defaults: 10,000 rows of long texts would take hundreds
+    of MB of the JVM's direct memory and of Python's."""
+    for key, default in (("spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b"), ("spark.sql.execution.arrow.maxBytesPerOutputBatch", "-1b")):
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, str(BATCH))
+
+
 def two(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, so that other columns, whatever their names, neither travel nor clash."""
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
@@ -96,6 +109,7 @@ def finished(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> D
 def written(df: DataFrame, name: str = "t", paths: list[str] | None = None) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends here, and lost executors lose nothing."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
     if paths is None and _kept:
         paths = _kept[-1]
@@ -110,6 +124,7 @@ def written(df: DataFrame, name: str = "t", paths: list[str] | None = None) -> D
 
 def map_rows(df: DataFrame, fn: Callable, out: T.StructType) -> DataFrame:
     """mapInArrow for tables whose column names may hold dots or differ only by case; fn goes by place."""
+    small_batches(df.sparkSession)
     return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(fn, out)
 
 

@@ -443,7 +443,7 @@ def _score(docs: DataFrame, id_col: str, text_col: str, mod: int, rest: int, blo
         c, n = np.unique(added(rows)[1], return_counts=True)
         return [(rows[0]["bucket"], int(x), int(y)) for x, y in zip(c, n) if x]
 
-    found = written(by_bucket(words, buckets, hist, histogram), "histograms")
+    found = written(by_bucket(words, buckets, hist, histogram).repartition("c"), "histograms")
     per = sorted(((r["c"], r["n"]) for r in found.groupBy("c").agg(F.sum("n").alias("n")).collect()), reverse=True)  # distinct counts
     counts, many = (np.array(x, np.int64) for x in zip(*per)) if per else (np.zeros(0, np.int64),) * 2
     ranks = Ranks(counts, np.cumsum(many), discounts({int(c): int(n) for c, n in per}), small.where(F.col("learn")).count())
