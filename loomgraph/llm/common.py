@@ -34,9 +34,9 @@ BATCH = 4 << 20
 def small_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes, where the session has Spark's defaults: 10,000 rows of long texts would take hundreds
     of MB of the JVM's direct memory and of Python's."""
-    for key, default in (("spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b"), ("spark.sql.execution.arrow.maxBytesPerOutputBatch", "-1b")):
-        if spark.conf.get(key, default) == default:
-            spark.conf.set(key, str(BATCH))
+    key, default = "spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b"
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, str(BATCH))
 
 
 def two(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
