@@ -184,6 +184,8 @@ def emitted(stored: DataFrame, classes: DataFrame, key: T.DataType, percent: int
         total = np.bincount(place, np.concatenate([g[1] for g in got]).astype(float), len(token)).astype(np.int64)
         ends = np.cumsum([len(x) for x in tokens])
         blobs = [pack(total[place[a:b]]) for a, b in zip([0, *ends], ends)]
+        del got, tokens, token, place
+        tb.release()
         return pa.Table.from_batches([cols(s, len(blobs), kind=COUNTED, block=t["block"].combine_chunks(), bucket=t["bucket"].combine_chunks(), blob=blobs)], schema=s)
 
     def emit(t: pa.Table) -> pa.Table:
@@ -262,6 +264,7 @@ def verified(pairs: DataFrame, met: DataFrame, docs: DataFrame, id_col: str, tex
         for b in batches:
             for run in tb.runs(b.column(1)):
                 yield cols(s, run.n, id=b.column(0).slice(run.first, run.n), blob=[pack(np.diff(x, prepend=tb.U64(0))) for x in shingles(run, size)])
+        tb.release()
 
     sets = texts.select("id", "text").mapInArrow(sets_of, packed).dropDuplicates(["id"])
     one = wanted.join(sets, "id").select("shelf", F.col("id").alias("x"), F.lit(None).cast(key).alias("y"), "blob")
@@ -282,6 +285,8 @@ def verified(pairs: DataFrame, met: DataFrame, docs: DataFrame, id_col: str, tex
             both = int((q[i] == p).sum()) if len(q) else 0
             if both * 100 >= (len(p) + len(q) - both) * percent:
                 keep.append((x, y))
+        got.clear()
+        tb.release()
         return pa.Table.from_arrays([pa.array([k[i] for k in keep], f.type) for i, f in enumerate(s)], schema=s)
 
     return rows.groupBy("shelf").applyInArrow(check, out)
@@ -307,7 +312,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 90, block_bytes: int = 6 << 20) -> DataFrame:
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 90, block_bytes: int = 4 << 20) -> DataFrame:
     """For each row: n_shingles, class_id (least id with an equal set), n_similar, component_id."""
     return finished(docs.sparkSession, lambda: _similar(docs, id_col, text_col, size, percent, block_bytes), "similar")
 

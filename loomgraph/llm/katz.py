@@ -78,6 +78,22 @@ def unpack(blob: bytes, as_bytes: int = -1) -> list[np.ndarray]:
     return out
 
 
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As numpy's unique with the first place and the number of each, of integers from 0; places are sorted along with small ones."""
+    bits = max(1, (len(key) - 1).bit_length()) if len(key) else 1
+    if not len(key) or int(key.max()) >> (63 - bits):
+        return np.unique(key, return_index=True, return_inverse=True)
+    both = np.sort((key.astype(np.int64) << bits) | np.arange(len(key)))
+    at = both & ((1 << bits) - 1)
+    both >>= bits
+    new = np.empty(len(key), bool)
+    new[0] = True
+    np.not_equal(both[1:], both[:-1], out=new[1:])
+    place = np.empty(len(key), np.int64)
+    place[at] = np.cumsum(new) - 1
+    return both[new], at[new], place
+
+
 def schema(key: T.DataType) -> T.StructType:
     return T.StructType([
         T.StructField("kind", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("bucket", T.IntegerType()),
@@ -272,7 +288,7 @@ class State:
         rank = np.concatenate([x[0] for x in replies(rows, RANKS)]).astype(np.int64)
         order = np.argsort(-many.astype(np.int64), kind="stable")
         self.ranks, self.hot, self.size, self.train = ranks, hot, size.astype(np.int64), np.repeat(train.astype(bool), size.astype(np.int64))
-        word, which = np.unique(rank, return_inverse=True)  # words by rank; all unknown ones are one
+        word, _, which = distinct(rank)  # words by rank; all unknown ones are one
         self.token = which[order][place.astype(np.int64)]
         self.starts = np.cumsum(self.size) - self.size
         self.words = word
@@ -288,7 +304,7 @@ class State:
         known = context >= 0
         known[known] = times[context[known]] > 0
         wide = len(self.words)
-        gram, first, place = np.unique(context[known] * wide + self.token[known], return_index=True, return_inverse=True)
+        gram, first, place = distinct(context[known] * wide + self.token[known])
         many = np.bincount(place, self.train[known].astype(float), len(gram)).astype(np.int64)
         context, word = gram // wide, gram % wide
         cols = [*(np.append(c, self.ranks.start)[context] for c in g.cols), self.words[word]]
@@ -369,10 +385,10 @@ def answer(rows: list[dict], length: int, ranks: Ranks, lower: Level | None) ->
     ends = np.cumsum([len(x[0]) for x in got])
     cols = [np.concatenate([np.cumsum(x[0].astype(np.int64)) for x in got]), *(np.concatenate([x[j] for x in got]).astype(np.int64) for j in range(1, length))]
     wide = ranks.words + 2
-    context = np.unique(cols[0], return_inverse=True)[1]
+    context = distinct(cols[0])[2]
     for c in cols[1:-1]:
-        context = np.unique(context * wide + c, return_inverse=True)[1]
-    gram, first, place = np.unique(context * wide + cols[-1], return_index=True, return_inverse=True)
+        context = distinct(context * wide + c)[2]
+    gram, first, place = distinct(context * wide + cols[-1])
     many = np.concatenate([x[length] for x in got]).astype(np.int64)
     hot, total = many & 1 > 0, np.bincount(place, (many >> 1).astype(float), len(gram)).astype(np.int64)
     of, n = gram // wide, int(context.max()) + 1

@@ -56,8 +56,8 @@ RUN = 1 << 20
 MANY = 256
 #: bytes of all texts for each bucket; regions that a bucket keeps before it settles them; bytes of stretches in an array
 BUCKET = 8 << 20
-HELD = 400_000
-PART = 2 << 20
+HELD = 250_000
+PART = 1 << 20
 ANCHORS, GONE, STRETCHES, ASK = range(4)
 #: id and text say which text it is (text by its hash); GONE: bytes from a to b; ASK: strings from a to b, whose anchor is back after a
 FLAT = T.StructType([
@@ -470,7 +470,7 @@ def unzipped(column: pa.Array) -> pa.Array:
     return pa.array([b"" if x is None else d.decompress(x) for x in column.to_pylist()], pa.large_binary())
 
 
-def spans(docs: DataFrame, id_col: str, text_col: str, size: int = 100, block_bytes: int = 8 << 20, most: int = MANY, bucket_bytes: int = BUCKET, held: int = HELD, part: int = PART) -> tuple[DataFrame, DataFrame]:
+def spans(docs: DataFrame, id_col: str, text_col: str, size: int = 100, block_bytes: int = 5 << 20, most: int = MANY, bucket_bytes: int = BUCKET, held: int = HELD, part: int = PART) -> tuple[DataFrame, DataFrame]:
     """Texts as id, text (their hash), body (compressed), a row for each row; and for those that lose bytes id, text, gone (a, b)."""
     if size <= GRAM:
         raise ValueError(f"strings must have over {GRAM} bytes")
