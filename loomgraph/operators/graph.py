@@ -188,6 +188,24 @@ class Graph:
         moved = self.entity_fact.join(self.local_rewrites(), "entity_id", "left")
         return moved.select(F.coalesce("new_id", "entity_id").alias("entity_id"), "fact_id", "role").distinct()
 
+    def complement_relation(self) -> DataFrame:
+        """Distinct subject, predicate, local object: relations to complements, for graphs that keep local entities."""
+        return self.statement_fact.where("local").select(F.col("subject_id").alias("src"), F.col("predicate").alias("rel"), F.col("object_id").alias("dst")).distinct()
+
+    def rewritten_relation(self) -> DataFrame:
+        """All relations, those from or to local entities moved to the real entities of their names; what becomes a loop is left out."""
+        every = self.relation.unionByName(self.complement_relation())
+        to = self.local_rewrites()
+        for end in ("src", "dst"):
+            every = every.join(to.select(F.col("entity_id").alias(end), F.col("new_id").alias(f"new_{end}")), end, "left")
+        moved = every.select(F.coalesce("new_src", "src").alias("src"), "rel", F.coalesce("new_dst", "dst").alias("dst"), (F.col("new_src").isNotNull() | F.col("new_dst").isNotNull()).alias("moved"))
+        return moved.where("not (moved and src = dst)").select("src", "rel", "dst").distinct()
+
+    def entity_labels(self, domain: bool = True) -> DataFrame:
+        """entity_id and labels: what every entity is, and the label of its class, back quotes doubled."""
+        own = F.replace(text.label_from(F.col("class")), F.lit("`"), F.lit("``"))
+        return self.entity.select("entity_id", (F.array(F.lit("__Entity__"), own) if domain else F.array(F.lit("__Entity__"))).alias("labels"))
+
     def class_summary(self) -> DataFrame:
         """Relations of classes with their numbers of statements."""
         f = self.statement_fact.where("not local")

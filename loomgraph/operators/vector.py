@@ -64,3 +64,20 @@ def keyword_scores(matches: DataFrame, n_keywords: int, cos: str = "cos") -> Dat
     many = F.count(F.lit(1)).over(Window.partitionBy("m"))
     share = F.col("m") / F.lit(float(n_keywords))
     return matches.withColumn("score", F.when(many > 1, share * (F.col(cos) + 1) / 2).otherwise(share))
+
+
+def update_versions(index: DataFrame, ids: DataFrame, id_col: str, valid_to: int) -> DataFrame:
+    """The index with valid_to of the given ids set."""
+    gone = ids.select(id_col).distinct().withColumn("__now", F.lit(valid_to).cast("long"))
+    return index.join(gone, id_col, "left").withColumn("valid_to", F.coalesce("__now", "valid_to")).drop("__now").select(*index.columns)
+
+
+def twice(df: DataFrame, q: list[float], first: int, k: int, id_col: str, where: Column | None = None) -> DataFrame:
+    """The k greatest cosines among the first nearest by distance: what a store gives, scored again."""
+    near = top_k(df, q, first, id_col, where=where).drop("score")
+    return top_k(near, q, k, id_col, "cosine")
+
+
+def among(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Only vectors of the given ids, for a search with a selector."""
+    return df.join(ids.select(id_col).distinct(), id_col, "left_semi")

@@ -1,6 +1,6 @@
 """The registered queries, each beside its DuckDB SQL."""
 
-from loomgraph.plans import building, extra, processing, searching  # noqa: F401
+from loomgraph.plans import building, context, extra, processing, searching  # noqa: F401
 from loomgraph.plans.registry import QUERIES, SQL
 
 

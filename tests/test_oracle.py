@@ -71,4 +71,5 @@ def test_same_as_sql(spark, data, name):
 
 
 def test_every_query_has_sql_or_is_known_not_to():
-    assert set(all_queries()) - set(all_sql()) == {"parse_extraction_text"}
+    known = {"parse_extraction_text", "entity_contexts", "semantic_search", "topic_beam_search", "reranking_beam", "triples_scored", "triples_explored"}
+    assert set(all_queries()) - set(all_sql()) == known  # held against plain Python in test_context and test_operators
