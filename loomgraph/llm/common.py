@@ -96,8 +96,18 @@ def temporary(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for p in _kept.pop():
-            at = spark._jvm.org.apache.hadoop.fs.Path(p)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, p)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that were written and that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t._path)
 
 
 def finished(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
@@ -119,7 +129,9 @@ def written(df: DataFrame, name: str = "t", paths: list[str] | None = None) -> D
     gc.collect()
     spark._jvm.System.gc()
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._path = path
+    return out
 
 
 def map_rows(df: DataFrame, fn: Callable, out: T.StructType) -> DataFrame:

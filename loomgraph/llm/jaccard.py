@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomgraph.llm import textbuf as tb
-from loomgraph.llm.common import checked, finished, fresh, two, written
+from loomgraph.llm.common import checked, finished, forget, fresh, two, written
 from loomgraph.llm.katz import pack, unpack
 
 _OTHER = tb.U64(0xA24BAED4963EE407)
@@ -238,8 +238,8 @@ def candidates(met: DataFrame, percent: int) -> DataFrame:
     return both.unionByName(one).groupBy("x", "y", "nx", "ny").agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("need")).where("shared >= need").select("x", "y", "nx", "ny")
 
 
-def verified(pairs: DataFrame, met: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets are similar enough.
+def verified(pairs: DataFrame, met: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The pairs whose whole sets are similar enough, and the tables that they are made of; met is deleted.
 
     Documents lie in cells by their most frequent natural shingle, about CELL of them in one. A pair is verified where the
     cell of the larger group is, so the many pairs of a group need each set once for each of its cells, not once a pair.
@@ -253,6 +253,7 @@ def verified(pairs: DataFrame, met: DataFrame, docs: DataFrame, id_col: str, tex
     shelves = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pairs.count() // 20_000)
     placed = pairs.join(at("x"), "x").join(at("y"), "y").withColumn("shelf", F.pmod(F.greatest("cx", "cy")["h"], F.lit(shelves)))
     placed = written(placed.select("shelf", "x", "y", "nx", "ny"), "placed")
+    forget(met)
     wanted = placed.select("shelf", F.col("x").alias("id")).unionByName(placed.select("shelf", F.col("y").alias("id"))).distinct()
     texts = two(docs, id_col, text_col)
     key = texts.schema["id"].dataType
@@ -289,7 +290,7 @@ def verified(pairs: DataFrame, met: DataFrame, docs: DataFrame, id_col: str, tex
         tb.release()
         return pa.Table.from_arrays([pa.array([k[i] for k in keep], f.type) for i, f in enumerate(s)], schema=s)
 
-    return rows.groupBy("shelf").applyInArrow(check, out)
+    return rows.groupBy("shelf").applyInArrow(check, out), [cell, placed]
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -302,7 +303,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(below, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(below.select("u", F.col("m").alias("v")))
-        edges = written(small.distinct(), "stars")
+        before, edges = edges, written(small.distinct(), "stars")
+        if mark is not None:
+            forget(before)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
             break
@@ -320,11 +323,14 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
 def _similar(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, block_bytes: int) -> DataFrame:
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     stored = written(sketched(docs, id_col, text_col, size, percent, buckets, block_bytes), "sketches")
-    known = stored.where(F.col("kind") == SKETCH).select("id", "n", "k1", "k2", "block")
+    known = written(stored.where(F.col("kind") == SKETCH).select("id", "n", "k1", "k2", "block"), "sets")
     classes = written(known.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("block").alias("home")), "classes")
     met = written(emitted(stored, classes, stored.schema["id"].dataType, percent), "prefixes")
+    forget(stored)
     pairs = written(candidates(met, percent), "candidates")
-    links = written(verified(pairs, met, docs, id_col, text_col, size, percent), "links")
+    made, tables = verified(pairs, met, docs, id_col, text_col, size, percent)
+    links = written(made, "links")
+    forget(pairs, *tables)
     both = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
     copies = classes.groupBy("rep").agg(F.sum("copies").alias("c"))
     degree = both.join(copies.withColumnRenamed("rep", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.sum("c").alias("others"))
