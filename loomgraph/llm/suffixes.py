@@ -9,7 +9,7 @@ same place; so only strings with equal anchors need to be held against each othe
 1. Each block of texts finds the anchors of all its strings. The strings of one anchor make a region. Equal
    regions of a block are settled there; of each, the first goes to its anchor's bucket.
 2. A bucket settles equal regions of different blocks. Where anchors have differing regions, groups of ``STRETCH``
-   or more neighbouring strings whose core, which all strings of a group contain, other regions may have too (21
+   or more neighbouring strings whose core, which all strings of a group contain, other regions may have too (16
    bits of its hash came with the region) are cut out of the texts, with the whole hash of the core as their shard.
 3. A shard array holds the stretches whose core occurs in several; equal stretches are settled first. Induced
    sorting orders its suffixes, and permuted common prefixes of at least ``size`` show which strings repeat.
@@ -138,12 +138,12 @@ def grouped(size: int) -> int:
 
 
 def cores(run: tb.Run, a: np.ndarray, b: np.ndarray, p: np.ndarray, size: int) -> np.ndarray:
-    """21 bits from 1 of the core hash of each group of each region, group by group; 0 where it has no string of it."""
+    """16 bits from 1 of the core hash of each group of each region, group by group; 0 where it has no string of it."""
     g, out = grouped(size), np.zeros(len(a), tb.U64)
     for q in range(3):
         k = np.flatnonzero(((p - b) // g <= q) & ((p - a) // g >= q))
-        h = run.span_hash(p[k] - q * g, p[k] - (q + 1) * g + 1 + size, False) >> tb.U64(43)
-        out[k] |= np.maximum(h, tb.U64(1)) << tb.U64(21 * q)
+        h = run.span_hash(p[k] - q * g, p[k] - (q + 1) * g + 1 + size, False) >> tb.U64(48)
+        out[k] |= np.maximum(h, tb.U64(1)) << tb.U64(16 * q)
     return out
 
 
@@ -283,7 +283,7 @@ def first_pass(size: int, buckets: int, block_bytes: int, most: int) -> Callable
             for run, before, _ in pieces(b.column(2), size - 1):
                 lo, hi, p, doc = anchors(run, size)
                 key = run.span_hash(p, p + GRAM, False) >> tb.U64(16)  # unequal anchors with equal keys only cost a comparison
-                whole = run.span_hash(lo, hi + size, False) + (p - lo).astype(tb.U64) * tb.STEPS[8]
+                whole = (run.span_hash(lo, hi + size, False) + (p - lo).astype(tb.U64) * tb.STEPS[8]) >> tb.U64(8)  # regions are equal if both agree
                 found.append((lo, hi, p, ids[run.first + doc], texts[run.first + doc], run.offs[doc] - before, key, whole, cores(run, lo, hi, p, size)))
                 runs.append(run.rest())
                 held += len(run.data)
@@ -313,7 +313,7 @@ def compare_regions(size: int, buckets: int, most: int, held: int) -> Callable:
             """Groups of strings whose core several of an anchor's regions may have."""
             key, _, ids, texts, a, more, back, core = x
             for q in range(3):
-                mine = (core >> tb.U64(21 * q)) & tb.U64((1 << 21) - 1)
+                mine = (core >> tb.U64(16 * q)) & tb.U64((1 << 16) - 1)
                 k = np.flatnonzero(mine)
                 order = k[np.lexsort((mine[k], key[k]))]
                 same = (key[order[1:]] == key[order[:-1]]) & (mine[order[1:]] == mine[order[:-1]])
@@ -367,7 +367,8 @@ def cut_out(size: int, buckets: int, block_bytes: int) -> Callable:
         for b in batches:
             lists = b.column(3)
             offs, flat = lists.offsets.to_numpy(), lists.values
-            a, last, back, group = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+            a, more, back, group = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+            last = a + more
             ids, texts = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for k in range(0, b.num_rows, 64):
                 for run, before, until in pieces(unzipped(b.column(2).slice(k, 64)), 2 * size):
@@ -456,7 +457,7 @@ def zipped(df: DataFrame, at: int) -> DataFrame:
     out = T.StructType([f if i != at else T.StructField(f.name, T.BinaryType()) for i, f in enumerate(df.schema)])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, s = zstandard.ZstdCompressor(level=1), to_arrow_schema(out)
+        c, s = zstandard.ZstdCompressor(level=3), to_arrow_schema(out)
         for b in batches:
             cols = list(b.columns)
             cols[at] = pa.array([None if x is None else c.compress(x.encode()) for x in cols[at].to_pylist()], pa.binary())
@@ -485,7 +486,7 @@ def _gone(rows: DataFrame, size: int, block_bytes: int, most: int, bucket_bytes:
     known = rows.where("id is not null and body is not null")
     first = known.mapInArrow(first_pass(size, buckets, block_bytes, most), FLAT)
     settled = written(first.repartitionById(buckets, F.col("bucket")).mapInArrow(compare_regions(size, buckets, most, held), FLAT), "regions")
-    asked = settled.where(F.col("kind") == ASK).repartition(buckets, "id", "text").groupBy("id", "text").agg(F.collect_list(F.struct("a", "b", F.col("back").cast("long").alias("back"), F.col("group").cast("long").alias("group"))).alias("ask"))
+    asked = settled.where(F.col("kind") == ASK).repartition(buckets, "id", "text").groupBy("id", "text").agg(F.collect_list(F.struct(F.col("a").cast("int").alias("a"), (F.col("b") - F.col("a")).cast("int").alias("more"), "back", "group")).alias("ask"))
     wanted = checked(settled.where(F.col("kind") == ASK).select("id", "text").distinct())
     cut = zipped(rows.where("id is not null and body is not null").join(wanted, ["id", "text"], "left_semi").select("id", "text", "body"), 2).repartition(buckets, "id", "text").join(asked, ["id", "text"]).select("id", "text", "body", "ask").mapInArrow(cut_out(size, buckets, block_bytes), FLAT)
     late = written(cut, "stretches")
