@@ -36,3 +36,9 @@ def state(spark: SparkSession, path: str) -> tuple[int, int]:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     return fs.getContentSummary(at).getLength(), fs.getFileStatus(at).getModificationTime()
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder if it's there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -6,6 +6,7 @@ starts, so a version that comes late only splits the interval that it falls into
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,11 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import Graph
 from loomgraph.operators.versions import insert_versions
+from loomgraph.sources.shared import folder, removed
 from loomgraph.sources.stores import ParquetStore
 
 NODES = {"source": "source_id", "chunk": "chunk_id", "topic": "topic_id", "statement": "statement_id", "fact": "fact_id", "entity": "entity_id"}
+EDGES = ("chunk_links", "topic_chunk", "previous", "supports", "entity_fact", "relation")
 
 
 def documents(spark: SparkSession, path: str, schema: str, files: int = 16) -> DataFrame:
@@ -24,10 +27,21 @@ def documents(spark: SparkSession, path: str, schema: str, files: int = 16) -> D
 
 
 def build_batch(store: ParquetStore, extractor: Callable | None = None) -> Callable[[DataFrame, int], None]:
+    """Node tables by their ids and edge tables by all of their columns; the batch is extracted once."""
+
     def run(batch: DataFrame, _: int) -> None:
         g = Graph(batch) if extractor is None else Graph(batch, extractor=extractor)
-        for name, key in NODES.items():
-            store.upsert(getattr(g, name), name, key)
+        path = f"{folder(batch.sparkSession)}/batch-{uuid.uuid4().hex}"
+        try:
+            g.stored(path)
+            for name, key in NODES.items():
+                store.upsert(getattr(g, name), name, key)
+            for name in EDGES:
+                edges = getattr(g, name)
+                if not edges.isEmpty():
+                    store.upsert(edges.withColumn("edge_id", F.concat_ws("|", *edges.columns)), name, "edge_id")
+        finally:
+            removed(batch.sparkSession, path)
 
     return run
 

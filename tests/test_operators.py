@@ -172,6 +172,7 @@ def test_streaming_ingest_may_run_again(spark, tmp_path):
     for k in (1, 2):
         ingest.start(ingest.documents(spark, str(tmp_path / "in"), schema), ingest.build_batch(store), str(tmp_path / f"check{k}")).awaitTermination()
     assert {n: store.read(spark, n).count() for n in ingest.NODES} == {"source": 1, "chunk": 1, "topic": 1, "statement": 1, "fact": 1, "entity": 2}
+    assert {n: store.read(spark, n).count() for n in ("topic_chunk", "supports", "entity_fact", "relation")} == {"topic_chunk": 1, "supports": 1, "entity_fact": 2, "relation": 1}
     run = ingest.version_batch(store, "k")
     for batch in ([("d", 1000), ("d", 3000)], [("d", 2000)], [("d", 2000)]):
         run(spark.createDataFrame(batch, "k string, valid_from long"), 0)
