@@ -88,6 +88,12 @@ def shared(spark: SparkSession) -> str:
 _kept: list[list[str]] = []
 
 
+def collected(spark: SparkSession) -> None:
+    """Shuffles that nothing refers to any more are deleted when the driver collects its garbage; else they pile up."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """The tables that are written within are deleted at its end; what an outer one wrote stays."""
@@ -97,6 +103,7 @@ def temporary(spark: SparkSession) -> Iterator[None]:
     finally:
         for p in _kept.pop():
             _delete(spark, p)
+        collected(spark)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -125,9 +132,7 @@ def written(df: DataFrame, name: str = "t", paths: list[str] | None = None) -> D
         paths = _kept[-1]
     if paths is not None:
         paths.append(path)
-    # shuffles that nothing refers to any more are deleted when the driver collects its garbage, else they pile up
-    gc.collect()
-    spark._jvm.System.gc()
+    collected(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._path = path
