@@ -18,38 +18,44 @@ def quoted(key: str) -> str:
     return "`" + key.replace("`", "``") + "`"
 
 
-def to_sql(f: Leaf | Tree, column: Callable[[str], str] = quoted) -> tuple[str, list]:
-    """A predicate with ? for each value, and the values; numbers are compared as numbers, text matching ignores case."""
+def to_sql(f: Leaf | Tree, column: Callable[[str], str] = quoted, mark: Callable[[int], str] = lambda k: "?", before: int = 0) -> tuple[str, list]:
+    """A predicate with a mark for each value, and the values; numbers are compared as numbers, text matching ignores case.
+
+    The marks are numbered from before on, in the order of the text.
+    """
     if isinstance(f, Tree):
         parts, values = [], []
         for c in f.children:
-            text, mine = to_sql(c, column)
+            text, mine = to_sql(c, column, mark, before + len(values))
             parts.append(f"({text})")
             values += mine
         if not parts:
             return "true", []
         joined = (" OR " if f.condition == "OR" else " AND ").join(parts)
         return (f"NOT ({joined})" if f.condition == "NOT" else joined), values
-    c = column(f.key)
+    c, one = column(f.key), mark(before)
     if f.op == "IS_EMPTY":
         return f"{c} IS NULL OR CAST({c} AS STRING) = ''", []
     if f.op in SQL_OPS:
         kind = "BIGINT" if isinstance(f.value, int) and not isinstance(f.value, bool) else "DOUBLE" if isinstance(f.value, float) else "STRING"
-        return f"coalesce(try_cast({c} AS {kind}) {SQL_OPS[f.op]} ?, false)", [f.value if kind != "STRING" else str(f.value)]
+        return f"coalesce(try_cast({c} AS {kind}) {SQL_OPS[f.op]} {one}, false)", [f.value if kind != "STRING" else str(f.value)]
     if f.op in ("IN", "NIN"):
         values = [str(v) for v in f.value]
-        return f"coalesce(CAST({c} AS STRING) {'IN' if f.op == 'IN' else 'NOT IN'} ({', '.join('?' * len(values))}), false)", values
+        return f"coalesce(CAST({c} AS STRING) {'IN' if f.op == 'IN' else 'NOT IN'} ({', '.join(mark(before + k) for k in range(len(values)))}), false)", values
     if f.op == "CONTAINS":
-        return f"coalesce(contains(CAST({c} AS STRING), ?), false)", [str(f.value)]
+        return f"coalesce(contains(CAST({c} AS STRING), {one}), false)", [str(f.value)]
     if f.op in ("TEXT_MATCH", "TEXT_MATCH_INSENSITIVE"):
-        return f"coalesce(contains(lower(CAST({c} AS STRING)), lower(?)), false)", [str(f.value)]
+        return f"coalesce(contains(lower(CAST({c} AS STRING)), lower({one})), false)", [str(f.value)]
     raise ValueError(f"unsupported operator: {f.op}")
 
 
 def where_sql(df: DataFrame, f: Leaf | Tree) -> DataFrame:
-    """Rows that the SQL text of a filter, with its values bound, holds for."""
-    text, values = to_sql(f)
-    return df.sparkSession.sql(f"SELECT * FROM {{rows}} WHERE {text}", args=values or None, rows=df)
+    """Rows that the SQL text of a filter, with its values bound, holds for.
+
+    Values are bound by name, as Spark binds five and more by position in another order than that of the text.
+    """
+    text, values = to_sql(f, mark=lambda k: f":v{k}")
+    return df.sparkSession.sql(f"SELECT * FROM {{rows}} WHERE {text}", args={f"v{k}": v for k, v in enumerate(values)} or None, rows=df)
 
 
 def to_json_ops(f: Leaf | Tree) -> dict:
