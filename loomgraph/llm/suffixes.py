@@ -14,10 +14,12 @@ same place; so only strings with equal anchors need to be held against each othe
 3. A shard array holds the stretches whose core occurs in several; equal stretches are settled first. Induced
    sorting orders its suffixes, and permuted common prefixes of at least ``size`` show which strings repeat.
 
-An anchor with over ``MANY`` regions in one block, or in its bucket, as the end of a passage has that many
-texts quote, is hot: its strings are sent one by one, under their own hash, so that only copies of one
-string ever come together, one a block. Settling in blocks before anything is shuffled and hashing
-wholes bounds every group; nothing is broadcast or collected.
+An anchor with over ``MANY`` regions in one block, as the end of a passage has that many texts quote, is flagged: its
+strings are sent one by one, as their own hash without their bytes, so that only copies of one string ever come
+together, one a block. An anchor with over ``MANY`` regions in its bucket is hot. Most of those regions have nothing
+but a common phrase in common, so they wait, group by group, for another one with the same bits of a core: groups of
+up to ``MANY`` with the same bits are cut out, and the strings of larger ones sent one by one. Settling in blocks
+before anything is shuffled and hashing wholes bounds every group; nothing is broadcast or collected.
 
 There are as many buckets as ``BUCKET`` goes into the bytes of all texts, each a task of its own that reads its
 records one by one, so neither a task's bytes nor its memory grow with the input: what it keeps is settled
@@ -52,13 +54,13 @@ from loomgraph.llm.sais import permuted_lcp, suffix_array
 GRAM = 24
 STRETCH = 32
 #: bytes of text looked at at once
-RUN = 1 << 20
+RUN = 1 << 18
 MANY = 256
 #: bytes of all texts for each bucket; regions that a bucket keeps before it settles them; bytes of stretches in an array
 BUCKET = 8 << 20
 HELD = 250_000
 PART = 1 << 20
-ANCHORS, GONE, STRETCHES, ASK = range(4)
+ANCHORS, GONE, STRETCHES, ASK, STRINGS = range(5)
 #: id and text say which text it is (text by its hash); GONE: bytes from a to b; ASK: strings from a to b, whose anchor is back after a
 FLAT = T.StructType([
     T.StructField("kind", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("text", T.LongType()),
@@ -200,13 +202,27 @@ def cut_bytes(run: tb.Run, first: np.ndarray, many: np.ndarray, size: int) -> np
 
 
 class Sender:
-    """Settles equal stretches of a task and packs the rest by bucket."""
+    """Settles equal stretches of a task and packs the rest by bucket; of groups of one string only the hashes."""
 
     def __init__(self, schema: pa.Schema, buckets: int, size: int):
-        self.schema, self.buckets, self.size, self.rows, self.held = schema, buckets, size, [], 0
+        self.schema, self.buckets, self.size, self.rows, self.strings, self.held = schema, buckets, size, [], [], 0
 
     def add(self, run: tb.Run, a, b, p, group, ids, texts, base) -> None:
         """ids, texts, base: of each region; base is where its document begins in the run."""
+        for one in (True, False):
+            m = np.flatnonzero((group == 1) == one)
+            if len(m):
+                (self._strings if one else self._stretches)(run, *(x[m] for x in (a, b, p, group, ids, texts, base)))
+        run.rest()
+
+    def _strings(self, run: tb.Run, a, b, p, group, ids, texts, base) -> None:
+        own, first, _, shard, _ = stretches(run, a, b, p, group, self.size)
+        keep, later = settle((shard,), ids[own], first - base[own])
+        at = first - base[own]
+        self.strings.append(((ids[own[keep]], texts[own[keep]], at[keep], shard[keep]), (ids[own[later]], texts[own[later]], at[later], at[later] + self.size)))
+        self.held += 32 * len(own)
+
+    def _stretches(self, run: tb.Run, a, b, p, group, ids, texts, base) -> None:
         own, first, many, shard, whole = stretches(run, a, b, p, group, self.size)
         keep, later = settle((shard, whole), ids[own], first - base[own])
         late = own[later], first[later], many[later]
@@ -214,33 +230,61 @@ class Sender:
         data = cut_bytes(run, first, many, self.size)
         self.rows.append(((ids[own], texts[own], first - base[own], many, shard, whole, data), (ids[late[0]], texts[late[0]], late[1] - base[late[0]], late[1] - base[late[0]] + late[2] + self.size - 1)))
         self.held += len(data) + 48 * len(own) + 32 * len(later)
-        run.rest()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
+        yield from self._flush_strings()
+        yield from self._flush_stretches()
+        self.held = 0
+        tb.release()
+
+    def _sent(self, kind: int, bucket: np.ndarray, packed: Callable[[int, int], bytes]) -> Iterator[pa.RecordBatch]:
+        """A row for each bucket, of which there are entries in the sorted column; packed gets the first and the one after the last."""
+        at = np.searchsorted(bucket, np.arange(self.buckets + 1))
+        for lo in range(0, self.buckets, 64):
+            rows = [(k, packed(at[k], at[k + 1])) for k in range(lo, min(lo + 64, self.buckets)) if at[k + 1] > at[k]]
+            if rows:
+                yield batch(self.schema, len(rows), kind=kind, bucket=[k for k, _ in rows], blob=[x for _, x in rows])
+
+    def _flush_strings(self) -> Iterator[pa.RecordBatch]:
+        if not self.strings:
+            return
+        ids, texts, first, shard = (np.concatenate(x) for x in zip(*(r[0] for r in self.strings)))
+        gone = [np.concatenate(x) for x in zip(*(r[1] for r in self.strings))]
+        self.strings = []
+        keep, later = settle((shard,), ids, first)
+        yield lost(self.schema, self.buckets, *(np.concatenate([x, y[later]]) for x, y in zip(gone, (ids, texts, first, first + self.size))))
+        bucket = (shard[keep] % tb.U64(self.buckets)).astype(np.int64)
+        order = np.lexsort((first[keep], texts[keep], ids[keep], bucket))
+        bucket, mine = bucket[order], keep[order]
+
+        def packed(i: int, j: int) -> bytes:
+            m = mine[i:j]
+            head = np.flatnonzero(np.concatenate([[True], (ids[m[1:]] != ids[m[:-1]]) | (texts[m[1:]] != texts[m[:-1]])]))
+            return pack(ids[m[head]].view(np.uint64), texts[m[head]].view(np.uint64), np.diff(np.append(head, len(m))), first[m], shard[m])
+
+        yield from self._sent(STRINGS, bucket, packed)
+
+    def _flush_stretches(self) -> Iterator[pa.RecordBatch]:
         if not self.rows:
             return
         ids, texts, first, many, shard, whole, data = (np.concatenate(x) for x in zip(*(r[0] for r in self.rows)))
         gone = [np.concatenate(x) for x in zip(*(r[1] for r in self.rows))]
-        self.rows, self.held = [], 0
+        self.rows = []
         n = many + self.size - 1
         keep, later = settle((shard, whole), ids, first)
         yield lost(self.schema, self.buckets, *(np.concatenate([x, y[later]]) for x, y in zip(gone, (ids, texts, first, first + n))))
         ends = np.cumsum(n)
         bucket = (shard[keep] % tb.U64(self.buckets)).astype(np.int64)
-        order = keep[np.argsort(bucket, kind="stable")]
-        bucket = np.sort(bucket)
-        at = np.searchsorted(bucket, np.arange(self.buckets + 1))
-        for lo in range(0, self.buckets, 64):
-            rows = []
-            for k in range(lo, min(lo + 64, self.buckets)):
-                mine = order[at[k] : at[k + 1]]
-                if len(mine):
-                    step = np.arange(n[mine].sum()) - np.repeat(np.cumsum(n[mine]) - n[mine], n[mine])
-                    body = data[np.repeat(ends[mine] - n[mine], n[mine]) + step]
-                    rows.append((k, pack(ids[mine].view(np.uint64), texts[mine].view(np.uint64), first[mine], many[mine], shard[mine], whole[mine], body)))
-            if rows:
-                yield batch(self.schema, len(rows), kind=STRETCHES, bucket=[k for k, _ in rows], blob=[x for _, x in rows])
-        tb.release()
+        order = np.argsort(bucket, kind="stable")
+        bucket, of = bucket[order], keep[order]
+
+        def packed(i: int, j: int) -> bytes:
+            mine = of[i:j]
+            step = np.arange(n[mine].sum()) - np.repeat(np.cumsum(n[mine]) - n[mine], n[mine])
+            body = data[np.repeat(ends[mine] - n[mine], n[mine]) + step]
+            return pack(ids[mine].view(np.uint64), texts[mine].view(np.uint64), first[mine], many[mine], shard[mine], whole[mine], body)
+
+        yield from self._sent(STRETCHES, bucket, packed)
 
 
 def first_pass(size: int, buckets: int, block_bytes: int, most: int) -> Callable:
@@ -253,7 +297,7 @@ def first_pass(size: int, buckets: int, block_bytes: int, most: int) -> Callable
             where = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
             keep, later = settle((key, whole), ids, a - base)
             yield lost(schema, buckets, ids[later], texts[later], (a - base)[later], (b - base)[later] + size)
-            # hot anchors: too many regions in this block alone
+            # anchors that are flagged: too many regions in this block alone
             k = key[keep]
             head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
             many = np.diff(np.concatenate([head, [len(k)]]))
@@ -298,32 +342,60 @@ def first_pass(size: int, buckets: int, block_bytes: int, most: int) -> Callable
     return apply
 
 
+def heads(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each group of a sorted column begins, and how many are in it."""
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return head, np.diff(np.append(head, len(key)))
+
+
 def compare_regions(size: int, buckets: int, most: int, held: int) -> Callable:
     """A bucket of anchors: equal regions are settled, differing ones asked for; other rows pass."""
     g = grouped(size)
+    none = lambda n: [np.zeros(0, tb.U64 if i in (0, 1, 7) else np.int64) for i in range(n)]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(FLAT)
-        hot, kept, more_, count = np.zeros(0, tb.U64), [np.zeros(0, tb.U64 if i in (0, 1, 7) else np.int64) for i in range(8)], [], 0
-
-        def singly(x: list[np.ndarray]) -> pa.RecordBatch:
-            return batch(schema, len(x[0]), kind=ASK, id=x[2], text=x[3], a=x[4], b=x[4] + x[5], back=x[6], group=1)
-
-        def alike(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            """Groups of strings whose core several of an anchor's regions may have."""
-            key, _, ids, texts, a, more, back, core = x
+        hot, flagged, kept, more_, count = np.zeros(0, tb.U64), np.zeros(0, tb.U64), none(8), [], 0
+        # of hot anchors, for each group: regions under code (anchor and bits of the core), whole; and codes whose strings are sent one by one
+        waiting, singly = [none(7) for _ in range(3)], [np.zeros(0, tb.U64) for _ in range(3)]
+
+        def asked(q: int, x: list[np.ndarray], group: int) -> pa.RecordBatch:
+            """The strings of a group of regions, from back - (q + 1) g + 1 to back - q g, counted from the region's first."""
+            ids, texts, a, more, back = x
+            lo, hi = np.maximum(0, back - (q + 1) * g + 1), np.minimum(more, back - q * g)
+            return batch(schema, len(ids), kind=ASK, id=ids, text=texts, a=a + lo, b=a + hi, back=back - lo, group=group)
+
+        def coded(x: list[np.ndarray], q: int) -> list[np.ndarray]:
+            mine = (x[7] >> tb.U64(16 * q)) & tb.U64((1 << 16) - 1)
+            k = np.flatnonzero(mine)
+            return [(x[0][k] << tb.U64(16)) | mine[k], *(c[k] for c in x[1:7])]
+
+        def parted(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            """Regions of hot anchors join those that wait; codes of too many are asked for string by string, at once and from now on."""
             for q in range(3):
-                mine = (core >> tb.U64(16 * q)) & tb.U64((1 << 16) - 1)
-                k = np.flatnonzero(mine)
-                order = k[np.lexsort((mine[k], key[k]))]
-                same = (key[order[1:]] == key[order[:-1]]) & (mine[order[1:]] == mine[order[:-1]])
-                k = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(order) else order
-                # strings from back - (q + 1) g + 1 to back - q g, counted from the region's first
-                lo, hi = np.maximum(0, back[k] - (q + 1) * g + 1), np.minimum(more[k], back[k] - q * g)
-                yield batch(schema, len(k), kind=ASK, id=ids[k], text=texts[k], a=a[k] + lo, b=a[k] + hi, back=back[k] - lo, group=g)
+                w = [np.concatenate(c) for c in zip(waiting[q], coded(x, q))]
+                keep, later = settle((w[0], w[1]), w[2], w[4])
+                yield lost(schema, buckets, w[2][later], w[3][later], w[4][later], w[4][later] + w[5][later] + size)
+                w = [c[keep] for c in w]
+                head, many = heads(w[0])
+                code = w[0][head]
+                due = (many > most) | np.isin(code, singly[q]) | np.isin(code >> tb.U64(16), flagged)
+                if len(w[0]) > 4 * held:
+                    due |= many > 1
+                singly[q] = np.union1d(singly[q], code[due])
+                go = np.repeat(due, many)
+                yield asked(q, [c[go] for c in w[2:]], 1)
+                waiting[q] = [c[~go] for c in w]
+
+        def alike(q: int, w: list[np.ndarray]) -> pa.RecordBatch:
+            """Groups of strings whose core several of an anchor's regions may have."""
+            order = np.argsort(w[0], kind="stable")
+            _, many = heads(w[0][order])
+            k = order[np.repeat(many > 1, many)]
+            return asked(q, [c[k] for c in w[2:]], g)
 
         def settled(last: bool) -> Iterator[pa.RecordBatch]:
-            """Settle what has come together; regions of hot anchors are asked for at once and forgotten."""
+            """Settle what has come together; regions of hot anchors wait by their cores' bits."""
             nonlocal hot, kept, more_, count
             x = [np.concatenate(c) for c in zip(kept, *more_)]
             more_, count = [], 0
@@ -331,14 +403,15 @@ def compare_regions(size: int, buckets: int, most: int, held: int) -> Callable:
             yield lost(schema, buckets, x[2][later], x[3][later], x[4][later], x[4][later] + x[5][later] + size)
             x = [c[keep] for c in x]
             k = x[0]
-            head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-            many = np.diff(np.concatenate([head, [len(k)]]))
+            head, many = heads(k)
             hot = np.union1d(hot, k[head[many > most]])
             warm = np.repeat(np.isin(k[head], hot), many)
-            yield singly([c[warm] for c in x])
+            yield from parted([c[warm] for c in x])
             kept = [c[~warm] for c in x]
             if last:
-                yield from alike(kept)
+                for q in range(3):
+                    yield alike(q, waiting[q])
+                    yield alike(q, coded(kept, q))
             tb.release()
 
         for b in batches:
@@ -348,7 +421,7 @@ def compare_regions(size: int, buckets: int, most: int, held: int) -> Callable:
             for blob in b.column(8).filter(pa.array(kinds == ANCHORS)):
                 key, whole, i, t, which, a, more, back, core, flags = unpack(blob.as_py())
                 which = which.astype(np.int64)
-                hot = np.union1d(hot, flags)
+                hot, flagged = np.union1d(hot, flags), np.union1d(flagged, flags)
                 more_.append((np.cumsum(key, dtype=np.uint64), whole, i[which].view(np.int64), t[which].view(np.int64), a.astype(np.int64), more.astype(np.int64), back.astype(np.int64), core))
                 count += len(key)
                 if count >= held:
@@ -409,12 +482,35 @@ def repeated(size: int, data: np.ndarray, n: np.ndarray, shard: np.ndarray) -> t
     return own[place], step[place], string_of
 
 
-def shard_arrays(size: int, buckets: int, part: int) -> Callable:
-    """Repeated strings of a bucket of stretches."""
+def shard_arrays(size: int, buckets: int, part: int, held: int) -> Callable:
+    """Repeated strings of a bucket of stretches and of single strings; other rows pass."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(FLAT)
-        got = [unpack(x.as_py(), as_bytes=6) for b in batches for x in b.column(1)]
+        got, alone, more, count = [], [np.zeros(0, tb.U64 if i == 3 else np.int64) for i in range(4)], [], 0
+
+        def settled() -> pa.RecordBatch:
+            """Of equal strings the first is kept."""
+            nonlocal alone, more, count
+            ids, texts, first, shard = x = [np.concatenate(c) for c in zip(alone, *more)]
+            keep, later = settle((shard,), ids, first)
+            alone, more, count = [c[keep] for c in x], [], 0
+            return lost(schema, buckets, ids[later], texts[later], first[later], first[later] + size)
+
+        for b in batches:
+            kinds = b.column(0).to_numpy()
+            if (kinds == GONE).any():
+                yield b.filter(pa.array(kinds == GONE))
+            got += [unpack(x.as_py(), as_bytes=6) for x in b.column(8).filter(pa.array(kinds == STRETCHES))]
+            for x in b.column(8).filter(pa.array(kinds == STRINGS)):
+                i, t, many, first, shard = unpack(x.as_py())
+                own = np.repeat(np.arange(len(i)), many.astype(np.int64))
+                more.append((i[own].view(np.int64), t[own].view(np.int64), first.astype(np.int64), shard))
+                count += len(own)
+                if count >= held:
+                    yield settled()
+        yield settled()
+        alone = None
         if not got:
             return
         cat = lambda xs: np.concatenate(list(xs))
@@ -489,11 +585,11 @@ def _gone(rows: DataFrame, size: int, block_bytes: int, most: int, bucket_bytes:
     asked = settled.where(F.col("kind") == ASK).repartition(buckets, "id", "text").groupBy("id", "text").agg(F.collect_list(F.struct(F.col("a").cast("int").alias("a"), (F.col("b") - F.col("a")).cast("int").alias("more"), "back", "group")).alias("ask"))
     wanted = checked(settled.where(F.col("kind") == ASK).select("id", "text").distinct())
     cut = zipped(rows.where("id is not null and body is not null").join(wanted, ["id", "text"], "left_semi").select("id", "text", "body"), 2).repartition(buckets, "id", "text").join(asked, ["id", "text"]).select("id", "text", "body", "ask").mapInArrow(cut_out(size, buckets, block_bytes), FLAT)
-    late = written(cut, "stretches")
-    blobs = late.unionByName(settled).where(F.col("kind") == STRETCHES).select("bucket", "blob")
-    shards = blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(shard_arrays(size, buckets, part), FLAT)
+    # stretches lie on disk once, as what is shuffled; what was lost before passes
+    late = cut.unionByName(settled.where(F.col("kind").isin(STRETCHES, STRINGS)))
+    shards = late.repartitionById(buckets, F.col("bucket")).mapInArrow(shard_arrays(size, buckets, part, held), FLAT)
     take = lambda d: d.where(F.col("kind") == GONE).select("id", "text", "a", "b")
-    every = take(settled).unionByName(take(late)).unionByName(take(shards))
+    every = take(settled).unionByName(take(shards))
     return every.groupBy("id", "text").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
 
 
