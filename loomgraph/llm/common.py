@@ -145,7 +145,7 @@ def map_rows(df: DataFrame, fn: Callable, out: T.StructType) -> DataFrame:
     return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(fn, out)
 
 
-def keep_runs(df: DataFrame, text_col: str, fn: Callable[[tb.Run], np.ndarray]) -> DataFrame:
+def keep_runs(df: DataFrame, text_col: str, fn: Callable[[tb.Run], np.ndarray], max_bytes: int = 1 << 18) -> DataFrame:
     """The rows of df, with all columns, whose flag in what fn gives for a run of texts is set."""
     at, schema = df.columns.index(text_col), df.schema
 
@@ -155,7 +155,7 @@ def keep_runs(df: DataFrame, text_col: str, fn: Callable[[tb.Run], np.ndarray])
             texts = b.column(at)
             if not tb.as_text(texts.type):
                 texts = texts.cast(pa.string())
-            kept = [fn(run) for run in tb.runs(texts, 1 << 20)]
+            kept = [fn(run) for run in tb.runs(texts, max_bytes)]
             if kept:
                 yield pa.RecordBatch.from_arrays(b.filter(pa.array(np.concatenate(kept))).columns, names=names)
         tb.release()

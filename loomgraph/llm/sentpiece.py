@@ -343,6 +343,10 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
+#: rows whose ids are Python's integers at once
+ROWS = 100
+
+
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The ids and the decoded text of each row."""
     small = two(df, id_col, text_col)
@@ -351,10 +355,10 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, schema = codec(path), to_arrow_schema(out)
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                ids = c.encode(b.column(1).slice(i, 500).to_pylist())
+            for i in range(0, b.num_rows, ROWS):
+                ids = c.encode(b.column(1).slice(i, ROWS).to_pylist())
                 text = [c.model.decode(x) for x in ids]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 500), pa.array(ids, schema.field(1).type), pa.array(text, schema.field(2).type)], schema=schema)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, ROWS), pa.array(ids, schema.field(1).type), pa.array(text, schema.field(2).type)], schema=schema)
         c.clear()
         tb.release()
 
