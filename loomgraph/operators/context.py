@@ -17,7 +17,7 @@ from loomgraph.operators.retrieval import context_tree
 
 def split_keywords(response: Column, most: int = 10, delimiter: str = "^") -> Column:
     """Keywords of a model's answer: trimmed, without empty and repeated ones, the first most."""
-    parts = F.filter(F.transform(F.split(response, "\\" + delimiter), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(response, "\\" + delimiter), text.trim), lambda x: x != "")
     return F.slice(F.array_distinct(parts), 1, most)
 
 
@@ -111,7 +111,7 @@ def entity_contexts(g: Graph, entities: DataFrame, phrases: DataFrame, low: floa
 
 def parts_of(query: Column, most_words: int = 25) -> Column:
     """A question as its sentences if it has over most_words words, else as one."""
-    parts = F.filter(F.transform(F.split(query, r"(?<=[?.!])\s+"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(query, r"(?<=[?.!])\s+"), text.trim), lambda x: x != "")
     return F.when(F.size(F.split(F.trim(query), r"\s+")) > most_words, parts).otherwise(F.array(F.trim(query)))
 
 

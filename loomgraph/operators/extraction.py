@@ -24,7 +24,7 @@ def parse(responses: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = lines.withColumn("head", head).withColumn("section", F.last("head", True).over(w))
     rows = rows.withColumn("topic", F.last(F.when(F.col("head") == "topic", clean(after)), True).over(w))
     rows = rows.withColumn("proposition", F.last(F.when(F.col("head") == "proposition", after).when(F.col("head").isNotNull(), F.lit("")), True).over(w))
-    body = rows.where("head is null").withColumn("part", F.transform(F.split("line", r"\|"), F.trim))
+    body = rows.where("head is null").withColumn("part", F.transform(F.split("line", r"\|"), lambda x: F.trim(x)))
     entity = body.where("section = 'entities' and size(part) = 2").select("id", "topic", F.lit("").alias("proposition"), F.lit("ENTITY").alias("kind"), clean(F.col("part")[0]).alias("subject"), F.lit("").alias("predicate"), F.initcap(clean(F.col("part")[1])).alias("object"))
     said = body.where("section = 'proposition'")
     known = entity.select("id", "topic", F.lower("subject").alias("e")).distinct()

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from loomgraph.functions import text
 from loomgraph.operators import context as c
 from loomgraph.operators import dialects as d_
 from loomgraph.operators import engine, ordered, results, retrievers
@@ -185,7 +186,7 @@ def split_collections(spark, d):
 def propositions(spark, d):
     """Lines of what a model would answer for each chunk: without empty and repeated ones."""
     g = graph(spark, d)
-    p = F.array_distinct(F.filter(F.transform(F.split(F.replace("value", F.lit(", "), F.lit("\n")), "\n"), F.trim), lambda x: x != ""))
+    p = F.array_distinct(F.filter(F.transform(F.split(F.replace("value", F.lit(", "), F.lit("\n")), "\n"), text.trim), lambda x: x != ""))
     rows = g.chunk.select("chunk_id", p.alias("p")).where(F.size("p") > 0)
     return rows.select("chunk_id", F.size("p").cast("long").alias("propositions"), F.array_min(F.transform("p", lambda x: F.md5(x.cast("binary")))).alias("least"))
 
