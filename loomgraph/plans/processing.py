@@ -15,6 +15,7 @@ from loomgraph.operators import triples as t
 from loomgraph.operators import versions as ver
 from loomgraph.plans.registry import base, query, table
 from loomgraph.plans.searching import graph
+from loomgraph.sources.shared import written
 
 
 def docs(spark, d):
@@ -278,19 +279,19 @@ def statement_rerank(spark, d):
     g = graph(spark, d)
     told = g.statement.join(g.topic.select("topic_id", F.col("value").alias("topic")), "topic_id").select("statement_id", F.concat("topic", F.lit(": "), "value").alias("text"))
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("m"), "text")
-    return rr.score(told, asked, "statement_id", "text").withColumn("score", F.round("score", 4))
+    return rr.score(written(told, "told"), asked, "statement_id", "text").withColumn("score", F.round("score", 4))
 
 
-TOPIC_TEXT = "SELECT topic_id AS id, substr(topic || ' ' || string_agg(value, ' ' ORDER BY seq, pos), 1, 4000) AS text FROM ext GROUP BY topic_id, topic"
+TOPIC_TEXT = "SELECT topic_id AS id, topic || ' ' || string_agg(value, ' ' ORDER BY seq, pos) AS text FROM ext GROUP BY topic_id, topic"
 
 
 @query(base("SELECT id AS topic_id, round(s, 4) AS score FROM (SELECT id, round(score, 9) AS s FROM tfidf ORDER BY s DESC, id LIMIT 40)", tfidf(TOPIC_TEXT, MATCH)))
 def topic_rerank(spark, d):
-    """The 40 best topics by their name and statements, of which 4,000 characters count."""
+    """The 40 best topics by their name and statements."""
     e = graph(spark, d).extracted
     told = e.groupBy("topic_id", "topic").agg(F.array_sort(F.collect_list(F.struct("seq", "pos", "value"))).alias("s"))
-    told = told.select("topic_id", F.substring(F.concat_ws(" ", "topic", F.array_join(F.col("s.value"), " ")), 1, 4000).alias("text"))
-    best = rr.score(told, matches(spark, d), "topic_id", "text").withColumn("s", F.round("score", 9)).orderBy(F.desc("s"), "topic_id").limit(40)
+    told = told.select("topic_id", F.concat_ws(" ", "topic", F.array_join(F.col("s.value"), " ")).alias("text"))
+    best = rr.score(written(told, "told"), matches(spark, d), "topic_id", "text").withColumn("s", F.round("score", 9)).orderBy(F.desc("s"), "topic_id").limit(40)
     return best.select("topic_id", F.round("s", 4).alias("score"))
 
 
