@@ -28,10 +28,10 @@ def best(values: DataFrame, phrases: DataFrame, k: int) -> DataFrame:
 def scored_triples(t: DataFrame, nodes: DataFrame, phrases: DataFrame, hops: int = 2, relations: int = 20, prune: int = 100, k: int = 10, select: Select = best) -> DataFrame:
     """text, score of the k best verbalised heads with a relation's tails, of triples within so many hops whose relations are
     among the best ones."""
-    found = triples.multi_hop(t, nodes, hops)
+    found = triples.written(triples.multi_hop(t, nodes, hops), "met")
     kinds = select(found.select(F.col("rel").alias("id"), F.translate("rel", "_", " ").alias("text")).distinct(), phrases, relations).select(F.col("id").alias("rel"))
-    merged = triples.verbalize_merged(found.join(kinds, "rel", "left_semi"))
-    near = select(merged.select(F.col("text").alias("id"), "text"), phrases, prune).select("id", "text")
+    merged = triples.written(triples.verbalize_merged(found.join(triples.written(kinds, "kinds"), "rel", "left_semi")), "told")
+    near = triples.written(select(merged.select(F.col("text").alias("id"), "text"), phrases, prune).select("id", "text"), "near")
     return select(near, phrases, k).select("text", "score")
 
 
@@ -48,9 +48,9 @@ def explore(t: DataFrame, nodes: DataFrame, phrases: DataFrame, rounds: int = 3,
     ends are the next nodes; it ends where nothing new is met."""
     out, at = None, nodes.select("node").distinct()
     for _ in range(rounds):
-        step = triples.one_hop(t, at)
+        step = triples.written(triples.one_hop(t, at), "step")
         kinds = select(step.select(F.col("rel").alias("id"), F.translate("rel", "_", " ").alias("text")).distinct(), phrases, relations).select(F.col("id").alias("rel"))
-        step = step.join(kinds, "rel", "left_semi").select("src", "rel", "dst")
+        step = step.join(triples.written(kinds, "kinds"), "rel", "left_semi").select("src", "rel", "dst")
         if out is not None:
             step = step.join(out, ["src", "rel", "dst"], "left_anti")
         step = triples.written(step, "met")
@@ -58,6 +58,7 @@ def explore(t: DataFrame, nodes: DataFrame, phrases: DataFrame, rounds: int = 3,
             break
         out = step if out is None else out.unionByName(step)
         at = select(step.select(F.col("dst").alias("id"), F.col("dst").alias("text")).distinct(), phrases, entities).select(F.col("id").alias("node"))
+        at = triples.written(at, "at")
     return out if out is not None else t.select("src", "rel", "dst").limit(0)
 
 

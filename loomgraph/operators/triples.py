@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.sources.shared import written
+from loomgraph.sources.shared import few, written
 
 
 def one_hop(triples: DataFrame, nodes: DataFrame, rel: str | None = None) -> DataFrame:
@@ -23,9 +23,9 @@ def multi_hop(triples: DataFrame, nodes: DataFrame, hops: int = 2) -> DataFrame:
     """Distinct triples on paths of at most so many hops."""
     out, at = None, nodes
     for _ in range(hops):
-        step = one_hop(triples, at)
+        step = written(one_hop(triples, at), "step")
         out = step if out is None else out.unionByName(step)
-        at = step.select(F.col("dst").alias("node")).distinct()
+        at = few(step.select(F.col("dst").alias("node")))
     return out.distinct()
 
 
