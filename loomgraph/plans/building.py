@@ -118,7 +118,7 @@ def build_relations(spark, d):
 @query(base("""SELECT DISTINCT coalesce(new_id, entity_id) AS entity_id, fact_id, role FROM entity_fact LEFT JOIN
 (SELECT l.entity_id, min(r.entity_id) AS new_id FROM entity l JOIN entity r ON l.search_str = r.search_str AND l.is_local AND NOT r.is_local GROUP BY l.entity_id) USING (entity_id)"""))
 def build_local_entity_rewrite(spark, d):
-    return graph(spark, d).rewritten_entity_fact()
+    return stored(spark, d).rewritten_entity_fact()
 
 
 @query(base("SELECT (['Concept', 'Agent', 'Place'])[length(subject) % 3 + 1] AS subject_class, predicate, (['Concept', 'Agent', 'Place'])[length(object) % 3 + 1] AS object_class, count(*) AS n FROM statement_fact WHERE NOT local GROUP BY ALL"))

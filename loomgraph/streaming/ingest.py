@@ -33,7 +33,7 @@ def build_batch(store: ParquetStore, extractor: Callable | None = None) -> Calla
         g = Graph(batch) if extractor is None else Graph(batch, extractor=extractor)
         path = f"{folder(batch.sparkSession)}/batch-{uuid.uuid4().hex}"
         try:
-            g.stored(path)
+            g = g.stored(path)
             for name, key in NODES.items():
                 store.upsert(getattr(g, name), name, key)
             for name in EDGES:
