@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import vectors
+from loomgraph.sources.shared import few
 
 
 def node_score(mode: str, node: Column, parent: Column, q: list[float]) -> Column:
@@ -43,7 +44,8 @@ def search(seeds: DataFrame, neighbours: Callable[[DataFrame], DataFrame], embed
         if write is not None:
             level, found = write(level), write(found)
         step = F.broadcast(level.select(F.col("node").alias("parent"), "path", F.col("embedding").alias("pe"))).join(neighbours(level.select("node")).select(F.col("node").alias("parent"), F.col("other").alias("node")).distinct(), "parent")
-        step = step.join(F.broadcast(found.select("node")), "node", "left_anti").join(e, "node")
+        step = step.join(F.broadcast(found.select("node")), "node", "left_anti")
+        step = e.join(step if write is None else few(step), "node")
         step = step.withColumn("score", F.round(node_score(mode, F.col("embedding"), F.col("pe"), q), 9))
         best = step.groupBy("node").agg(F.max_by(F.struct("score", "path", "embedding"), F.struct("score", "parent")).alias("b"))
         level = best.select("node", "b.score", F.concat("b.path", F.array("node")).alias("path"), "b.embedding", F.lit(k).alias("depth")).orderBy(F.desc("score"), "node").limit(width)

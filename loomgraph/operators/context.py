@@ -13,6 +13,7 @@ from loomgraph.operators import rerank
 from loomgraph.operators.graph import Graph
 from loomgraph.operators.ordered import without_prefixes
 from loomgraph.operators.retrieval import context_tree
+from loomgraph.sources.shared import few, written
 
 
 def split_keywords(response: Column, most: int = 10, delimiter: str = "^") -> Column:
@@ -92,10 +93,11 @@ def entity_contexts(g: Graph, entities: DataFrame, phrases: DataFrame, low: floa
     the score of the first entity. Contexts are the longest paths within what stays, less those whose values begin another;
     roots come by their score, and a root's contexts by the mean rerank of their entities.
     """
-    tree = context_tree(g, entities, depth, width)
-    nodes = tree.select(F.explode("path").alias("entity_id")).distinct().join(entities.select("entity_id"), "entity_id", "left_anti")
-    near = nodes.join(g.degree, "entity_id").join(g.entity.select("entity_id", "value", "class"), "entity_id").select("entity_id", "value", "class", F.col("degree").cast("double").alias("score"))
-    every = reranked(entities.select("entity_id", "value", "class", F.col("score").cast("double").alias("score")).unionByName(near), phrases)
+    entities = written(entities, "entities")
+    tree = written(context_tree(g, entities, depth, width), "tree")
+    nodes = few(tree.select(F.explode("path").alias("entity_id")).distinct().join(entities.select("entity_id"), "entity_id", "left_anti"))
+    near = g.degree.join(nodes, "entity_id").join(g.entity.select("entity_id", "value", "class").join(nodes, "entity_id"), "entity_id").select("entity_id", "value", "class", F.col("degree").cast("double").alias("score"))
+    every = reranked(entities.select("entity_id", "value", "class", F.col("score").cast("double").alias("score")).unionByName(written(near, "near")), phrases)
     first = entities.agg(F.max_by(F.col("score").cast("double"), F.struct(F.col("score"), F.col("entity_id"))).alias("base"))  # one row
     kept = every.join(F.broadcast(first), F.col("score").between(F.lit(low) * F.col("base"), F.lit(high) * F.col("base"))).select("entity_id", "value", "score", "rerank")
     paths = tree.select("root_id", "path").unionByName(entities.select(F.col("entity_id").alias("root_id"), F.array("entity_id").alias("path"))).distinct()

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.sources.shared import written
+
 
 def dedup_merge(rows: DataFrame) -> DataFrame:
     """One row for each source, topic and statement: scores are added, retrievers united."""
@@ -57,7 +59,7 @@ def token_budget(rows: DataFrame, budget: int, cost: Column) -> DataFrame:
     in which it ends are walked through, in one task (a sort that spills).
     """
     order = [F.desc("score"), "source_id", "topic", "statement"]
-    rows = rows.withColumn("cost", cost)
+    rows = written(rows.withColumn("cost", cost), "costs")  # made once, for four passes
     bounds = sorted(set(rows.agg(F.percentile_approx("score", [k / 200 for k in range(201)], 10_000)).first()[0] or []))
     part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= F.col("score"))) if bounds else F.lit(0)
     sums = dict(rows.groupBy(part.alias("k")).agg(F.sum("cost")).collect())  # 201 ranges

@@ -15,13 +15,17 @@ from loomgraph.operators import vector as v
 from loomgraph.operators.context import per_keyword
 from loomgraph.operators.graph import Graph
 from loomgraph.operators.ordered import first_seen
-from loomgraph.sources.shared import written
+from loomgraph.sources.shared import few, written
 
 
 def told(g: Graph, rows: DataFrame) -> DataFrame:
     """Grouped rows with topic, statement and statement string (the statement with its facts)."""
-    facts = g.supports.join(g.fact.select("fact_id", "value"), "fact_id").groupBy("statement_id").agg(F.sort_array(F.collect_set("value")).alias("facts"))
-    named = rows.join(g.statement.select("statement_id", F.col("value").alias("statement")), "statement_id").join(g.topic.select("topic_id", F.col("value").alias("topic")), "topic_id")
+    ids = few(rows.select("statement_id"))
+    on = few(g.supports.join(ids, "statement_id"))
+    facts = g.fact.select("fact_id", "value").join(on, "fact_id").groupBy("statement_id").agg(F.sort_array(F.collect_set("value")).alias("facts"))
+    said = g.statement.select("statement_id", F.col("value").alias("statement")).join(ids, "statement_id")
+    topics = g.topic.select("topic_id", F.col("value").alias("topic")).join(few(rows.select("topic_id")), "topic_id")
+    named = rows.join(said, "statement_id").join(topics, "topic_id")
     named = named.join(facts, "statement_id", "left").withColumn("facts", F.coalesce("facts", F.array().cast("array<string>")))
     return p.statement_strings(named).drop("facts")
 
@@ -33,10 +37,10 @@ def chain(g: Graph, rows: DataFrame, phrases: DataFrame, factor: float = 0.05, t
 
     Rows: source_id, topic_id, statement_id, statement_str, score, result_score, result_rank from 1.
     """
-    one = first_seen(told(g, rows), "statement_id", "source_id", "topic_id")
+    one = written(first_seen(told(g, written(rows, "found")), "statement_id", "source_id", "topic_id"), "told")
     text = one.select("statement_id", F.concat("topic", F.lit(": "), "statement_str").alias("text"))
     score = rerank.score(text, phrases, "statement_id", "text").select("statement_id", F.round("score", 4).alias("score"))
-    scored = p.prune_statements(one.drop("score", "result_score").join(score, "statement_id").where("score > 0"), factor, threshold)
+    scored = p.prune_statements(written(one.drop("score", "result_score").join(score, "statement_id").where("score > 0"), "scored"), factor, threshold)
     best = scored.groupBy("source_id", "topic_id").agg(F.avg("score").alias("m")).groupBy("source_id").agg(F.round(F.max("m"), 6).alias("result_score")).where(F.col("result_score") >= result_threshold)
     best = p.truncate_results(best, results).withColumn("result_rank", F.row_number().over(Window.orderBy(F.desc("result_score"), "source_id")))  # results rows
     w = Window.partitionBy("source_id", "topic_id").orderBy(F.desc("score"), "statement_id")
@@ -82,8 +86,8 @@ def reranking_beam(seeds: DataFrame, neighbours: Callable[[DataFrame], DataFrame
     level = seeds.select("node").distinct().join(score, "node", "left").select("node", F.coalesce("score", F.lit(0.0)).alias("score"), F.lit(0).alias("depth")).orderBy(F.desc("score"), "node").limit(width)
     level = found = level_written(level)
     for k in range(1, depth + 1):
-        step = neighbours(level.select("node")).select(F.col("other").alias("node")).distinct().join(found.select("node"), "node", "left_anti")
-        level = step.join(score, "node", "left").select("node", F.coalesce("score", F.lit(0.0)).alias("score"), F.lit(k).alias("depth")).orderBy(F.desc("score"), "node").limit(width)
+        step = few(neighbours(level.select("node")).select(F.col("other").alias("node")).join(F.broadcast(found.select("node")), "node", "left_anti"))
+        level = score.join(step, "node", "right").select("node", F.coalesce("score", F.lit(0.0)).alias("score"), F.lit(k).alias("depth")).orderBy(F.desc("score"), "node").limit(width)
         level = level_written(level)
         found = found.unionByName(level)
     return found

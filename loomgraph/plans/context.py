@@ -20,7 +20,7 @@ from loomgraph.plans.processing import TRIPLES, VERSIONS, some, tfidf, triples,
 from loomgraph.plans.registry import base, query, table
 from loomgraph.plans.searching import CHUNKS, KW, SEED, TOPICS, chunk_seeds, entity_seeds, graph, grouping, keywords, near, q0, rounded, topic_seeds
 from loomgraph.sources import readers
-from loomgraph.sources.shared import folder
+from loomgraph.sources.shared import folder, written
 
 # keywords and entities
 
@@ -328,7 +328,9 @@ def chunk_embeddings(spark, d, g):
 def topic_embeddings(spark, d, g):
     """A topic has the vector of the least of its chunks."""
     own = g.topic_chunk.groupBy("topic_id").agg(F.min("chunk_id").alias("chunk_id"))
-    return own.join(chunk_embeddings(spark, d, g), "chunk_id").drop("chunk_id")
+    e = table(spark, d, "embeddings")
+    at = own.join(g.chunk.select("chunk_id", ((F.col("doc_id") + F.col("seq")) % e.count()).alias("vec_id")), "chunk_id").drop("chunk_id")
+    return written(at, "vectors").join(e.select("vec_id", "embedding"), "vec_id").drop("vec_id")
 
 
 @query()
@@ -340,7 +342,7 @@ def semantic_search(spark, d):
 @query()
 def topic_beam_search(spark, d):
     g = graph(spark, d)
-    return retrievers.topic_beam_search(g, topic_embeddings(spark, d, g), q0(spark, d), 20, 20, 2)
+    return retrievers.topic_beam_search(g, topic_embeddings(spark, d, g), q0(spark, d))
 
 
 @query()
